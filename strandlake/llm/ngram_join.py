@@ -32,6 +32,8 @@ from strandlake.llm.common import components, drop_staged, mix, shingle_sets, sl
 #: log2 of the most buckets of the frequency sketch (64 MB, one byte each); below it, about 32 n-grams share a bucket.
 MAX_SKETCH_BITS = 26
 MIN_SKETCH_BITS = 16
+#: log2 of the most bits of the filter on the ids whose n-grams are compared (64 MB).
+MAX_FILTER_BITS = 29
 _BLOCK = 1 << 16
 #: Fragments of the global order: the last holds the frequent n-grams, the others equal ranges of hashes.
 FRAGMENTS = 4
@@ -58,9 +60,19 @@ def _signatures(h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _bitmaps(h: np.ndarray, o: np.ndarray) -> list[bytes]:
+    """A bit for each n-gram in 2n bits at least (a power of two): |x XOR y| is no less than the bits that differ."""
+    out = []
+    for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
+        bits = np.zeros(max(64, 1 << (2 * (j - i) - 1).bit_length()) if j > i else 64, bool)
+        bits[(h[i:j] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
 def _survey(k: int, bits: int):
-    """Signatures of all rows, and this task's part of the frequency sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    """Signatures and bitmaps of all rows, and this task's part of the frequency sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bitmap", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         sketch = np.zeros(1 << bits, np.uint32)
@@ -70,17 +82,52 @@ def _survey(k: int, bits: int):
                 np.add.at(sketch, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
             s1, s2 = _signatures(h, o)
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(o)), pa.array(s1), pa.array(s2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-        small = np.minimum(sketch, 255).astype(np.uint8)
-        blocks = [(b, small[b * _BLOCK : (b + 1) * _BLOCK]) for b in range(max(1, (1 << bits) // _BLOCK))]
-        blocks = [(b, x.tobytes()) for b, x in blocks if x.any()]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(o)), pa.array(s1), pa.array(s2), pa.array(_bitmaps(h, o), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        blocks = _cut(np.minimum(sketch, 255).astype(np.uint8))
         if blocks:
             n = len(blocks)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], schema=schema)
 
     return run
 
 
+def _cut(sketch: np.ndarray) -> list[tuple[int, bytes]]:
+    blocks = [(i // _BLOCK, sketch[i : i + _BLOCK]) for i in range(0, len(sketch), _BLOCK)]
+    return [(b, x.tobytes()) for b, x in blocks if x.any()]
+
+
+def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> tuple[bytes, int]:
+    """A bit array over hashed ids, of at most 2**MAX_FILTER_BITS bits: no id is missed, a few others pass."""
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, ids.count()))), 19, MAX_FILTER_BITS))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << bits, bool)
+        for b in batches:
+            flags[_id_bits(np.asarray(b.column(0)), bits)] = True
+        blocks = _cut(np.packbits(flags, bitorder="little"))
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["block", "flags"])
+
+    def join(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, block = np.zeros(0, np.uint8), 0
+        for b in tables:
+            for no, x in zip(take_column(b, "block").to_pylist(), take_column(b, "flags").to_pylist(), strict=True):
+                v, block = np.frombuffer(x, np.uint8), no
+                flags = v | flags if len(flags) else v
+        if len(flags):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([flags.tobytes()], pa.binary())], names=["block", "flags"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in ids.mapInArrow(mark, "block int, flags binary").groupBy("block").applyInArrow(join, "block int, flags binary").toLocalIterator():
+        part = np.frombuffer(r.flags, np.uint8)
+        out[r.block * _BLOCK : r.block * _BLOCK + len(part)] = part
+    return out.tobytes(), bits
+
+
 def _classes(survey: DataFrame, bits: int) -> bytes:
     """The frequency class of each bucket: 0 up to twice the mean count, then one more for each doubling.
 
@@ -179,13 +226,21 @@ def _live(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:7], schema.types, strict=True)], schema=schema)
 
 
-def _fragment_rows(k: int, bits: int, shared):
-    """(doc, frag, size, part): the n-grams of a text in each fragment of the global order."""
+def _fragment_rows(k: int, bits: int, shared, wanted, id_bits: int):
+    """(doc, frag, size, part): the n-grams of a wanted text in each fragment of the global order."""
     schema = pa.schema([("doc", pa.int64()), ("frag", pa.int32()), ("size", pa.int32()), ("part", pa.binary())])
 
     def run(batches):
         cls = np.frombuffer(shared.value, np.uint8)
-        for ids, h, o in _sets(batches, k):
+        flags = np.frombuffer(wanted.value, np.uint8)
+
+        def filtered():
+            for b in batches:
+                at = _id_bits(np.asarray(take_column(b, "doc_id").fill_null(-1)), id_bits)
+                use = (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                yield b.filter(pa.array(use & ~np.asarray(take_column(b, "doc_id").is_null())))
+
+        for ids, h, o in _sets(filtered(), k):
             if not len(h):
                 continue
             c = cls[(h >> np.uint64(64 - bits)).astype(np.int64)]
@@ -204,7 +259,7 @@ def _fragment_rows(k: int, bits: int, shared):
 
 def _overlaps(batches):
     """Sizes of the intersections of pa and pb, for many rows by one sort."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("common", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("frag", pa.int32()), ("na", pa.int32()), ("nb", pa.int32()), ("common", pa.int64())])
     for batch in batches:
         sides = []
         for name in ("pa", "pb"):
@@ -224,7 +279,7 @@ def _overlaps(batches):
             h, r = h[order], r[order]
             hit = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
             common[i:j] = np.bincount(r[1:][hit], minlength=j - i)
-        yield pa.RecordBatch.from_arrays([*(take_column(batch, c) for c in ("a", "b", "na", "nb")), pa.array(common)], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(take_column(batch, c) for c in ("a", "b", "frag", "na", "nb")), pa.array(common)], schema=schema)
 
 
 def _cross(num: int, den: int):
@@ -257,13 +312,23 @@ def _cross(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    left = parts.select(F.col("doc").alias("a"), "frag", F.col("size").alias("na"), F.col("part").alias("pa"))
-    right = parts.select(F.col("doc").alias("b"), "frag", F.col("size").alias("nb"), F.col("part").alias("pb"))
-    rows = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "pa", "pb")
-    counted = rows.mapInArrow(_overlaps, "a long, b long, na int, nb int, common long")
-    summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return summed.where(F.col("common") * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+def _may_link(num: int, den: int):
+    """Drops pairs whose bitmaps differ in more bits than two linked sets can."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y, nx, ny in zip(*(take_column(b, c).to_pylist() for c in ("ba", "bb", "na", "nb")), strict=True):
+                m = 8 * min(len(x), len(y))
+                fold, p, q = (1 << m) - 1, int.from_bytes(x, "little"), int.from_bytes(y, "little")
+                if len(x) > len(y):
+                    p = p & fold | p >> m
+                elif len(y) > len(x):
+                    q = q & fold | q >> m
+                keep.append((p ^ q).bit_count() * (den + num) <= (den - num) * (nx + ny))
+            yield pa.RecordBatch.from_arrays([take_column(b, "a"), take_column(b, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -272,38 +337,59 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     Two texts are linked if den * |intersection| >= num * |union| for their sets of k-word shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sc = docs.sparkSession.sparkContext
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.log2(max(1, chars / 6.5 / 32)), MIN_SKETCH_BITS, MAX_SKETCH_BITS))
-    survey = stage(docs.mapInArrow(_survey(k, bits), "doc_id long, n long, s1 long, s2 long, block int, counts binary"), "survey")
-    shared = docs.sparkSession.sparkContext.broadcast(_classes(survey, bits))
+    survey = stage(docs.mapInArrow(_survey(k, bits), "doc_id long, n long, s1 long, s2 long, bitmap binary, block int, counts binary"), "survey")
+    shared = sc.broadcast(_classes(survey, bits))
+    owners = survey.where("block is null")
+    sets = owners.where("n > 0 and doc_id is not null")
 
     rows = docs.mapInArrow(_prefixes(k, bits, shared, num, den), "h long, size int, doc long")
     live = stage(rows.repartition("h").sortWithinPartitions("h", "size", "doc").mapInArrow(_live, "h long, doc long, size int, hub long, hub_size int, prev long, prev_size int"), "lists")
-    in_lists = live.select("doc").distinct()
-    parts = stage(docs.join(in_lists, docs.doc_id == in_lists.doc, "left_semi").mapInArrow(_fragment_rows(k, bits, shared), "doc long, frag int, size int, part binary").dropDuplicates(["doc", "frag"]), "fragments")
 
     def near(x: str) -> DataFrame:
         ok = F.least("size", f"{x}_size") * den >= F.greatest("size", f"{x}_size") * num
         return live.where(ok & (F.col("doc") != F.col(x))).select(F.least("doc", x).alias("a"), F.greatest("doc", x).alias("b"))
 
-    first = stage(_verified(near("hub").union(near("prev")).distinct(), parts, num, den), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked: bitmaps rule most others out, then overlaps are summed over the fragments."""
+        for x in "ab":
+            pairs = pairs.join(sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"b{x}")), x)
+        pairs = stage(pairs.mapInArrow(_may_link(num, den), "a long, b long").distinct(), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted, id_bits = _id_filter(ids)
+        wanted = sc.broadcast(wanted)
+        parts = docs.mapInArrow(_fragment_rows(k, bits, shared, wanted, id_bits), "doc long, frag int, size int, part binary")
+        left = parts.select(F.col("doc").alias("a"), "frag", F.col("size").alias("na"), F.col("part").alias("pa"))
+        right = parts.select(F.col("doc").alias("b"), F.col("frag").alias("g"), F.col("size").alias("nb"), F.col("part").alias("pb"))
+        both = pairs.join(left, "a").join(right, ["b"]).where("frag = g").select("a", "b", "frag", "na", "nb", "pa", "pb")
+        counted = both.mapInArrow(_overlaps, "a long, b long, frag int, na int, nb int, common long")
+        counted = counted.groupBy("a", "b", "frag").agg(F.max("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        links = stage(summed.where(F.col("common") * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "links")
+        drop_staged(pairs)
+        wanted.unpersist()
+        return links
+
+    first = verified(near("hub").union(near("prev")).distinct())
     found = components(first)
 
     labelled = live.select("h", "doc", "size").distinct().join(found, live.doc == found.id, "left").select("h", "doc", "size", F.coalesce("component", "doc").alias("comp"))
+    labelled = stage(labelled, "labelled")
+    drop_staged(live)
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
     cross = labelled.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h").mapInArrow(_cross(num, den), "a long, b long").distinct()
-    second = stage(_verified(cross, parts, num, den), "links")
+    second = verified(cross)
+    drop_staged(labelled)
 
-    owners = survey.where("block is null").select("doc_id", "n", "s1", "s2")
-    heads = owners.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("head"))
-    named = stage(owners.join(heads, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head")), "heads")
+    heads = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("head"))
+    named = stage(owners.select("doc_id", "n", "s1", "s2").join(heads, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head")), "heads")
     drop_staged(survey)
 
     links = first.union(second)
     ids = named.where("n > 0").select(F.col("doc_id").alias("id"), "head").distinct()
     links = links.join(ids.select(F.col("id").alias("a"), F.col("head").alias("ha")), "a").join(ids.select(F.col("id").alias("b"), F.col("head").alias("hb")), "b")
     whole = components(links.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
-    for x in (live, parts):
-        drop_staged(x)
     shared.unpersist()
     return named.join(whole, named["head"] == whole["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
