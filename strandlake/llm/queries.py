@@ -9,6 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm.common import table
 
 
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandlake.llm.token_binary import token_binary
+
+    return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.shard_pack import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.vector_join import vector_components
+
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.mix_sources import mix_sources
 
@@ -28,7 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_ngram_join, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op3_shard_pack, op4_mix_sources, op5_ngram_join, op8_vector_join, op9_toxicity, op10_decontaminate)}
 
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [])"
