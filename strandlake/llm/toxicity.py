@@ -1,12 +1,13 @@
 """Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
-Features of a whole text: densities of a word list (plain, and after undoing obfuscation), how near second-person
-words stand to listed words, and rates of capitals, punctuation, digits, symbols and obfuscated words.  They are
-counted by numpy over the bytes of many texts at a time, in bounded slices.
+Features of a whole text: densities of a fixed word list (plain, and after undoing obfuscation) and of a learned list
+of words and word stems, how near second-person words stand to listed words, and rates of capitals, punctuation, digits,
+symbols and obfuscated words.  They are counted by numpy over the bytes of many texts at a time, in bounded slices.
 
-The model is fitted on a bounded sample of labelled rows (MAX_TRAIN, the smallest hashes of the id), of which every
-fifth row is held back from the trees and fits the calibration.  Fitting on the driver is therefore bounded; scoring is one
-pass over the texts without a shuffle.
+The model is fitted on a bounded sample of labelled rows (MAX_TRAIN, the smallest hashes of the id).  The learned list
+holds stems that many toxic rows of the sample and hardly any others contain.  The calibration is fitted to scores of rows
+by models (list and trees) that were fitted without them.  Fitting on the driver is therefore bounded; scoring is one pass
+over the texts without a shuffle.
 
 Defined cases: null and empty texts have all-zero features and get the score of those; rows with a null id are scored and
 count as not held out; repeated rows are scored each; if no labelled row or only one class is usable, the score is the smoothed share
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import LOWER, slices, span_hashes, take_column, text_bytes, word_spans
+from strandlake.llm.common import LOWER, slices, span_hashes, stage, take_column, text_bytes, word_spans
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_TRAIN = 20_000
@@ -53,7 +54,12 @@ SECOND_PERSON = (
 # Signs that stand for letters in obfuscated words.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
-FEATURES = ("listed", "listed_share", "hidden", "near", "second", "capitals", "upper_words", "punct", "marks", "digits", "symbols", "odd_words", "other", "length")
+#: A learned stem occurs in so many toxic rows (and this share of them) at least, and so many times as often as in others.
+STEM_ROWS, STEM_SHARE, STEM_LIFT = 3, 0.02, 25.0
+STEM_BYTES = (4, 5)
+FOLDS = 3
+
+FEATURES = ("learned", "learned_share", "listed", "listed_share", "hidden", "near", "second", "capitals", "upper_words", "punct", "marks", "digits", "symbols", "odd_words", "other", "length")
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -92,10 +98,35 @@ def _core(keep: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return a, np.maximum(ahead[ends - 1] + 1, a)
 
 
-def text_features(data: np.ndarray, offs: np.ndarray, listed: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each text."""
+def _stems(lowered: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, hashes) of the words and of their first bytes."""
+    out = []
+    for n in STEM_BYTES:
+        at = np.flatnonzero(b - a >= n)
+        out.append((at, span_hashes(lowered, a[at], a[at] + n) ^ np.uint64(n)))
+    at = np.flatnonzero(b > a)
+    return [*out, (at, span_hashes(lowered, a[at], b[at]))]
+
+
+def stem_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, stem hash) pairs."""
+    starts, ends, wo = word_spans(data, offs)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(wo))
+    parts = _stems(LOWER[data], *_core(_LETTER[data], starts, ends))
+    d, h = np.concatenate([doc[at] for at, _ in parts]), np.concatenate([h for _, h in parts])
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    return d[new], h[new]
+
+
+def text_features(data: np.ndarray, offs: np.ndarray, listed: np.ndarray, second: np.ndarray, stems: list[np.ndarray]) -> list[np.ndarray]:
+    """For each list of learned stems a row of FEATURES for each text."""
     n = len(offs) - 1
-    out = np.zeros((n, len(FEATURES)))
+    out = [np.zeros((n, len(FEATURES))) for _ in stems]
     length = np.diff(offs).astype(float)
 
     def per_text(flags: np.ndarray) -> np.ndarray:
@@ -150,8 +181,13 @@ def text_features(data: np.ndarray, offs: np.ndarray, listed: np.ndarray, second
     cols = (
         words(bad), words(bad) / total, words(hidden), words(near), words(you) / total, bytes_(upper), words(whole) / total, bytes_(_COMMON[data]), bytes_(_MARK[data]), bytes_(_DIGIT[data]), bytes_(_SYMBOL[data]), words(odd) / total, bytes_(data >= 128), np.log1p(length),
     )
-    for k, x in enumerate(cols):
-        out[:, k] = x
+    hashed = _stems(lowered, a, b)
+    for rows, known in zip(out, stems, strict=True):
+        found = np.zeros(len(starts), bool)
+        for at, h in hashed if len(known) else ():
+            found[at[_within(h, known)]] = True
+        for k, x in enumerate((words(found), words(found) / total, *cols)):
+            rows[:, k] = x
     return out
 
 
@@ -161,28 +197,30 @@ def text_features(data: np.ndarray, offs: np.ndarray, listed: np.ndarray, second
 class Boosted:
     """Boosted regression trees for the logistic loss on binned features, then isotonic calibration."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 8):
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 24, least: int = 5):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
 
-    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Boosted:
-        own, grow = y[~held], x[~held]
-        share = (y.sum() + 1) / (len(y) + 2)
+    def fit(self, x: np.ndarray, own: np.ndarray) -> Boosted:
+        share = (own.sum() + 1) / (len(own) + 2)
         self.start, self.trees = float(np.log(share / (1 - share))), []
         self.steps = (np.array([-np.inf]), np.array([share]))
         if len(np.unique(own)) < 2:
             return self
-        self.edges = [np.unique(np.quantile(grow[:, k], np.linspace(0, 1, self.bins + 1)[1:-1])) for k in range(x.shape[1])]
-        binned = self._bin(grow)
+        # edges from the distinct values, so that rare values are told apart too
+        self.edges = [np.unique(np.quantile(np.unique(x[:, k]), np.linspace(0, 1, self.bins + 1)[1:-1])) for k in range(x.shape[1])]
+        binned = self._bin(x)
         f = np.full(len(own), self.start)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
             tree = self._tree(binned, own - p, p * (1 - p))
             self.trees.append(tree)
             f += self._apply(tree, binned)
-        cal = held if len(np.unique(y[held])) == 2 else np.ones(len(y), bool)
-        self.steps = isotonic(self._raw(x[cal]), y[cal])
         return self
 
+    def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
+        if self.trees and len(y):
+            self.steps = isotonic(raw, y)
+
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, k], "right") for k, e in enumerate(self.edges)], 1)
 
@@ -220,7 +258,7 @@ class Boosted:
             node = np.where(k >= 0, 2 * node + 1 + (binned[rows, np.maximum(k, 0)] > value[node]), node)
         return value[node]
 
-    def _raw(self, x: np.ndarray) -> np.ndarray:
+    def raw(self, x: np.ndarray) -> np.ndarray:
         f = np.full(len(x), self.start)
         if self.trees:
             binned = self._bin(x)
@@ -230,7 +268,7 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         at, value = self.steps
-        return value[np.maximum(np.searchsorted(at, self._raw(x), "right") - 1, 0)]
+        return value[np.maximum(np.searchsorted(at, self.raw(x), "right") - 1, 0)]
 
 
 def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,18 +290,41 @@ def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- Spark
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _featured(batches: Iterator[pa.RecordBatch], stems: list[np.ndarray]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     listed, second = _hash_words(LEXICON), _hash_words(SECOND_PERSON)
     for batch in batches:
         data, offs = text_bytes(take_column(batch, "text"))
         for i, j in slices(offs):
-            yield batch.slice(i, j - i), text_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], listed, second)
+            yield batch.slice(i, j - i), text_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], listed, second, stems)
+
+
+def _fold(ids: np.ndarray) -> np.ndarray:
+    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(FOLDS)).astype(np.int64)
+
+
+def _stem_rows(batches):
+    for batch in batches:
+        data, offs = text_bytes(take_column(batch, "text"))
+        kind = _fold(np.asarray(take_column(batch, "doc_id"))) * 2 + np.asarray(take_column(batch, "toxic"))
+        for i, j in slices(offs):
+            d, h = stem_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kind[i:j][d].astype(np.int32))], names=["stem", "kind"])
+
+
+def _training_rows(stems: list[np.ndarray]):
+    def run(batches):
+        for batch, x in _featured(batches, stems):
+            yield pa.RecordBatch.from_arrays([take_column(batch, "doc_id"), take_column(batch, "toxic"), pa.array(list(np.concatenate(x, 1)), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+
+    return run
 
 
-def _training_rows(batches):
-    for batch, x in _featured(batches):
-        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "toxic")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+def _learned(counts: np.ndarray, rows: np.ndarray, stems: np.ndarray) -> np.ndarray:
+    """Stems by their counts in (other, toxic) rows of each fold, summed over the folds that may be seen."""
+    (clean, toxic), (n_clean, n_toxic) = counts, np.maximum(rows, 1)
+    lift = (toxic / n_toxic) / ((clean + 0.5) / n_clean)
+    need = max(STEM_ROWS, STEM_SHARE * n_toxic)
+    return np.sort(stems[(toxic >= need) & (lift >= min(STEM_LIFT, 0.6 * need / n_toxic * n_clean / 0.5))])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -277,13 +338,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most max_train rows
-    got = rows.mapInArrow(_training_rows, "doc_id long, toxic int, x array<double>").toPandas()
+    rows = stage(rows, "labelled")
+    kinds = [F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(2 * FOLDS)]
+    toxic = sum(F.col(f"k{k}") for k in range(1, 2 * FOLDS, 2))
+    marks = rows.mapInArrow(_stem_rows, "stem long, kind int").groupBy("stem").agg(*kinds)
+    n_toxic = rows.where("toxic = 1").count()
+    # bounded: a stem that stays is in STEM_SHARE of the toxic rows of the sample at least, less one fold
+    least = max(STEM_ROWS, STEM_SHARE * n_toxic * 0.5)
+    marks = marks.where((toxic >= least) & (toxic > sum(F.col(f"k{k}") for k in range(0, 2 * FOLDS, 2)))).toPandas().sort_values("stem")
+    names, counts = marks.stem.to_numpy(np.int64).view(np.uint64), marks.drop(columns="stem").to_numpy().reshape(-1, FOLDS, 2)
+    key = rows.select("doc_id", "toxic").toPandas()
+    size = np.bincount(_fold(key.doc_id.to_numpy(np.int64)) * 2 + key.toxic.to_numpy(np.int64), minlength=2 * FOLDS).reshape(FOLDS, 2)
+    stems = [_learned(np.delete(counts, f, 1).sum(1).T, np.delete(size, f, 0).sum(0), names) for f in range(FOLDS)]
+    stems.append(_learned(counts.sum(1).T, size.sum(0), names))
+
+    got = rows.mapInArrow(_training_rows(stems), "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    model = Boosted()
+    model.stems = stems[-1]
     if not len(got):
-        return Boosted().fit(np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0, bool))
-    got = got.sort_values("doc_id", kind="stable")
-    ids = got.doc_id.to_numpy(np.int64).view(np.uint64)
-    held = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(5) == 0
-    return Boosted().fit(np.stack(got.x.to_numpy()), got.toxic.to_numpy(float), held)
+        return model.fit(np.zeros((0, len(FEATURES))), np.zeros(0))
+    y, x, fold, k = got.toxic.to_numpy(float), np.stack(got.x.to_numpy()), _fold(got.doc_id.to_numpy(np.int64)), len(FEATURES)
+    unseen = np.zeros(len(y))
+    for f in range(FOLDS):
+        own, at = x[:, f * k : (f + 1) * k], fold == f
+        if at.any() and not at.all():
+            unseen[at] = Boosted().fit(own[~at], y[~at]).raw(own[at])
+    model.fit(x[:, FOLDS * k :], y).calibrate(unseen, y)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Boosted, keep: list[str]) -> DataFrame:
@@ -291,9 +372,9 @@ def score_toxicity(docs: DataFrame, model: Boosted, keep: list[str]) -> DataFram
     schema = docs.select(*keep).schema.add("score", "double")
 
     def run(batches):
-        for batch, x in _featured(batches):
+        for batch, x in _featured(batches, [model.stems]):
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x[0]))], names=[*keep, "score"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
