@@ -94,6 +94,59 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- bounded bit filters
+
+#: log2 of the most bits of a filter on ids (64 MB).
+MAX_FILTER_BITS = 29
+BLOCK = 1 << 16
+
+
+def cut_blocks(sketch: np.ndarray) -> list[tuple[int, bytes]]:
+    """The blocks of a byte array that hold anything, numbered."""
+    blocks = [(i // BLOCK, sketch[i : i + BLOCK]) for i in range(0, len(sketch), BLOCK)]
+    return [(b, x.tobytes()) for b, x in blocks if x.any()]
+
+
+def _filter_bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def in_filter(flags: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
+    at = _filter_bits(ids, bits)
+    return (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_filter(ids: DataFrame) -> tuple[bytes, int]:
+    """A bit array over the hashed longs of a one-column table, of at most 2**MAX_FILTER_BITS bits.
+
+    No id is missed, a few others pass.  Blocks are merged on the executors; the driver receives the array.
+    """
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, ids.count()))), 19, MAX_FILTER_BITS))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << bits, bool)
+        for b in batches:
+            flags[_filter_bits(np.asarray(b.column(0)), bits)] = True
+        blocks = cut_blocks(np.packbits(flags, bitorder="little"))
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["block", "flags"])
+
+    def join(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, block = np.zeros(0, np.uint8), 0
+        for b in tables:
+            for no, x in zip(take_column(b, "block").to_pylist(), take_column(b, "flags").to_pylist(), strict=True):
+                v, block = np.frombuffer(x, np.uint8), no
+                flags = v | flags if len(flags) else v
+        if len(flags):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([flags.tobytes()], pa.binary())], names=["block", "flags"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in ids.mapInArrow(mark, "block int, flags binary").groupBy("block").applyInArrow(join, "block int, flags binary").toLocalIterator():
+        part = np.frombuffer(r.flags, np.uint8)
+        out[r.block * BLOCK : r.block * BLOCK + len(part)] = part
+    return out.tobytes(), bits
+
+
 # ---------------------------------------------------------------- bytes and words
 
 _MASK = (1 << 64) - 1

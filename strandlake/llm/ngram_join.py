@@ -27,14 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import components, drop_staged, mix, shingle_sets, slices, stage, take_column, text_bytes
+from strandlake.llm.common import BLOCK, bit_filter, components, cut_blocks, drop_staged, in_filter, mix, shingle_sets, slices, stage, take_column, text_bytes
 
 #: log2 of the most buckets of the frequency sketch (64 MB, one byte each); below it, about 32 n-grams share a bucket.
 MAX_SKETCH_BITS = 26
 MIN_SKETCH_BITS = 16
-#: log2 of the most bits of the filter on the ids whose n-grams are compared (64 MB).
-MAX_FILTER_BITS = 29
-_BLOCK = 1 << 16
 #: Fragments of the global order: the last holds the frequent n-grams, the others equal ranges of hashes.
 FRAGMENTS = 4
 _PAIRS_AT_ONCE = 1 << 22
@@ -83,7 +80,7 @@ def _survey(k: int, bits: int):
             s1, s2 = _signatures(h, o)
             n = len(ids)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(o)), pa.array(s1), pa.array(s2), pa.array(_bitmaps(h, o), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-        blocks = _cut(np.minimum(sketch, 255).astype(np.uint8))
+        blocks = cut_blocks(np.minimum(sketch, 255).astype(np.uint8))
         if blocks:
             n = len(blocks)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], schema=schema)
@@ -91,43 +88,6 @@ def _survey(k: int, bits: int):
     return run
 
 
-def _cut(sketch: np.ndarray) -> list[tuple[int, bytes]]:
-    blocks = [(i // _BLOCK, sketch[i : i + _BLOCK]) for i in range(0, len(sketch), _BLOCK)]
-    return [(b, x.tobytes()) for b, x in blocks if x.any()]
-
-
-def _id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _id_filter(ids: DataFrame) -> tuple[bytes, int]:
-    """A bit array over hashed ids, of at most 2**MAX_FILTER_BITS bits: no id is missed, a few others pass."""
-    bits = int(np.clip(np.ceil(np.log2(16 * max(1, ids.count()))), 19, MAX_FILTER_BITS))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, bool)
-        for b in batches:
-            flags[_id_bits(np.asarray(b.column(0)), bits)] = True
-        blocks = _cut(np.packbits(flags, bitorder="little"))
-        if blocks:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["block", "flags"])
-
-    def join(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, block = np.zeros(0, np.uint8), 0
-        for b in tables:
-            for no, x in zip(take_column(b, "block").to_pylist(), take_column(b, "flags").to_pylist(), strict=True):
-                v, block = np.frombuffer(x, np.uint8), no
-                flags = v | flags if len(flags) else v
-        if len(flags):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([flags.tobytes()], pa.binary())], names=["block", "flags"])
-
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in ids.mapInArrow(mark, "block int, flags binary").groupBy("block").applyInArrow(join, "block int, flags binary").toLocalIterator():
-        part = np.frombuffer(r.flags, np.uint8)
-        out[r.block * _BLOCK : r.block * _BLOCK + len(part)] = part
-    return out.tobytes(), bits
-
-
 def _classes(survey: DataFrame, bits: int) -> bytes:
     """The frequency class of each bucket: 0 up to twice the mean count, then one more for each doubling.
 
@@ -151,7 +111,7 @@ def _classes(survey: DataFrame, bits: int) -> bytes:
     out = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
         part = np.frombuffer(r.cls, np.uint8)
-        out[r.block * _BLOCK : r.block * _BLOCK + len(part)] = part
+        out[r.block * BLOCK : r.block * BLOCK + len(part)] = part
     return out.tobytes()
 
 
@@ -236,8 +196,7 @@ def _fragment_rows(k: int, bits: int, shared, wanted, id_bits: int):
 
         def filtered():
             for b in batches:
-                at = _id_bits(np.asarray(take_column(b, "doc_id").fill_null(-1)), id_bits)
-                use = (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                use = in_filter(flags, id_bits, np.asarray(take_column(b, "doc_id").fill_null(-1)))
                 yield b.filter(pa.array(use & ~np.asarray(take_column(b, "doc_id").is_null())))
 
         for ids, h, o in _sets(filtered(), k):
@@ -358,7 +317,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
             pairs = pairs.join(sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"b{x}")), x)
         pairs = stage(pairs.mapInArrow(_may_link(num, den), "a long, b long").distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted, id_bits = _id_filter(ids)
+        wanted, id_bits = bit_filter(ids)
         wanted = sc.broadcast(wanted)
         parts = docs.mapInArrow(_fragment_rows(k, bits, shared, wanted, id_bits), "doc long, frag int, size int, part binary")
         left = parts.select(F.col("doc").alias("a"), "frag", F.col("size").alias("na"), F.col("part").alias("pa"))

@@ -23,6 +23,12 @@ def op3_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_repeat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.repeat_bytes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.vector_join import vector_components
 
@@ -54,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op3_shard_pack, op4_mix_sources, op5_ngram_join, op8_vector_join, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op3_shard_pack, op4_mix_sources, op5_ngram_join, op6_repeat_bytes, op8_vector_join, op9_toxicity, op10_decontaminate)}
 
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [])"
