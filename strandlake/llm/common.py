@@ -236,6 +236,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((c[ends] - c[starts]) * powers(_P_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def trim_spans(keep: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word spans without the bytes at either end that are not to be kept (empty at the end if none is)."""
+    n = len(keep)
+    back = np.minimum.accumulate(np.where(keep, np.arange(n), n)[::-1])[::-1]
+    ahead = np.maximum.accumulate(np.where(keep, np.arange(n), -1))
+    a = np.minimum(back[starts], ends)
+    return a, np.maximum(ahead[ends - 1] + 1, a)
+
+
 _STEP = [np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1) ** 3 | 1) & _MASK) for k in range(32)]
 
 

@@ -17,6 +17,12 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.shard_pack import shard_documents
 
@@ -29,6 +35,12 @@ def op6_repeat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.vector_join import vector_components
 
@@ -60,7 +72,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op3_shard_pack, op4_mix_sources, op5_ngram_join, op6_repeat_bytes, op8_vector_join, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op2_license_scan, op3_shard_pack, op4_mix_sources, op5_ngram_join, op6_repeat_bytes, op7_html_text, op8_vector_join, op9_toxicity, op10_decontaminate)}
 
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [])"

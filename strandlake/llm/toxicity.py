@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import LOWER, slices, span_hashes, stage, take_column, text_bytes, word_spans
+from strandlake.llm.common import LOWER, slices, span_hashes, stage, take_column, text_bytes, trim_spans, word_spans
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_TRAIN = 20_000
@@ -89,15 +89,6 @@ def _within(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(at, len(listed) - 1)] == h
 
 
-def _core(keep: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word spans without the bytes at either end that are not to be kept (empty at the end if none is)."""
-    n = len(keep)
-    back = np.minimum.accumulate(np.where(keep, np.arange(n), n)[::-1])[::-1]
-    ahead = np.maximum.accumulate(np.where(keep, np.arange(n), -1))
-    a = np.minimum(back[starts], ends)
-    return a, np.maximum(ahead[ends - 1] + 1, a)
-
-
 def _stems(lowered: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(word numbers, hashes) of the words and of their first bytes."""
     out = []
@@ -114,7 +105,7 @@ def stem_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(wo))
-    parts = _stems(LOWER[data], *_core(_LETTER[data], starts, ends))
+    parts = _stems(LOWER[data], *trim_spans(_LETTER[data], starts, ends))
     d, h = np.concatenate([doc[at] for at, _ in parts]), np.concatenate([h for _, h in parts])
     order = np.lexsort((h, d))
     d, h = d[order], h[order]
@@ -139,14 +130,14 @@ def text_features(data: np.ndarray, offs: np.ndarray, listed: np.ndarray, second
         return out
     total = np.maximum(np.diff(wo), 1)
     letters, lowered = _LETTER[data], LOWER[data]
-    a, b = _core(letters, starts, ends)
+    a, b = trim_spans(letters, starts, ends)
     bad = _within(span_hashes(lowered, a, b), listed)
     you = _within(span_hashes(lowered, a, b), second)
     # obfuscated words: a sign or digit between the first and last letter-like byte, with the signs undone or left out
     upper, symbol_or_digit = _UPPER[data], ~letters
     inside = per_text(symbol_or_digit)
     likely = letters | _DIGIT[data] | np.isin(data, [ord(c) for c in "@$!"])
-    c, d = _core(likely, starts, ends)
+    c, d = trim_spans(likely, starts, ends)
     odd = (inside[d] - inside[c] > 0) & (d - c >= 3)
     hidden = np.zeros(len(starts), bool)
     if odd.any():
