@@ -62,6 +62,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     return _mixed(sized, weights, share, cap, seed)
 
 
+def mix_rows(docs: DataFrame, row: str, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 20) -> DataFrame:
+    """As mix_sources, for docs that carry unique row numbers of their own in the column `row`."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select(F.col(row).alias("row"), "doc_id", "source", size.alias("size"), F.lit(1.0).alias("odds"))
+    return _mixed(stage(sized, "sizes"), weights, share, cap, seed)
+
+
 def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
     by_source = sized.groupBy("source").agg(F.sum("size").cast("double").alias("words"))
     targets = stage(_targets(by_source, weights, share, cap), "targets")
@@ -74,7 +81,7 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float,
     # both odds as shares: v = q / (1 + q) lies in (0, 1) and orders like q
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     up, down = u * (1 - F.col("p")), (1 - u) * F.col("p") * F.col("odds")
-    ranked = sized.join(_bounded(plan, sources), sized.source.eqNullSafe(F.col("s"))).drop("s", "odds0")
+    ranked = sized.join(_bounded(plan, sources), sized.source.eqNullSafe(F.col("s"))).drop("s")
     ranked = ranked.withColumn("v", F.when(F.col("p") > 0, up / (up + down)).otherwise(F.lit(2.0)))
     ranked = ranked.withColumn("bin", F.when(F.col("p") > 0, F.least(F.floor(F.col("v") * CUT_BINS), F.lit(CUT_BINS - 1))).otherwise(F.lit(CUT_BINS)).cast("int"))
     ranked = stage(ranked.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "missing", "v", "bin"), "ranked")

@@ -358,14 +358,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     return model
 
 
-def score_toxicity(docs: DataFrame, model: Boosted, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and score double, for every row."""
-    schema = docs.select(*keep).schema.add("score", "double")
+def score_toxicity(docs: DataFrame, model: Boosted, keep: list[str], score: str = "score") -> DataFrame:
+    """The columns `keep` of docs, and the score as a double, for every row."""
+    schema = docs.select(*keep).schema.add(score, "double")
 
     def run(batches):
         for batch, x in _featured(batches, [model.stems]):
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x[0]))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x[0]))], names=[*keep, score])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
