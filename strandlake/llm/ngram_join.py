@@ -6,9 +6,10 @@ candidate if the two texts share an n-gram within their prefixes in that order (
 above the threshold is missed).  For candidates the overlaps of the fragments are counted apart and summed per pair.
 
 Scale:
-* texts with equal sets are one class; within an n-gram's list a text is first compared with the head of
-  the list and with its neighbour (linear), and only pairs whose ends are still in different components are compared
-  in a second round, so a group of n near copies costs O(n) and not O(n^2) comparisons;
+* texts with equal sets are one class; a text is first compared with two others only, the commonest head of its
+  n-grams' lists and its commonest neighbour in them, then in ROUNDS rounds with one more, its neighbour of another
+  component in a new random order of the lists; only pairs whose ends are still in different components after that are
+  all compared.  So a group of n near copies costs O(n) and not O(n^2) comparisons;
 * frequencies come from a count sketch over all texts whose size is bounded by MAX_SKETCH_BITS; it only steers the
   order, never the result;
 * the n-gram lists are sorted by Spark's external sorter and streamed, so no list is held in memory in round one.
@@ -34,6 +35,11 @@ MAX_SKETCH_BITS = 26
 MIN_SKETCH_BITS = 16
 #: Fragments of the global order: the last holds the frequent n-grams, the others equal ranges of hashes.
 FRAGMENTS = 4
+#: Rounds with one comparison a text before all pairs between components are compared.
+ROUNDS = 3
+_LINEAR, _FREQUENT = 192, 128
+#: Sets of at most so many n-grams have all their fragments in one row, larger ones a row for each.
+WHOLE = 8192
 _PAIRS_AT_ONCE = 1 << 22
 
 
@@ -89,7 +95,7 @@ def _survey(k: int, bits: int):
 
 
 def _classes(survey: DataFrame, bits: int) -> bytes:
-    """The frequency class of each bucket: 0 up to twice the mean count, then one more for each doubling.
+    """The frequency class of each bucket: its count (relative to the mean, if that is large), logarithmic at the top.
 
     The blocks are summed on the executors; the driver receives 2**bits bytes (at most 2**MAX_SKETCH_BITS).
     """
@@ -104,7 +110,8 @@ def _classes(survey: DataFrame, bits: int) -> bytes:
                 v = np.frombuffer(x, np.uint8).astype(np.uint32)
                 sums, block = (v if sums is None else sums + v), no
         if sums is not None:
-            cls = np.clip(np.floor(np.log2(np.maximum(sums / (2 * mean), 0.5))) + 1, 0, 60).astype(np.uint8)
+            level = sums * min(1.0, 48 / mean)
+            cls = np.where(level < _LINEAR, level, _LINEAR + np.minimum(63, 4 * np.log2(np.maximum(level, _LINEAR) / _LINEAR))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cls.tobytes()], pa.binary())], names=["block", "cls"])
 
     rows = survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, cls binary")
@@ -186,9 +193,12 @@ def _live(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:7], schema.types, strict=True)], schema=schema)
 
 
-def _fragment_rows(k: int, bits: int, shared, wanted, id_bits: int):
-    """(doc, frag, size, part): the n-grams of a wanted text in each fragment of the global order."""
-    schema = pa.schema([("doc", pa.int64()), ("frag", pa.int32()), ("size", pa.int32()), ("part", pa.binary())])
+def _fragment_rows(k: int, bits: int, shared, wanted, id_bits: int, num: int, den: int):
+    """(doc, frag, part): the n-grams of a wanted text in each fragment of the global order.
+
+    Up to WHOLE n-grams there is a row -1 with all fragments; sets that can be linked to larger ones have a row for each.
+    """
+    schema = pa.schema([("doc", pa.int64()), ("frag", pa.int32()), ("part", pa.binary())])
 
     def run(batches):
         cls = np.frombuffer(shared.value, np.uint8)
@@ -203,15 +213,18 @@ def _fragment_rows(k: int, bits: int, shared, wanted, id_bits: int):
             if not len(h):
                 continue
             c = cls[(h >> np.uint64(64 - bits)).astype(np.int64)]
-            frag = np.where(c > 0, FRAGMENTS - 1, ((h >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64))
+            frag = np.where(c >= _FREQUENT, FRAGMENTS - 1, ((h >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64))
             own, n = np.asarray(ids.cast(pa.int64())), np.diff(o)
             key = np.repeat(np.arange(len(n)), n) * FRAGMENTS + frag
             order = np.argsort(key, kind="stable")
             raw = h[order]
             cut = np.searchsorted(key[order], np.arange(len(n) * FRAGMENTS + 1))
-            at = np.flatnonzero(cut[1:] > cut[:-1])
-            parts = [raw[cut[i] : cut[i + 1]].tobytes() for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(own[at // FRAGMENTS]), pa.array((at % FRAGMENTS).astype(np.int32)), pa.array(n[at // FRAGMENTS].astype(np.int32)), pa.array(parts, pa.binary())], schema=schema)
+            split = (n * den >= WHOLE * num)[np.arange(len(n)).repeat(FRAGMENTS)]
+            at = np.flatnonzero((cut[1:] > cut[:-1]) & split)
+            one = np.flatnonzero((n > 0) & (n <= WHOLE))
+            parts = [raw[cut[i] : cut[i + 1]].tobytes() for i in at] + [raw[o[i] : o[i + 1]].tobytes() for i in one]
+            frags = np.r_[at % FRAGMENTS, np.full(len(one), -1)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own[np.r_[at // FRAGMENTS, one]]), pa.array(frags), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -224,7 +237,7 @@ def _overlaps(batches):
         for name in ("pa", "pb"):
             col = take_column(batch, name).cast(pa.large_binary())
             offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-            sides.append((np.frombuffer(col.buffers()[2], np.uint8), offs))
+            sides.append((np.frombuffer(col.buffers()[2] or b"", np.uint8), offs))
         both = sides[0][1] - sides[0][1][0] + sides[1][1] - sides[1][1][0]
         common = np.zeros(batch.num_rows, np.int64)
         for i, j in slices(both, 1 << 23):
@@ -241,6 +254,33 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([*(take_column(batch, c) for c in ("a", "b", "frag", "na", "nb")), pa.array(common)], schema=schema)
 
 
+def _strangers(num: int, den: int):
+    """For each row of a list the last row before it that is of another component; rows come sorted by n-gram."""
+    schema = pa.schema([("doc", pa.int64()), ("other", pa.int64())])
+
+    def run(batches):
+        held = None  # h, comp, and doc and size of the last row before the present run of one component, then of the last row
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, doc, size, comp = (np.asarray(take_column(b, c)) for c in ("h", "doc", "size", "comp"))
+            new_list = np.r_[held is None or h[0] != held[0], h[1:] != h[:-1]]
+            new_run = new_list | np.r_[held is None or comp[0] != held[1], comp[1:] != comp[:-1]]
+            start = np.maximum.accumulate(np.where(new_run, np.arange(len(h)), -1))
+            before_doc, before_size = np.r_[held[4] if held else 0, doc[:-1]], np.r_[held[5] if held else 0, size[:-1]]
+            at = np.maximum(start, 0)
+            other, other_size, has = before_doc[at], before_size[at], ~new_list[at]
+            if held:
+                inside = start < 0
+                other[inside], other_size[inside], has[inside] = held[2], held[3], held[3] > 0
+            ok = has & (np.minimum(size, other_size) * den >= np.maximum(size, other_size) * num)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(other[ok])], schema=schema)
+            held = (h[-1], comp[-1], other[-1], other_size[-1] if has[-1] else 0, doc[-1], size[-1])
+
+    return run
+
+
 def _cross(num: int, den: int):
     """Pairs of one n-gram's list whose ends are in different components; rows come sorted by n-gram."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -285,7 +325,8 @@ def _may_link(num: int, den: int):
                 elif len(y) > len(x):
                     q = q & fold | q >> m
                 keep.append((p ^ q).bit_count() * (den + num) <= (den - num) * (nx + ny))
-            yield pa.RecordBatch.from_arrays([take_column(b, "a"), take_column(b, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            cols = [take_column(b, "a"), take_column(b, "b"), take_column(b, "na").cast(pa.int32()), take_column(b, "nb").cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -307,46 +348,67 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     rows = docs.mapInArrow(_prefixes(k, bits, shared, num, den), "h long, size int, doc long")
     live = stage(rows.repartition("h").sortWithinPartitions("h", "size", "doc").mapInArrow(_live, "h long, doc long, size int, hub long, hub_size int, prev long, prev_size int"), "lists")
 
-    def near(x: str) -> DataFrame:
-        ok = F.least("size", f"{x}_size") * den >= F.greatest("size", f"{x}_size") * num
-        return live.where(ok & (F.col("doc") != F.col(x))).select(F.least("doc", x).alias("a"), F.greatest("doc", x).alias("b"))
+    def comparable(ids: DataFrame) -> DataFrame:
+        """The n-grams, in fragments, of the texts with these ids (and a few others)."""
+        flags, id_bits = bit_filter(ids)
+        return docs.mapInArrow(_fragment_rows(k, bits, shared, sc.broadcast(flags), id_bits, num, den), "doc long, frag int, part binary")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
         """The pairs that are linked: bitmaps rule most others out, then overlaps are summed over the fragments."""
         for x in "ab":
             pairs = pairs.join(sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"b{x}")), x)
-        pairs = stage(pairs.mapInArrow(_may_link(num, den), "a long, b long").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted, id_bits = bit_filter(ids)
-        wanted = sc.broadcast(wanted)
-        parts = docs.mapInArrow(_fragment_rows(k, bits, shared, wanted, id_bits), "doc long, frag int, size int, part binary")
-        left = parts.select(F.col("doc").alias("a"), "frag", F.col("size").alias("na"), F.col("part").alias("pa"))
-        right = parts.select(F.col("doc").alias("b"), F.col("frag").alias("g"), F.col("size").alias("nb"), F.col("part").alias("pb"))
-        both = pairs.join(left, "a").join(right, ["b"]).where("frag = g").select("a", "b", "frag", "na", "nb", "pa", "pb")
+        pairs = stage(pairs.mapInArrow(_may_link(num, den), "a long, b long, na int, nb int").distinct(), "pairs")
+        if parts is None:
+            parts = comparable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        rows = F.when(F.greatest("na", "nb") <= WHOLE, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, range(FRAGMENTS))))
+        left = parts.select(F.col("doc").alias("a"), "frag", F.col("part").alias("pa"))
+        right = parts.select(F.col("doc").alias("b"), "frag", F.col("part").alias("pb"))
+        both = pairs.withColumn("frag", F.explode(rows)).join(left, ["a", "frag"], "left").join(right, ["b", "frag"], "left")
+        none = F.lit(b"")
+        both = both.select("a", "b", "frag", "na", "nb", F.coalesce("pa", none).alias("pa"), F.coalesce("pb", none).alias("pb"))
         counted = both.mapInArrow(_overlaps, "a long, b long, frag int, na int, nb int, common long")
         counted = counted.groupBy("a", "b", "frag").agg(F.max("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         links = stage(summed.where(F.col("common") * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "links")
         drop_staged(pairs)
-        wanted.unpersist()
         return links
 
-    first = verified(near("hub").union(near("prev")).distinct())
-    found = components(first)
+    def undecided(lists: DataFrame, found: DataFrame) -> DataFrame:
+        """The lists with texts of more than one component."""
+        labelled = lists.join(found.distinct(), lists.doc == found.id, "left").select("h", "doc", "size", F.coalesce("component", "doc").alias("comp"))
+        mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+        return stage(labelled.join(mixed, "h", "left_semi"), "undecided")
+
+    def most_voted(votes: DataFrame) -> DataFrame:
+        best = votes.groupBy("doc", "other").count().groupBy("doc").agg(F.max(F.struct("count", "other")).alias("m")).select("doc", F.col("m.other").alias("other"))
+        return best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"))
+
+    def near(x: str) -> DataFrame:
+        ok = F.least("size", f"{x}_size") * den >= F.greatest("size", f"{x}_size") * num
+        return most_voted(live.where(ok & (F.col("doc") != F.col(x))).select("doc", F.col(x).alias("other")))
 
-    labelled = live.select("h", "doc", "size").distinct().join(found, live.doc == found.id, "left").select("h", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-    labelled = stage(labelled, "labelled")
+    links = verified(near("hub").union(near("prev")).distinct())
+    lists = undecided(live.select("h", "doc", "size").distinct(), components(links))
     drop_staged(live)
-    mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    cross = labelled.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h").mapInArrow(_cross(num, den), "a long, b long").distinct()
-    second = verified(cross)
-    drop_staged(labelled)
+    parts = stage(comparable(lists.select(F.col("doc").alias("id")).distinct()), "fragments")
+    for turn in range(ROUNDS):
+        dealt = lists.withColumn("deal", F.xxhash64(F.lit(turn), "doc")).repartition("h").sortWithinPartitions("h", "deal", "doc").drop("deal")
+        more = verified(most_voted(dealt.mapInArrow(_strangers(num, den), "doc long, other long")).distinct(), parts)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        after = undecided(lists.select("h", "doc", "size"), components(links))
+        drop_staged(lists)
+        lists = after
+    cross = lists.repartition("h").sortWithinPartitions("h").mapInArrow(_cross(num, den), "a long, b long").distinct()
+    links = links.union(verified(cross, parts))
+    drop_staged(lists)
+    drop_staged(parts)
 
     heads = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("head"))
     named = stage(owners.select("doc_id", "n", "s1", "s2").join(heads, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head")), "heads")
     drop_staged(survey)
 
-    links = first.union(second)
     ids = named.where("n > 0").select(F.col("doc_id").alias("id"), "head").distinct()
     links = links.join(ids.select(F.col("id").alias("a"), F.col("head").alias("ha")), "a").join(ids.select(F.col("id").alias("b"), F.col("head").alias("hb")), "b")
     whole = components(links.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
