@@ -7,8 +7,8 @@ above the threshold is missed).  For candidates the overlaps of the fragments ar
 
 Scale:
 * texts with equal sets are one class; a text is first compared with two others only, the commonest head of its
-  n-grams' lists and its commonest neighbour in them, then in ROUNDS rounds with one more, its neighbour of another
-  component in a new random order of the lists; only pairs whose ends are still in different components after that are
+  n-grams' lists and its commonest neighbour in them, then in ROUNDS rounds with ORDERS more, its neighbours of other
+  components in new random orders of the lists; only pairs whose ends are still in different components after that are
   all compared.  So a group of n near copies costs O(n) and not O(n^2) comparisons;
 * frequencies come from a count sketch over all texts whose size is bounded by MAX_SKETCH_BITS; it only steers the
   order, never the result;
@@ -35,8 +35,12 @@ MAX_SKETCH_BITS = 26
 MIN_SKETCH_BITS = 16
 #: Fragments of the global order: the last holds the frequent n-grams, the others equal ranges of hashes.
 FRAGMENTS = 4
-#: Rounds with one comparison a text before all pairs between components are compared.
-ROUNDS = 3
+#: Bits of the least bitmap of a set, and of those that lists carry into the last comparison.
+SHORT_BITS = 512
+#: Rounds, and comparisons of a text in each, before all pairs between components are compared.
+ROUNDS, ORDERS = 3, 4
+#: Ids by which the compared n-grams are picked with a broadcast, at most (8 MB); beyond it all are shuffled.
+MAX_BROADCAST_IDS = 500_000
 _LINEAR, _FREQUENT = 192, 128
 #: Sets of at most so many n-grams have all their fragments in one row, larger ones a row for each.
 WHOLE = 8192
@@ -67,7 +71,7 @@ def _bitmaps(h: np.ndarray, o: np.ndarray) -> list[bytes]:
     """A bit for each n-gram in 2n bits at least (a power of two): |x XOR y| is no less than the bits that differ."""
     out = []
     for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
-        bits = np.zeros(max(64, 1 << (2 * (j - i) - 1).bit_length()) if j > i else 64, bool)
+        bits = np.zeros(max(SHORT_BITS, 1 << (2 * (j - i) - 1).bit_length()) if j > i else SHORT_BITS, bool)
         bits[(h[i:j] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
         out.append(np.packbits(bits, bitorder="little").tobytes())
     return out
@@ -281,24 +285,39 @@ def _strangers(num: int, den: int):
     return run
 
 
+def _folded(batches):
+    """Lists with the bitmaps folded to SHORT_BITS."""
+    m = SHORT_BITS // 8
+    for b in batches:
+        out = [np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, m), 0).tobytes() for x in take_column(b, "bitmap").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(take_column(b, c) for c in ("h", "doc", "size", "comp")), pa.array(out, pa.binary())], names=["h", "doc", "size", "comp", "short"])
+
+
 def _cross(num: int, den: int):
-    """Pairs of one n-gram's list whose ends are in different components; rows come sorted by n-gram."""
+    """Pairs of one n-gram's list whose ends are in different components and whose bitmaps allow a link; rows come sorted by n-gram."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(doc, size, comp):
+    def pairs(doc, size, comp, short):
         small, big = np.minimum, np.maximum
         step = max(1, _PAIRS_AT_ONCE // len(doc))
         for i in range(0, len(doc), step):
             x = slice(i, i + step)
             ok = (comp[x, None] != comp) & (doc[x, None] < doc) & (den * small(size[x, None], size) >= num * big(size[x, None], size))
             a, b = np.nonzero(ok)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[x][a]), pa.array(doc[b])], schema=schema)
+            for j in range(0, len(a), 1 << 18):
+                p, q = a[j : j + (1 << 18)] + i, b[j : j + (1 << 18)]
+                differ = np.bitwise_count(short[p] ^ short[q]).sum(1, dtype=np.int64)
+                keep = differ * (den + num) <= (den - num) * (size[p].astype(np.int64) + size[q])
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[p[keep]]), pa.array(doc[q[keep]])], schema=schema)
 
     def run(batches):
         held: list[np.ndarray] | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
             cols = [np.asarray(take_column(b, c)) for c in ("h", "doc", "size", "comp")]
+            cols.append(np.frombuffer(b"".join(take_column(b, "short").to_pylist()), np.uint64).reshape(b.num_rows, -1))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             cut = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
@@ -360,12 +379,14 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         pairs = stage(pairs.mapInArrow(_may_link(num, den), "a long, b long, na int, nb int").distinct(), "pairs")
         if parts is None:
             parts = comparable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if ids.count() <= MAX_BROADCAST_IDS:
+            parts = parts.join(F.broadcast(ids), parts["doc"] == ids["id"], "left_semi")
         rows = F.when(F.greatest("na", "nb") <= WHOLE, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, range(FRAGMENTS))))
         left = parts.select(F.col("doc").alias("a"), "frag", F.col("part").alias("pa"))
         right = parts.select(F.col("doc").alias("b"), "frag", F.col("part").alias("pb"))
-        both = pairs.withColumn("frag", F.explode(rows)).join(left, ["a", "frag"], "left").join(right, ["b", "frag"], "left")
-        none = F.lit(b"")
-        both = both.select("a", "b", "frag", "na", "nb", F.coalesce("pa", none).alias("pa"), F.coalesce("pb", none).alias("pb"))
+        both = pairs.withColumn("frag", F.explode(rows)).join(left, ["a", "frag"]).join(right, ["b", "frag"])
+        both = both.select("a", "b", "frag", "na", "nb", "pa", "pb")
         counted = both.mapInArrow(_overlaps, "a long, b long, frag int, na int, nb int, common long")
         counted = counted.groupBy("a", "b", "frag").agg(F.max("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
@@ -392,15 +413,21 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     drop_staged(live)
     parts = stage(comparable(lists.select(F.col("doc").alias("id")).distinct()), "fragments")
     for turn in range(ROUNDS):
-        dealt = lists.withColumn("deal", F.xxhash64(F.lit(turn), "doc")).repartition("h").sortWithinPartitions("h", "deal", "doc").drop("deal")
-        more = verified(most_voted(dealt.mapInArrow(_strangers(num, den), "doc long, other long")).distinct(), parts)
+        tried = None
+        for order in range(ORDERS):
+            dealt = lists.withColumn("deal", F.xxhash64(F.lit(turn * ORDERS + order), "doc")).repartition("h").sortWithinPartitions("h", "deal", "doc").drop("deal")
+            one = most_voted(dealt.mapInArrow(_strangers(num, den), "doc long, other long"))
+            tried = one if tried is None else tried.union(one)
+        more = verified(tried.distinct(), parts)
         if more.isEmpty():
             break
         links = links.union(more)
         after = undecided(lists.select("h", "doc", "size"), components(links))
         drop_staged(lists)
         lists = after
-    cross = lists.repartition("h").sortWithinPartitions("h").mapInArrow(_cross(num, den), "a long, b long").distinct()
+    drawn = lists.join(sets.select("doc_id", "bitmap").dropDuplicates(["doc_id"]), F.col("doc") == F.col("doc_id")).select("h", "doc", "size", "comp", "bitmap")
+    short = drawn.mapInArrow(_folded, "h long, doc long, size int, comp long, short binary")
+    cross = short.repartition("h").sortWithinPartitions("h").mapInArrow(_cross(num, den), "a long, b long").distinct()
     links = links.union(verified(cross, parts))
     drop_staged(lists)
     drop_staged(parts)
