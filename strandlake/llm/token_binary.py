@@ -19,6 +19,7 @@ documents, ordered by text; an empty table gives no blocks; a very long text mak
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,7 +54,7 @@ class _Model:
         self.guess2, self.sure2 = np.zeros(_SLOTS2, np.int64), np.zeros(_SLOTS2, np.int64)
         self.seen = np.tile(np.array([2.0, 1.0, 4.0]), (128, 1))
         self.counts = np.zeros(vocab, np.int64)
-        self.step = 0
+        self.step, self.fresh = 0, []
         self._share()
         self._spread()
 
@@ -86,12 +87,13 @@ class _Model:
             guess[at] = np.where(hit | (c > 1), p, ids)  # of equal contexts in one step the last lane counts
             sure[at] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
         self.seen += np.bincount(self.state * 3 + outcome, minlength=384).reshape(128, 3)
-        self._share()
-        self.counts += np.bincount(ids, minlength=self.vocab) if len(ids) * 8 > self.vocab else 0
-        if len(ids) * 8 <= self.vocab:
-            np.add.at(self.counts, ids, 1)
+        if self.step < 32 or self.step % 8 == 0:
+            self._share()
+        self.fresh.append(ids)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 32 == 0:
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.vocab)
+            self.fresh = []
             self._spread()
 
     def id_at(self, slot: np.ndarray) -> np.ndarray:
@@ -211,6 +213,27 @@ def decode_block(block: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- tokenizing
 
 
+#: Controls that libraries disagree on as white space: such texts go through the tokenizers library whole.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85]").search
+#: The public pattern for texts of ASCII and Latin letters only, for the quicker standard module.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_UNUSUAL = re.compile(f"[^\\t-\\r -~{_LATIN}]").search
+_PLAIN_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+").findall
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes; a piece that is not known yet goes through the library."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        letters, merge = self.encoder.letters, self.encoder.merge
+        self[piece] = out = b"".join([t.id.to_bytes(4, "little") for t in merge(piece.encode().decode("latin-1").translate(letters))])
+        return out
+
+
 class Encoder:
     """Ids of texts, as the tokenizers library gives them; pieces between which it never merges are remembered.
 
@@ -237,17 +260,15 @@ class Encoder:
         self.letters = {b: b if b in plain else 256 + i for i, b in [*((0, b) for b in plain), *enumerate(b for b in range(256) if b not in plain)]}
         self.merge = self.lib.model.tokenize
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        whole = [self.split is None or any(a in t for a in self.added) for t in texts]
-        pieces = [[] if w else self.split(t) for w, t in zip(whole, texts, strict=True)]
+        whole = [self.split is None or any(a in t for a in self.added) or bool(_ODD_SPACE(t)) for t in texts]
+        pieces = [[] if w else self.split(t) if _UNUSUAL(t) else _PLAIN_SPLIT(t) for w, t in zip(whole, texts, strict=True)]
         known = self.known
         if len(known) > CACHE_PIECES:
             known.clear()
-        for p in set().union(*pieces).difference(known):
-            known[p] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(p.encode().decode("latin-1").translate(self.letters))])
         get = known.__getitem__
         return [np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, p)) for w, t, p in zip(whole, texts, pieces, strict=True)]
 
