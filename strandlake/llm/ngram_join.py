@@ -38,13 +38,13 @@ FRAGMENTS = 4
 #: Bits of the least bitmap of a set, and of those that lists carry into the last comparison.
 SHORT_BITS = 512
 #: Rounds, and comparisons of a text in each, before all pairs between components are compared.
-ROUNDS, ORDERS = 3, 4
+ROUNDS, ORDERS = 2, 2
 #: Ids by which the compared n-grams are picked with a broadcast, at most (8 MB); beyond it all are shuffled.
 MAX_BROADCAST_IDS = 500_000
 _LINEAR, _FREQUENT = 192, 128
 #: Sets of at most so many n-grams have all their fragments in one row, larger ones a row for each.
 WHOLE = 8192
-_PAIRS_AT_ONCE = 1 << 22
+_PAIRS_AT_ONCE = 1 << 19
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -304,8 +304,8 @@ def _cross(num: int, den: int):
             x = slice(i, i + step)
             ok = (comp[x, None] != comp) & (doc[x, None] < doc) & (den * small(size[x, None], size) >= num * big(size[x, None], size))
             a, b = np.nonzero(ok)
-            for j in range(0, len(a), 1 << 18):
-                p, q = a[j : j + (1 << 18)] + i, b[j : j + (1 << 18)]
+            for j in range(0, len(a), 1 << 16):
+                p, q = a[j : j + (1 << 16)] + i, b[j : j + (1 << 16)]
                 differ = np.bitwise_count(short[p] ^ short[q]).sum(1, dtype=np.int64)
                 keep = differ * (den + num) <= (den - num) * (size[p].astype(np.int64) + size[q])
                 if keep.any():
