@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import BLOCK, bit_filter, components, cut_blocks, drop_staged, in_filter, mix, shingle_sets, slices, stage, take_column, text_bytes
+from strandlake.llm.common import BLOCK, batch_rows, bit_filter, components, cut_blocks, drop_staged, in_filter, lean, mix, shingle_sets, slices, stage, take_column, text_bytes
 
 #: log2 of the most buckets of the frequency sketch (64 MB, one byte each); below it, about 32 n-grams share a bucket.
 MAX_SKETCH_BITS = 26
@@ -42,6 +42,8 @@ ROUNDS, ORDERS = 2, 2
 #: Ids by which the compared n-grams are picked with a broadcast, at most (8 MB); beyond it all are shuffled.
 MAX_BROADCAST_IDS = 500_000
 _LINEAR, _FREQUENT = 192, 128
+#: Rows of an Arrow batch: they hold texts or sets, so a batch is a few MB.
+_BATCH_ROWS = 2000
 #: Sets of at most so many n-grams have all their fragments in one row, larger ones a row for each.
 WHOLE = 8192
 _PAIRS_AT_ONCE = 1 << 19
@@ -355,28 +357,33 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     Two texts are linked if den * |intersection| >= num * |union| for their sets of k-word shingles.
     """
+    with batch_rows(docs.sparkSession, _BATCH_ROWS):
+        return _components(docs, k, num, den)
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sc = docs.sparkSession.sparkContext
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.log2(max(1, chars / 6.5 / 32)), MIN_SKETCH_BITS, MAX_SKETCH_BITS))
-    survey = stage(docs.mapInArrow(_survey(k, bits), "doc_id long, n long, s1 long, s2 long, bitmap binary, block int, counts binary"), "survey")
+    survey = stage(docs.mapInArrow(lean(_survey(k, bits)), "doc_id long, n long, s1 long, s2 long, bitmap binary, block int, counts binary"), "survey")
     shared = sc.broadcast(_classes(survey, bits))
     owners = survey.where("block is null")
     sets = owners.where("n > 0 and doc_id is not null")
 
-    rows = docs.mapInArrow(_prefixes(k, bits, shared, num, den), "h long, size int, doc long")
-    live = stage(rows.repartition("h").sortWithinPartitions("h", "size", "doc").mapInArrow(_live, "h long, doc long, size int, hub long, hub_size int, prev long, prev_size int"), "lists")
+    rows = docs.mapInArrow(lean(_prefixes(k, bits, shared, num, den)), "h long, size int, doc long")
+    live = stage(rows.repartition("h").sortWithinPartitions("h", "size", "doc").mapInArrow(lean(_live), "h long, doc long, size int, hub long, hub_size int, prev long, prev_size int"), "lists")
 
     def comparable(ids: DataFrame) -> DataFrame:
         """The n-grams, in fragments, of the texts with these ids (and a few others)."""
         flags, id_bits = bit_filter(ids)
-        return docs.mapInArrow(_fragment_rows(k, bits, shared, sc.broadcast(flags), id_bits, num, den), "doc long, frag int, part binary")
+        return docs.mapInArrow(lean(_fragment_rows(k, bits, shared, sc.broadcast(flags), id_bits, num, den)), "doc long, frag int, part binary")
 
     def verified(pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
         """The pairs that are linked: bitmaps rule most others out, then overlaps are summed over the fragments."""
         for x in "ab":
             pairs = pairs.join(sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"b{x}")), x)
-        pairs = stage(pairs.mapInArrow(_may_link(num, den), "a long, b long, na int, nb int").distinct(), "pairs")
+        pairs = stage(pairs.mapInArrow(lean(_may_link(num, den)), "a long, b long, na int, nb int").distinct(), "pairs")
         if parts is None:
             parts = comparable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -387,7 +394,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         right = parts.select(F.col("doc").alias("b"), "frag", F.col("part").alias("pb"))
         both = pairs.withColumn("frag", F.explode(rows)).join(left, ["a", "frag"]).join(right, ["b", "frag"])
         both = both.select("a", "b", "frag", "na", "nb", "pa", "pb")
-        counted = both.mapInArrow(_overlaps, "a long, b long, frag int, na int, nb int, common long")
+        counted = both.mapInArrow(lean(_overlaps), "a long, b long, frag int, na int, nb int, common long")
         counted = counted.groupBy("a", "b", "frag").agg(F.max("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         links = stage(summed.where(F.col("common") * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "links")
@@ -416,7 +423,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         tried = None
         for order in range(ORDERS):
             dealt = lists.withColumn("deal", F.xxhash64(F.lit(turn * ORDERS + order), "doc")).repartition("h").sortWithinPartitions("h", "deal", "doc").drop("deal")
-            one = most_voted(dealt.mapInArrow(_strangers(num, den), "doc long, other long"))
+            one = most_voted(dealt.mapInArrow(lean(_strangers(num, den)), "doc long, other long"))
             tried = one if tried is None else tried.union(one)
         more = verified(tried.distinct(), parts)
         if more.isEmpty():
@@ -426,8 +433,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         drop_staged(lists)
         lists = after
     drawn = lists.join(sets.select("doc_id", "bitmap").dropDuplicates(["doc_id"]), F.col("doc") == F.col("doc_id")).select("h", "doc", "size", "comp", "bitmap")
-    short = drawn.mapInArrow(_folded, "h long, doc long, size int, comp long, short binary")
-    cross = short.repartition("h").sortWithinPartitions("h").mapInArrow(_cross(num, den), "a long, b long").distinct()
+    short = drawn.mapInArrow(lean(_folded), "h long, doc long, size int, comp long, short binary")
+    cross = short.repartition("h").sortWithinPartitions("h").mapInArrow(lean(_cross(num, den)), "a long, b long").distinct()
     links = links.union(verified(cross, parts))
     drop_staged(lists)
     drop_staged(parts)
