@@ -198,3 +198,45 @@ def jensen_shannon(a: DataFrame, b: DataFrame) -> float:
         return float((x[ok] * np.log2(x[ok] / m[ok])).sum())
 
     return round(math.sqrt(max(0.0, (entropy(p) + entropy(q)) / 2)), 15)
+
+
+def poisson_expected(mean: float) -> tuple[float, float, float]:
+    """AUC, x-intercept and elbow of the fingerprint that Poisson coverage of this mean would have."""
+    top = poisson_tail(mean, 1 - 5e-6, False)
+    k = np.arange(top + 1)
+    pmf = np.exp(k * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k]))
+    bins, signal = np.cumsum(pmf), np.cumsum(pmf * k)
+    signal /= signal[-1]
+    return float((pmf * signal).sum()), float(bins[np.flatnonzero(signal)[0]]), float(bins[np.argmax(bins - signal)])
+
+
+def synthetic_jsd(h: DataFrame) -> float:
+    """Distance of a coverage histogram (v, n) to Poisson coverage of its mean; bins without reads are left out."""
+    r = h.agg(F.sum("n"), F.sum(F.col("v") * F.col("n"))).first()
+    mean = r[1] / r[0]
+    top = max(2, poisson_tail(mean, 1 - 1e-12, False))
+    rows = [(float(k), float(r[1] * math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)))) for k in range(1, top + 1)]
+    return jensen_shannon(h.where("v > 0"), h.sparkSession.createDataFrame(rows, "v double, n double"))
+
+
+def chance(values: DataFrame, keys: list[str], treated: str, control: str, value: str = "value") -> DataFrame:
+    """(percent, difference, divergence) of a treated sample against its control.
+
+    Bins are taken in order of the treated value, bins of equal value together (their order is undefined otherwise); so the
+    curves have one point for each distinct value.  At the widest gap between the curves: percent of bins beyond it, the
+    gap in percent, and the root of the binary divergence of both shares.  Without a gap all are 0.
+    """
+    wide = values.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("sample") == s, F.col(value))), F.lit(0.0)).alias(c) for s, c in ((treated, "t"), (control, "c"))])
+    points = wide.groupBy("t").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
+    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # distinct counts only
+    every = Window.partitionBy()
+    curve = points.select("t", F.sum("n").over(w).alias("upto"), F.sum("n").over(every).alias("all"), (F.sum(F.col("t") * F.col("n")).over(w) / F.sum(F.col("t") * F.col("n")).over(every)).alias("p"), (F.sum("c").over(w) / F.sum("c").over(every)).alias("q"))
+    best = curve.agg(F.max(F.struct((F.col("q") - F.col("p")).alias("gap"), (-F.col("t")).alias("t"), "upto", "all", "p", "q")).alias("b")).select("b.*")
+
+    def entropy(x: Column, m: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) + F.when(x < 1, (1 - x) * F.log2((1 - x) / (1 - m))).otherwise(0.0)
+
+    m = (F.col("p") + F.col("q")) / 2
+    div = F.sqrt(F.greatest(F.lit(0.0), (entropy(F.col("p"), m) + entropy(F.col("q"), m)) / 2))
+    ok = F.col("gap") >= 1e-6
+    return best.select(*[F.when(ok, x).otherwise(0.0).alias(c) for c, x in (("percent", 100.0 * (F.col("all") - F.col("upto") + 1) / F.col("all")), ("difference", 100.0 * F.col("gap")), ("divergence", div))])
