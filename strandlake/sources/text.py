@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +77,43 @@ def write_counts(df: DataFrame, path: str, labels: list[str]) -> None:
     """Long counts (chrom, start, end, sample, value) as a wide tab-separated table with a column for each label."""
     wide = df.groupBy("chrom", "start", "end").pivot("sample", labels).agg(F.first("value"))
     wide.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").write.csv(path, sep="\t", header=True)
+
+
+def write_matrix(m: DataFrame, header: dict, path: str, order: tuple[str, ...] = ("group", "region")) -> None:
+    """A gzip matrix file: a line with the JSON header, then chrom, start, end, name, score, strand and the bins.
+
+    The format is one file, so one task writes it; its rows are sorted by Spark's external sorter and streamed.
+    """
+    bins = F.concat_ws("\t", F.transform("bins", lambda x: F.when(x.isNull(), "nan").otherwise(F.format_string("%.6f", x))))
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in ("chrom", "start", "end", "name", "score", "strand")]
+    rows = m.select(F.lit(1).alias("_part"), *order, F.concat_ws("\t", *fields, bins).alias("value"))
+    first = m.sparkSession.createDataFrame([(0, "@" + json.dumps(header))], "_part int, value string")
+    lines = rows.unionByName(first, allowMissingColumns=True).repartition(1).sortWithinPartitions("_part", *order)
+    lines.select("value").write.option("compression", "gzip").text(path)
+
+
+def read_matrix_header(spark: SparkSession, path: str) -> dict:
+    line = spark.read.text(path).where(F.startswith("value", F.lit("@"))).first()
+    return json.loads(line.value[1:]) if line else {}
+
+
+def write_bed12(regions: DataFrame, path: str, order: tuple[str, ...] = ("group", "region")) -> None:
+    """Sorted regions with their exons as blocks (sizes and starts relative to the region) and their group in column 13."""
+    e = F.coalesce("exons", F.array(F.struct("start", "end"))) if "exons" in regions.columns else F.array(F.struct("start", "end"))
+    sizes = F.concat_ws(",", F.transform(e, lambda b: (b["end"] - b["start"]).cast("string")))
+    starts = F.array_join(F.transform(e, lambda b: (b["start"] - F.col("start")).cast("string")), ",")
+    fields = ["chrom", "start", "end", "name", F.coalesce(F.col("score").cast("string"), F.lit(".")).alias("score"), "strand", F.col("start").alias("t0"), F.col("end").alias("t1"), F.lit("0").alias("rgb"), F.size(e).alias("n"), sizes.alias("sizes"), starts.alias("starts"), "group"]
+    regions.repartitionByRange(*order).sortWithinPartitions(*order).select(*fields).write.csv(path, sep="\t", header=False)
+
+
+def write_profile(profile: DataFrame, path: str, statistic: str = "mean") -> None:
+    """One line for each group with its values in order of the bins; missing ones stay empty."""
+    cells = F.array_sort(F.collect_list(F.struct("bin", F.col(statistic).alias("v"))))
+    values = F.array_join(F.transform("_cells", lambda c: F.coalesce(c["v"].cast("string"), F.lit(""))), "\t")
+    lines = profile.groupBy("group").agg(cells.alias("_cells")).sort("group")
+    lines.select(F.concat_ws("\t", F.col("group").cast("string"), values).alias("value")).write.text(path)
+
+
+def split_by_group(regions: DataFrame, path: str) -> None:
+    """A folder of tab-separated files for each group."""
+    regions.write.partitionBy("group").csv(path, sep="\t")

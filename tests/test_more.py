@@ -8,6 +8,8 @@ from strandlake.functions import blocks as bl
 from strandlake.functions import names as nm
 from strandlake.operators import cluster as cl
 from strandlake.operators import gc, qc
+from strandlake.operators import matrix as mx
+from strandlake.sources import text
 
 EXONS = [(0, 200), (300, 400), (800, 900)]
 
@@ -71,3 +73,26 @@ def test_ward_and_silhouettes(spark):
         outside = min(dist[i][labels == c].mean() for c in (1, 2, 3) if c != labels[i])
         assert abs(s - (outside - inside) / max(inside, outside)) < 1e-9
     assert {r.region: r.cluster for r in cl.hierarchical(m, 3).collect()} == {i: int(c) for i, c in enumerate(labels)}
+
+
+def _regions(spark):
+    rows = [("g", 2, "c", 10, 40, "b", 1.0, "-", [(10, 20), (30, 40)], [None, 2.5]), ("g", 1, "c", 5, 9, "a", None, "+", None, [1.0, 0.0])]
+    return spark.createDataFrame(rows, "group string, region long, chrom string, start long, end long, name string, score double, strand string, exons array<struct<start:bigint,end:bigint>>, bins array<double>")
+
+
+def test_matrix_file_round_trip(spark, tmp_path):
+    p = str(tmp_path / "m")
+    text.write_matrix(_regions(spark), {"bin size": [10]}, p)
+    assert text.read_matrix_header(spark, p) == {"bin size": [10]}
+    assert [(r.name, r.strand, r.bins) for r in text.read_matrix(spark, p).collect()] == [("a", "+", [1.0, 0.0]), ("b", "-", [None, 2.5])]
+
+
+def test_region_and_profile_files(spark, tmp_path):
+    r = _regions(spark)
+    text.write_bed12(r, str(tmp_path / "bed"))
+    lines = sorted(x.value for x in spark.read.text(str(tmp_path / "bed")).collect())
+    assert lines == ["c\t10\t40\tb\t1.0\t-\t10\t40\t0\t2\t10,10\t0,20\tg", "c\t5\t9\ta\t.\t+\t5\t9\t0\t1\t4\t0\tg"]
+    text.write_profile(mx.profile(r.select("group", "region", "bins")), str(tmp_path / "profile"))
+    assert [x.value for x in spark.read.text(str(tmp_path / "profile")).collect()] == ["g\t1.0\t1.25"]
+    text.split_by_group(r.select("group", "chrom", "start", "end"), str(tmp_path / "split"))
+    assert spark.read.csv(str(tmp_path / "split" / "group=g"), sep="\t").count() == 2
