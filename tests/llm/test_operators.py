@@ -1,6 +1,7 @@
 """Each operator against a plain version, and the defined cases: nulls, empty and repeated rows, empty tables, odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -180,6 +181,41 @@ def test_contaminated(spark, empty):
     assert all(any(k not in m for m in dc.MASKS) for k in range(dc.SPAN))
 
 
+def _stretch(x, y, span=11):
+    """(matched, window) of the best aligned stretch of two word lists of which 80 % agree, by trying all; or None."""
+    best = (0, 0)
+    for diag in {p - j for p, v in enumerate(x) for j, w in enumerate(y) if v == w}:
+        same = [x[diag + j] == y[j] for j in range(max(0, -diag), min(len(y), len(x) - diag))]
+        for a in range(len(same)):
+            for b in range(a + span, len(same) + 1):
+                if sum(same[a:b]) * 5 >= 4 * (b - a):
+                    best = max(best, (sum(same[a:b]), a - b))
+    return (best[0], -best[1]) if best[0] else None
+
+
+def test_contaminated_stretches(spark):
+    """Passages from inside longer items in longer documents, with any placing of the changed words that num/den allows."""
+    from strandlake.llm import decontaminate as dc
+
+    rnd = random.Random(8)
+    items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate((60, 48, 11))]
+    cases = [(0, lo, n, ()) for n in range(9, 22) for lo in (0, 20, 60 - n)]
+    cases += [(1, rnd.choice([0, 4, 48 - n]), n, rnd.sample(range(n), n // 5 + more)) for n in (11, 14, 15, 16, 19, 20, 21, 40) for more in (0, 0, 0, 0, 0, 0, 1, 2)]
+    cases += [(2, 0, 11, (3, 7)), (2, 0, 11, (3, 5, 7)), (1, 20, 15, (4, 7, 10)), (1, 20, 20, (4, 8, 12, 15))]
+    docs = []
+    for i, lo, n, changed in cases:
+        at = rnd.choice([0, 1, 30, 40])
+        words = [f"c{k}" if k in changed else w for k, w in enumerate(items[i][lo : lo + n])]
+        docs.append([f"d{k}" for k in range(at)] + words + [f"e{k}" for k in range(40 - at)])
+    want = {(d, i): found for d, x in enumerate(docs) for i, y in enumerate(items) if (found := _stretch(x, y))}
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (r.matched, r.window) for r in dc.contaminated(d, b).collect()} == want
+    for n in range(dc.SPAN, 2 * dc.SPAN):
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(all(s + k not in gone for k in mask) for mask in dc.MASKS for s in range(n - mask[-1]))
+
+
 def test_vectors(spark):
     from strandlake.llm.vector_join import vector_components
 
