@@ -23,10 +23,13 @@ def zones_reference_point(regions: DataFrame, before: int, after: int, width: in
 
 
 def zones_scaled(regions: DataFrame, body: int, before: int, after: int, width: int) -> DataFrame:
-    """Regions of any length scaled to body / width bins, with fixed-size flanks."""
+    """Regions of any length scaled to body / width bins of at least one base, with fixed-size flanks.
+
+    The bins of a region shorter than one bin (width) are empty, flanks too, so all its values are missing.
+    """
     b, a, n = before // width, after // width, body // width
     size = F.col("end") - F.col("start")
-    out = regions.where(size >= n).select("group", "region", "chrom", "strand", F.col("start").alias("_s"), size.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(b + n + a - 1))).alias("_k"))
+    out = regions.select("group", "region", "chrom", "strand", F.col("start").alias("_s"), size.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(b + n + a - 1))).alias("_k"))
     k = F.when(F.col("strand") == "-", b + n + a - 1 - F.col("_k")).otherwise(F.col("_k"))
     left, right = F.when(F.col("strand") == "-", F.lit(after)).otherwise(F.lit(before)), F.when(F.col("strand") == "-", F.lit(a)).otherwise(F.lit(b))
     i = F.col("_k") - right
@@ -35,7 +38,8 @@ def zones_scaled(regions: DataFrame, body: int, before: int, after: int, width:
         .when(i < n, F.col("_s") + F.floor(i * F.col("_n") / n))
         .otherwise(F.col("_s") + F.col("_n") + (i - n) * width)
     )
-    end = F.when(F.col("_k") < right, start + width).when(i < n, F.col("_s") + F.floor((i + 1) * F.col("_n") / n)).otherwise(start + width)
+    end = F.when(F.col("_k") < right, start + width).when(i < n, F.greatest(F.col("_s") + F.floor((i + 1) * F.col("_n") / n), start + 1)).otherwise(start + width)
+    start, end = (F.when(F.col("_n") < width, F.col("_s")).otherwise(x) for x in (start, end))
     return out.withColumn("bin", k.cast("int")).withColumn("start", start.cast("long")).withColumn("end", end.cast("long")).select("group", "region", "chrom", "strand", "bin", "start", "end")
 
 

@@ -90,6 +90,21 @@ def test_matrix_strand_and_text(spark, tmp_path):
     assert {(r.group, r.strand) for r in text.read_bed(spark, str(b)).collect()} == {("one", "."), ("genes", "-")}
 
 
+def test_scaled_regions_keep_short_ones(spark):
+    """Under one bin: a row of missing values (or zeros); fewer bases than bins: bins of one base."""
+    regs = spark.createDataFrame([("g", k, "c", 100, 100 + n, s) for k, (n, s) in enumerate([(0, "+"), (3, "-"), (7, "+"), (7, "-"), (20, "+")])], "group string, region int, chrom string, start long, end long, strand string")
+    sig = spark.createDataFrame([("c", k, k + 1, float(k)) for k in range(80, 140)], "chrom string, start long, end long, value double")
+    z = mx.zones_scaled(regs, 50, 5, 10, 5)
+    got = {r.region: r.bins for r in mx.to_rows(mx.bin_values(z, sig)).collect()}
+    body = [100.0 + k * 7 // 10 for k in range(10)]
+    assert got[0] == got[1] == [None] * 13
+    assert got[2] == [97.0, *body, 109.0, 114.0]
+    assert got[3] == [109.0, *body[::-1], 97.0, 92.0]
+    assert got[4] == [97.0, *[100.5 + 2 * k for k in range(10)], 122.0, 127.0]
+    zero = {r.region: r.bins for r in mx.to_rows(mx.bin_values(z, sig, zero_missing=True)).collect()}
+    assert zero[0] == zero[1] == [0.0] * 13 and zero[2] == got[2]
+
+
 def test_registry_matches(spark):
     from strandlake.plans import registry
 
