@@ -274,7 +274,8 @@ def a7_a8_kept_reads(spark, d):
     a = rd.filter_reads(ad.alignments(spark, d)).select("sample", "chrom", F.col("pos").alias("start"), "end", "mapq")
     inside = iv.overlap_join(a, ad.blacklist(spark, d), "semi", contained=True).groupBy("sample").agg(F.count("*").alias("blacklisted"))
     every = a.groupBy("sample").agg(F.count("*").alias("mapped"), F.avg((F.col("mapq") < 3).cast("double")).alias("lost"))
-    return every.join(inside, "sample").select("sample", "mapped", "blacklisted", r6((F.col("mapped") - F.col("blacklisted")) * (1 - F.col("lost"))).alias("kept"))
+    every = every.join(inside, "sample", "left").fillna({"blacklisted": 0})
+    return every.select("sample", "mapped", "blacklisted", r6((F.col("mapped") - F.col("blacklisted")) * (1 - F.col("lost"))).alias("kept"))
 
 
 @query(sql("aln", """, k AS (SELECT *, row_number() OVER (PARTITION BY sample, chrom, pos, "end", mate_pos, tlen, flag & 16 ORDER BY read_id) AS dup FROM aln) SELECT sample, count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (mapq < 4) AS low_mapq,

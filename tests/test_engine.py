@@ -105,6 +105,17 @@ def test_scaled_regions_keep_short_ones(spark):
     assert zero[0] == zero[1] == [0.0] * 13 and zero[2] == got[2]
 
 
+def test_kept_reads_without_blacklisted_ones(spark, monkeypatch):
+    from strandlake.plans import adapters, registry
+
+    rows = [("F", "A", 10, 20, 0, 5), ("F", "A", 50, 60, 0, 1), ("O", "A", 50, 60, 0, 5), ("O", "A", 70, 80, 4, 5)]
+    monkeypatch.setattr(adapters, "alignments", lambda *_: spark.createDataFrame(rows, "sample string, chrom string, pos long, end long, flag int, mapq int"))
+    for black, want in (([("A", 5, 25)], {"F": (2, 1, 0.5), "O": (1, 0, 1.0)}), ([], {"F": (2, 0, 1.0), "O": (1, 0, 1.0)})):
+        monkeypatch.setattr(adapters, "blacklist", lambda *_, b=black: spark.createDataFrame(b, "chrom string, start long, end long"))
+        got = {r["sample"]: (r.mapped, r.blacklisted, r.kept) for r in registry.queries()["a7_a8_kept_reads"](spark, "").collect()}
+        assert got == want
+
+
 def test_registry_matches(spark):
     from strandlake.plans import registry
 
