@@ -47,6 +47,21 @@ def merge_intervals(df: DataFrame, keys: Sequence[str] = ("chrom",), gap: int =
     return df.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def common_chroms(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """(chrom, size) of `first` that all others have too; one with none in common is tried with chr added or cut off."""
+    keys = ["chrom", "size"]
+    common = first.select(*keys).distinct()
+    for other in others:
+        other = other.select(*keys).distinct()
+        if common.join(other, keys, "left_semi").isEmpty():
+            chrom = F.col("chrom")
+            other = other.withColumn("chrom", F.when(chrom.startswith("chr"), F.substr(chrom, F.lit(4))).otherwise(F.concat(F.lit("chr"), chrom)))
+            if common.join(other, keys, "left_semi").isEmpty():
+                raise ValueError("no common chromosomes")
+        common = common.join(other, keys, "left_semi")
+    return common
+
+
 def complement(sizes: DataFrame, taken: DataFrame) -> DataFrame:
     """What is left of each chromosome (chrom, size) outside the intervals `taken`, as numbered segments."""
     merged = merge_intervals(taken).join(sizes, "chrom").select("chrom", F.greatest(F.lit(0), "start").alias("start"), F.least("end", "size").alias("end"), "size").where("start < size")

@@ -125,6 +125,11 @@ def least_over(values: DataFrame, how: str = "avg", value: str = "value") -> Dat
     return got.withColumn("factor", F.min("stat").over(Window.partitionBy()) / F.col("stat"))
 
 
+def read_count_factors(kept: DataFrame) -> DataFrame:
+    """min(kept) / kept per sample; null for a sample without kept reads."""
+    return kept.select("sample", F.try_divide(F.min("kept").over(Window.partitionBy()), F.col("kept")).alias("factor"))
+
+
 def length_stats(lengths: DataFrame, value: str = "length") -> DataFrame:
     """n, min, max, mean, population deviation, median, quartiles and MAD by sample."""
     q = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))

@@ -74,7 +74,7 @@ def f7_rna_strand(spark, d):
 
 
 @query(sql("aln", """SELECT sample, chrom, count(*) AS n, sum("end" - pos) AS bases FROM aln WHERE chrom = 'A' AND pos < 60000 AND "end" > 20000 GROUP BY ALL"""))
-def s2_f9_region_fetch(spark, d):
+def s2_region_fetch(spark, d):
     a = ad.alignments(spark, d).where("chrom = 'A' AND pos < 60000 AND end > 20000")
     return a.groupBy("sample", "chrom").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("pos")).alias("bases"))
 
@@ -252,14 +252,21 @@ def j5_reads_in_blacklist(spark, d):
 
 
 @query("""SELECT r_name AS name, min(n) AS size, count(*) AS members FROM (SELECT r.r_name, length(n.n_name) AS n FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey) GROUP BY r_name HAVING count(*) = 5""")
-def j10_j11_common_chroms(spark, d):
+def j11_common_chroms(spark, d):
     r, n = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("region", "nation"))
     x = r.join(F.broadcast(n), r.r_regionkey == n.n_regionkey)
     return x.groupBy(F.col("r_name").alias("name")).agg(F.min(F.length("n_name")).cast("long").alias("size"), F.count("*").alias("members")).where("members = 5")
 
 
+@query(sql("aln", """, f AS (SELECT DISTINCT chrom FROM aln WHERE sample = 'F'), o AS (SELECT DISTINCT 'chr' || chrom AS chrom FROM aln WHERE sample = 'O') SELECT f.chrom, CAST(100050 AS BIGINT) AS size FROM f JOIN o ON o.chrom = 'chr' || f.chrom"""))
+def j10_common_chroms(spark, d):
+    """The chromosomes of each sample as a file's header; those of O carry the prefix chr."""
+    t = ad.alignments(spark, d).select("sample", "chrom").distinct().withColumn("size", F.lit(ad.CHROM_SIZE).cast("long"))
+    return iv.common_chroms(t.where("sample = 'F'"), t.where("sample = 'O'").withColumn("chrom", F.concat(F.lit("chr"), "chrom")))
+
+
 @query(sql("aln", """SELECT sample, sum(n - 1) AS repeats, max(n) AS most FROM (SELECT sample, chrom, pos, flag & 16 AS rev, mate_pos, count(*) AS n FROM aln GROUP BY ALL) GROUP BY sample"""))
-def w6_j12_repeated_starts(spark, d):
+def w6_repeated_starts(spark, d):
     w = Window.partitionBy("sample", "chrom", "pos", rd.has(rd.REVERSE), "mate_pos").orderBy("read_id")
     x = ad.alignments(spark, d).select("sample", F.row_number().over(w).alias("k"))
     return x.groupBy("sample").agg(F.count_if(F.col("k") > 1).alias("repeats"), F.max("k").cast("long").alias("most"))
@@ -278,6 +285,12 @@ def a7_a8_kept_reads(spark, d):
     return every.select("sample", "mapped", "blacklisted", r6((F.col("mapped") - F.col("blacklisted")) * (1 - F.col("lost"))).alias("kept"))
 
 
+@query(sql("aln blacklist", """, b AS (SELECT a.*, EXISTS (SELECT 1 FROM blacklist b WHERE b.chrom = a.chrom AND a.pos >= b.start AND a."end" <= b."end") AS bl FROM aln a WHERE flag & 4 = 0),
+    k AS (SELECT sample, round((count(*) - count(*) FILTER (bl)) * (1 - count(*) FILTER (mapq < 3) / count(*)), 6) AS kept FROM b GROUP BY sample) SELECT sample, round(min(kept) OVER () / CASE WHEN kept > 0 THEN kept END, 6) AS factor FROM k"""))
+def q4_read_count_factors(spark, d):
+    return qc.read_count_factors(a7_a8_kept_reads(spark, d)).select("sample", r6("factor").alias("factor"))
+
+
 @query(sql("aln", """, k AS (SELECT *, row_number() OVER (PARTITION BY sample, chrom, pos, "end", mate_pos, tlen, flag & 16 ORDER BY read_id) AS dup FROM aln) SELECT sample, count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (mapq < 4) AS low_mapq,
     count(*) FILTER (flag & 2 <> 2) AS missing_flags, count(*) FILTER (flag & 1024 <> 0) AS excluded_flags, count(*) FILTER (dup > 1) AS internal_dups, count(*) FILTER (flag & 1 = 0) AS singletons, count(*) FILTER (mapq < 4 OR flag & 2 <> 2 OR flag & 1024 <> 0 OR dup > 1) AS filtered FROM k GROUP BY sample"""))
 def a9_a10_filter_estimate(spark, d):
@@ -290,7 +303,7 @@ def a9_a10_filter_estimate(spark, d):
 
 @query(sql("aln", """, f AS (SELECT sample, frag_len AS x FROM aln WHERE flag & 2 = 2 AND flag & 64 > 0), m AS (SELECT sample, quantile_cont(x, 0.5) AS m FROM f GROUP BY sample)
     SELECT sample, count(*) AS n, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q75, quantile_cont(x, 0.9) AS q90, quantile_cont(abs(x - m), 0.5) AS mad FROM f JOIN m USING (sample) GROUP BY sample"""))
-def a11_length_stats(spark, d):
+def read1_length_stats(spark, d):
     a = ad.alignments(spark, d).where(rd.has(rd.PROPER) & rd.has(rd.READ1)).select("sample", rd.template_length().alias("length"))
     x = qc.length_stats(a)
     return x.select(*[r6(c).alias(c) if c in ("mean", "std") else c for c in x.columns])
@@ -319,7 +332,7 @@ def a15_coverage_histogram(spark, d):
 
 
 @query(sql("covfull", """, s AS (SELECT sample, avg(n) AS mean, quantile_cont(n, 0.5) AS med FROM covfull GROUP BY sample) SELECT sample, round(min(mean) OVER () / mean, 6) AS by_mean FROM s"""))
-def q2_q4_mean_factors(spark, d):
+def q2_mean_factors(spark, d):
     return qc.least_over(coverage_values(spark, d)).select("sample", r6("factor").alias("by_mean"))
 
 
@@ -384,7 +397,7 @@ def p14_s10_gc_content(spark, d):
 
 @query(sql("aln", """, w AS (SELECT (l_orderkey + l_partkey) % 101 AS gc, l_suppkey % 2 AS fwd FROM lineitem), t AS (SELECT gc, count(*) FILTER (fwd = 0) AS f, count(*) AS n FROM w GROUP BY gc)
     SELECT gc, f, n, round(CASE WHEN f > 0 AND n > 0 THEN f / n * sum(n) OVER () / sum(f) OVER () ELSE 1 END, 6) AS r FROM t"""))
-def a17_a18_gc_table(spark, d):
+def a18_gc_table(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(((F.col("l_orderkey") + F.col("l_partkey")) % 101).alias("gc")).agg(F.count_if(F.col("l_suppkey") % 2 == 0).alias("f"), F.count("*").alias("n"))
     return qc.gc_ratio(t).select("gc", "f", "n", r6("r").alias("r"))
 
@@ -394,7 +407,7 @@ def a17_a18_gc_table(spark, d):
 
 @query(sql("regions signal", """, z AS (SELECT region, chrom, k AS bin, CASE WHEN strand = '+' THEN start - 200 + k * 50 ELSE "end" + 200 - (k + 1) * 50 END AS s FROM regions, range(0, 12) r(k))
     SELECT z.region, CAST(z.bin AS INT) AS bin, round(sum(value * (least(z.s + 50, g."end") - greatest(z.s, g.start))) / sum(least(z.s + 50, g."end") - greatest(z.s, g.start)), 6) AS value FROM z LEFT JOIN signal g ON g.chrom = z.chrom AND g.start < z.s + 50 AND g."end" > z.s GROUP BY ALL"""))
-def m2_m8_reference_point(spark, d):
+def m8_reference_point(spark, d):
     z = mx.zones_reference_point(ad.regions(spark, d), 200, 400, 50)
     return mx.bin_values(z, ad.signal(spark, d)).select("region", "bin", r6("value").alias("value"))
 

@@ -1,5 +1,6 @@
 """Known values on small alignments and tracks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import intervals as iv
@@ -116,6 +117,21 @@ def test_kept_reads_without_blacklisted_ones(spark, monkeypatch):
         assert got == want
 
 
+def test_common_chroms_and_read_count_factors(spark):
+    from strandlake.plans import registry
+
+    t = [spark.createDataFrame(x, "chrom string, size long") for x in ([("1", 9), ("2", 8), ("X", 7)], [("chr1", 9), ("chr2", 8), ("chrX", 6)], [("2", 8), ("1", 5)], [("Y", 9)])]
+    assert {tuple(r) for r in iv.common_chroms(*t[:2]).collect()} == {("1", 9), ("2", 8)}
+    assert {tuple(r) for r in iv.common_chroms(*t[:3]).collect()} == {("2", 8)}
+    with pytest.raises(ValueError):
+        iv.common_chroms(t[0], t[3])
+    kept = spark.createDataFrame([("a", 50.0), ("b", 200.0)], "sample string, kept double")
+    assert {r["sample"]: r.factor for r in qc.read_count_factors(kept).collect()} == {"a": 1.0, "b": 0.25}
+    names = set(registry.queries())
+    assert {"q4_read_count_factors", "j10_common_chroms"} <= names
+    assert not {i for n in names for i in n.split("_")} & {"a17", "j12", "f9", "m2", "a11"}
+
+
 def test_registry_matches(spark):
     from strandlake.plans import registry
 
