@@ -59,6 +59,25 @@ def test_ngram_components(spark, docs, empty):
     assert ngram_components(empty).count() == 0
 
 
+def test_ngram_components_by_fragments(spark, docs, monkeypatch):
+    """Partial overlaps a fragment, summed, give what whole sets give."""
+    from strandlake.llm import ngram_join as nj
+
+    want = {tuple(r) for r in nj.ngram_components(docs).collect()}
+    overlaps = nj._overlaps
+
+    def watched(batches):
+        for b in overlaps(batches):
+            rows.add(sum(f >= 0 for f in b.column("frag").to_pylist()))
+            yield b
+
+    rows = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(nj, "_overlaps", watched)
+    monkeypatch.setattr(nj, "WHOLE", 16)
+    assert {tuple(r) for r in nj.ngram_components(docs).collect()} == want
+    assert rows.value > 0
+
+
 def test_repeats(spark, docs, empty):
     from strandlake.llm.repeat_bytes import LENGTH, remove_repeats
 
