@@ -292,6 +292,16 @@ def test_html(spark):
     assert {r.page_id: r.text for r in extract_text(rows).collect()} == {1: render(page), 2: "", 3: ""}
 
 
+def test_html_quotes():
+    """Quotes open strings only after the = of an attribute."""
+    from strandlake.llm.html_text import render
+
+    assert render("<p data=it's>Don't lose me</p>") == "Don't lose me"
+    assert render('<a href="x"">y</a>') == "y" and render('<a href=x="y>z</a>') == "z"
+    assert render("<p data=it'hidden>seen</p>") == "seen" and render("a<p title = 'q>r' hidden>s</p>") == "a"
+    assert render('<a href="a>b" title=\'"\'>t</a>') == "t"
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     from strandlake.llm.common import stage, table
