@@ -136,3 +136,11 @@ def test_registry_matches(spark):
     from strandlake.plans import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_bench_times_joins_and_matrices():
+    import bench
+    from strandlake.plans import registry
+
+    assert set(bench.HEADLINE) <= set(registry.queries())
+    assert {"j2_a2_region_counts", "j3_s6_region_means", "j4_a16_enrichment", "m1_m5_m6_scaled_regions", "m8_reference_point"} <= set(bench.HEADLINE)
