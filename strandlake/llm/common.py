@@ -63,6 +63,16 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few longs that are broadcast at most; beyond it they are joined by shuffle.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """A staged table with the broadcast hint if it is small enough."""
+    small = stage(small, "small")
+    return F.broadcast(small) if small.count() <= MAX_BROADCAST_ROWS else small
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Smaller Arrow batches for rows that carry whole texts or sets; for plans that run inside the block."""

@@ -1,22 +1,32 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Every text becomes the set of its distinct word n-grams.  All n-grams stand in one global order: first by a
-class of corpus frequency (rare before common), then by hash.  The order is cut into fragments.  A pair is a
-candidate if the two texts share an n-gram within their prefixes in that order (the prefix theorem: no pair at or
-above the threshold is missed).  For candidates the overlaps of the fragments are counted apart and summed per pair.
-
-Scale:
-* texts with equal sets are one class; a text is first compared with two others only, the commonest head of its
-  n-grams' lists and its commonest neighbour in them, then in ROUNDS rounds with ORDERS more, its neighbours of other
-  components in new random orders of the lists; only pairs whose ends are still in different components after that are
-  all compared.  So a group of n near copies costs O(n) and not O(n^2) comparisons;
-* frequencies come from a count sketch over all texts whose size is bounded by MAX_SKETCH_BITS; it only steers the
-  order, never the result;
-* the n-gram lists are sorted by Spark's external sorter and streamed, so no list is held in memory in round one.
-
-Defined cases: null text and text without words have an empty set and link with nothing (component = own id);
-rows with a null id are returned with a null component and link with nothing; repeated ids and rows are kept, one
-output row for each input row; further columns of the input are ignored.
+Every text becomes the set of its distinct word n-grams.  All n-grams stand in one global order: those that no other
+text has first, then by hash.  The order is cut into fragments, the overlaps of a pair in each fragment are counted
+apart, and the counts are summed per pair.
+
+Only n-grams that recur in other texts can overlap, so the fragments also say early which texts can be linked at all:
+
+1. One pass over the texts gives the size and signature of each set, and the n-grams of the first fragment (a quarter).
+   They are dealt by hash; a text with more than n - ceil(0.8 n) n-grams that recur nowhere can be linked with nothing.
+   An n-gram leaves a task once at most, however often it occurs there, so no frequent n-gram makes a hot group.
+2. The texts that are left give all their n-grams.  Those that recur among them are gathered by text; texts with too few
+   are out as well.  The first live - ceil(0.8 n) + 1 recurring n-grams of a set are its prefix: two linked sets share
+   one in their prefixes (the prefix theorem).
+3. Lists of the prefixes give pairs.  Rows carry a bitmap of their recurring n-grams, which bounds the overlap from above.
+   In two rounds every set is compared with its best neighbours of other components in its lists; then all pairs between
+   components that the bitmaps allow are compared.  Lists of more than SPLIT rows are cut into parts, and pairs of parts.
+4. Pairs are verified: overlaps are counted fragment by fragment and summed.
+
+So a group of n near copies costs O(n) comparisons, sets with equal n-grams are one set throughout, and what is sent
+around is about the n-grams of the texts that may be linked.
+
+Sets are named by a 64-bit sum of mixed hashes, and n-grams by 64-bit hashes: with N different sets the odds that any two
+share a name are N**2 / 2**65.
+
+Defined cases: null text and text without words have an empty set and link with nothing (component = own id); rows with
+a null id are returned with a null component and link with nothing; repeated ids and rows are kept, one output row for
+each input row, and different texts under one id are different documents; an empty table gives an empty result; very
+long texts are hashed alone; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,28 +35,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import BLOCK, batch_rows, bit_filter, components, cut_blocks, drop_staged, in_filter, lean, mix, shingle_sets, slices, stage, take_column, text_bytes
+from strandlake.llm.common import batch_rows, bit_filter, bounded, components, drop_staged, in_filter, lean, mix, shingle_sets, slices, stage, take_column, text_bytes
 
-#: log2 of the most buckets of the frequency sketch (64 MB, one byte each); below it, about 32 n-grams share a bucket.
-MAX_SKETCH_BITS = 26
-MIN_SKETCH_BITS = 16
-#: Fragments of the global order: the last holds the frequent n-grams, the others equal ranges of hashes.
+#: Fragments of the global order (equal ranges of hashes).
 FRAGMENTS = 4
-#: Bits of the least bitmap of a set, and of those that lists carry into the last comparison.
-SHORT_BITS = 512
-#: Rounds, and comparisons of a text in each, before all pairs between components are compared.
-ROUNDS, ORDERS = 2, 2
-#: Ids by which the compared n-grams are picked with a broadcast, at most (8 MB); beyond it all are shuffled.
-MAX_BROADCAST_IDS = 500_000
-_LINEAR, _FREQUENT = 192, 128
+#: N-grams of the first fragment that a task holds before it sends them on.
+HELD_GRAMS = 1 << 20
+#: Texts that it holds until then: slices have at most as many rows, so owners fit into 16 bits.
+HELD_ROWS = 32_000
+#: Bits of the bitmap of a set's recurring n-grams.
+BITMAP_BITS = 1024
+#: Rows of a list before the present one that it is compared with in a round.
+NEIGHBOURS = 8
+#: Longer lists are cut into parts of about so many rows.
+SPLIT = 1024
+#: Rows of a list whose pairs are tested at once.
+_ROWS_AT_ONCE = 256
+#: Ids by which texts are picked with a bit filter (64 MB); beyond it they are joined by shuffle.
+MAX_FILTER_IDS = 50_000_000
 #: Rows of an Arrow batch: they hold texts or sets, so a batch is a few MB.
 _BATCH_ROWS = 2000
-#: Sets of at most so many n-grams have all their fragments in one row, larger ones a row for each.
-WHOLE = 8192
-_PAIRS_AT_ONCE = 1 << 19
+#: Parts in which the labels of repeated sets are spread when they are given back to the rows.
+_SALTS = 16
+_MANY = np.uint16(65535)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -54,302 +69,406 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
     for batch in batches:
         ids = take_column(batch, "doc_id")
         data, offs = text_bytes(take_column(batch, "text"))
-        for i, j in slices(offs):
+        for i, j in slices(offs, rows=HELD_ROWS):
             h, o = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
             yield ids.slice(i, j - i), h, o
 
 
-def _signatures(h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two sums of mixed hashes: they depend on the set alone."""
-    out = []
-    for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-        c = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(mix(h ^ np.uint64(salt)), out=c[1:])
-        out.append((c[o[1:]] - c[o[:-1]]).view(np.int64))
-    return out[0], out[1]
+def _names(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """A sum of mixed hashes for each set: it depends on the set alone."""
+    c = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h ^ np.uint64(0x1F83D9ABFB41BD6B)), out=c[1:])
+    return (c[o[1:]] - c[o[:-1]]).view(np.int64)
 
 
-def _bitmaps(h: np.ndarray, o: np.ndarray) -> list[bytes]:
-    """A bit for each n-gram in 2n bits at least (a power of two): |x XOR y| is no less than the bits that differ."""
-    out = []
-    for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
-        bits = np.zeros(max(SHORT_BITS, 1 << (2 * (j - i) - 1).bit_length()) if j > i else SHORT_BITS, bool)
-        bits[(h[i:j] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-        out.append(np.packbits(bits, bitorder="little").tobytes())
-    return out
+def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least overlap of a set of n with any set that it is linked to."""
+    return -(-n.astype(np.int64) * num // den)
+
+
+def _links(differ: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether two sets of `both` n-grams together, of which `differ` are in one only, are linked."""
+    return differ * (den + num) <= (den - num) * both
+
+
+# ---------------------------------------------------------------- the first fragment
+
 
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("live", pa.int64()), ("ref", pa.int64()), ("bucket", pa.int32()), ("base", pa.int64()), ("grams", pa.binary()), ("owners", pa.binary())])
+_SURVEY_SQL = "doc_id long, sid long, n long, first long, live long, ref long, bucket int, base long, grams binary, owners binary"
 
-def _survey(k: int, bits: int):
-    """Signatures and bitmaps of all rows, and this task's part of the frequency sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bitmap", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+
+def _survey(k: int, bucket_bits: int):
+    """Names and sizes of all sets, and the n-grams of the first fragment by bucket.
+
+    A row of a text has the number of its n-grams in the fragment and how many of them recur in this task's share; a row
+    of a bucket has 32 bits of each n-gram and its owner, or _MANY if it has several here.
+    """
 
     def run(batches):
-        sketch = np.zeros(1 << bits, np.uint32)
+        part = TaskContext.get().partitionId() << 36
+        seen: set[int] = set()
+        number = 0
+        held: list[tuple] = []
+        size = rows = 0
+
+        def flush():
+            nonlocal number
+            base = number
+            ids = pa.concat_arrays([x[0] for x in held])
+            sid, n, use = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            doc = np.concatenate([x[5] + at for x, at in zip(held, np.cumsum([0, *(len(x[1]) for x in held[:-1])]), strict=True)])
+            h = np.concatenate([x[4] for x in held])
+            order = np.argsort(h)
+            h, doc = h[order], doc[order]
+            same = np.zeros(len(h) + 1, bool)
+            same[1:-1] = h[1:] == h[:-1]
+            live = same[1:] | same[:-1]
+            count = len(sid)
+            found = np.bincount(doc[live], minlength=count)
+            ref = part + base + np.arange(count)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(sid, mask=~use), pa.array(n), pa.array(np.bincount(doc, minlength=count)), pa.array(found), pa.array(ref, mask=np.bincount(doc, minlength=count) == 0), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.binary()), pa.nulls(count, pa.binary())],
+                schema=_SURVEY,
+            )
+            number += count
+            once = ~same[:-1]
+            h, owner = h[once], np.where(live, _MANY, doc.astype(np.uint16))[once]
+            if len(h):
+                bucket = (h >> np.uint64(64 - bucket_bits)).astype(np.int64)
+                grams = (h >> np.uint64(32 - bucket_bits)).astype(np.uint32)
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                m = len(cut) - 1
+                pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.nulls(m, pa.int64())] * 6, pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, part + base)), pa.array([grams[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in pairs], pa.binary())],
+                    schema=_SURVEY,
+                )
+
         for ids, h, o in _sets(batches, k):
-            sketch += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32) if len(h) > (1 << bits) // 8 else 0
-            if len(h) <= (1 << bits) // 8:
-                np.add.at(sketch, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
-            s1, s2 = _signatures(h, o)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(o)), pa.array(s1), pa.array(s2), pa.array(_bitmaps(h, o), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-        blocks = cut_blocks(np.minimum(sketch, 255).astype(np.uint8))
-        if blocks:
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], schema=schema)
+            n, sid = np.diff(o), _names(h, o)
+            use = (n > 0) & ~np.asarray(ids.is_null())
+            new = use.copy()
+            for i in np.flatnonzero(use).tolist():  # equal sets are given once a task
+                name = int(sid[i])
+                new[i] = name not in seen
+                seen.add(name)
+            doc = np.repeat(np.arange(len(n)), n)
+            keep = ((h & np.uint64(0xFFFF)) < np.uint64(0x10000 // FRAGMENTS)) & new[doc]
+            held.append((ids.cast(pa.int64()), sid, n, use, h[keep], doc[keep]))
+            size, rows = size + len(held[-1][4]), rows + len(n)
+            if size >= HELD_GRAMS or rows >= HELD_ROWS:
+                yield from flush()
+                held, size, rows = [], 0, 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def _classes(survey: DataFrame, bits: int) -> bytes:
-    """The frequency class of each bucket: its count (relative to the mean, if that is large), logarithmic at the top.
+def _recurring_owners(batches):
+    """From the buckets, which come in order: (ref, live), how many of a text's n-grams of the first fragment recur."""
+    schema = pa.schema([("ref", pa.int64()), ("live", pa.int64())])
+    waiting: list[np.ndarray] = []
+
+    def give():
+        refs, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        waiting.clear()
+        return pa.RecordBatch.from_arrays([pa.array(refs), pa.array(counts)], schema=schema)
+
+    def close(group):
+        grams = np.concatenate([np.frombuffer(g, np.uint32) for _, g, _ in group])
+        owners = np.concatenate([np.frombuffer(x, np.uint16) for _, _, x in group])
+        bases = np.repeat(np.array([b for b, _, _ in group], np.int64), [len(g) // 4 for _, g, _ in group])
+        key = np.sort(grams.astype(np.uint64) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64))
+        at, gram = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), key >> np.uint64(32)
+        same = np.zeros(len(gram) + 1, bool)
+        same[1:-1] = gram[1:] == gram[:-1]
+        at = at[same[1:] | same[:-1]]
+        at = at[owners[at] != _MANY]
+        waiting.append(bases[at] + owners[at])
+
+    group, now = [], None
+    for b in batches:
+        for bucket, *row in zip(*(take_column(b, c).to_pylist() for c in ("bucket", "base", "grams", "owners")), strict=True):
+            if bucket != now and group:
+                close(group)
+                group = []
+                if sum(map(len, waiting)) > HELD_GRAMS:
+                    yield give()
+            now = bucket
+            group.append(row)
+    if group:
+        close(group)
+    if waiting:
+        yield give()
 
-    The blocks are summed on the executors; the driver receives 2**bits bytes (at most 2**MAX_SKETCH_BITS).
-    """
-    total = survey.where("block is null").agg(F.sum("n")).first()[0] or 0
-    mean = max(1.0, total / (1 << bits))
-
-    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: np.ndarray | None = None
-        block = 0
-        for b in tables:
-            for no, x in zip(take_column(b, "block").to_pylist(), take_column(b, "counts").to_pylist(), strict=True):
-                v = np.frombuffer(x, np.uint8).astype(np.uint32)
-                sums, block = (v if sums is None else sums + v), no
-        if sums is not None:
-            level = sums * min(1.0, 48 / mean)
-            cls = np.where(level < _LINEAR, level, _LINEAR + np.minimum(63, 4 * np.log2(np.maximum(level, _LINEAR) / _LINEAR))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cls.tobytes()], pa.binary())], names=["block", "cls"])
-
-    rows = survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, cls binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for r in rows.toLocalIterator():
-        part = np.frombuffer(r.cls, np.uint8)
-        out[r.block * BLOCK : r.block * BLOCK + len(part)] = part
-    return out.tobytes()
-
-
-def _in_order(h: np.ndarray, o: np.ndarray, cls: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the n-grams of each text by (class, hash), and their classes, both along the input."""
-    c = cls[(h >> np.uint64(64 - bits)).astype(np.int64)]
-    d = np.repeat(np.arange(len(o) - 1), np.diff(o))
-    order = np.argsort(c, kind="stable")  # the hashes are in order already
-    return order[np.argsort(d[order].astype(np.uint16) if len(o) <= 65536 else d[order], kind="stable")], c
 
+# ---------------------------------------------------------------- recurring n-grams of the texts that are left
 
-def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    return -(-n * num // den)
 
+def _grams(k: int, flags, id_bits: int):
+    """(h, sid, n) of the picked texts; n is negated where h recurs in this task, and a row (h, 0, 0) tells others so."""
+    schema = pa.schema([("h", pa.int64()), ("sid", pa.int64()), ("n", pa.int64())])
 
-def _prefixes(k: int, bits: int, shared, num: int, den: int):
-    """One row for each n-gram of each prefix; equal sets are given once a task."""
-    schema = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("doc", pa.int64())])
+    def picked(batches):
+        data = None if flags is None else np.frombuffer(flags.value, np.uint8)
+        for b in batches:
+            ids = take_column(b, "doc_id")
+            use = ~np.asarray(ids.is_null())
+            if data is not None:
+                use &= in_filter(data, id_bits, np.asarray(ids.fill_null(-1)))
+            yield b.filter(pa.array(use))
 
     def run(batches):
-        cls = np.frombuffer(shared.value, np.uint8)
-        seen: set[tuple[int, int]] = set()
-        for ids, h, o in _sets(batches, k):
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            h, sid, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.argsort(h)
+            h, sid, n = h[order], sid[order], n[order]
+            same = np.zeros(len(h) + 1, bool)
+            same[1:-1] = h[1:] == h[:-1]
+            live, first = same[1:] | same[:-1], same[1:] & ~same[:-1]
+            token = np.zeros(int(first.sum()), np.int64)
+            cols = [(h.view(np.int64), h[first].view(np.int64)), (sid, token), (np.where(live, -n, n), token)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], schema=schema)
+
+        for _, h, o in _sets(picked(batches), k):
             n = np.diff(o)
-            s1, s2 = _signatures(h, o)
-            use = np.zeros(len(n), bool)
-            null = np.asarray(ids.is_null())
-            for i in np.flatnonzero((n > 0) & ~null):
-                key = (int(s1[i]), int(s2[i]))
-                if key not in seen:
-                    seen.add(key)
-                    use[i] = True
-            order, _ = _in_order(h, o, cls, bits)
-            rank = np.arange(len(h)) - np.repeat(o[:-1], n)
-            keep = (rank < np.repeat(n - _need(n, num, den) + 1, n)) & np.repeat(use, n)
-            if keep.any():
-                own = np.asarray(ids.fill_null(0).cast(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][keep].view(np.int64)), pa.array(np.repeat(n, n)[keep].astype(np.int32)), pa.array(np.repeat(own, n)[keep])], schema=schema)
+            held.append((h, np.repeat(_names(h, o), n), np.repeat(n, n)))
+            size += len(h)
+            if size >= HELD_GRAMS:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def _live(batches):
-    """From rows sorted by n-gram: those whose n-gram occurs twice at least, with the head of its list and the row before."""
-    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("hub", pa.int64()), ("hub_size", pa.int32()), ("prev", pa.int64()), ("prev_size", pa.int32())])
-    held = None  # the last row, not given out yet: h, doc, size, hub, hub_size, prev, prev_size, whether the row before has its n-gram
-
-    def give(h, doc, size, hub, hub_size, prev, prev_size, live):
-        return pa.RecordBatch.from_arrays([pa.array(x[live]) for x in (h, doc, size, hub, hub_size, prev, prev_size)], schema=schema)
-
+def _recurring(batches):
+    """Rows (sid, n, h) whose n-gram recurs, from rows that come in order of (n < 0 first, h)."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+    held = None  # the last row, not decided yet: h, sid, n, whether the row before has its n-gram
     for b in batches:
-        if not b.num_rows:
+        h, sid, n = (np.asarray(take_column(b, c)) for c in ("h", "sid", "n"))
+        known = n < 0
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sid[known]), pa.array(-n[known]), pa.array(h[known])], schema=schema)
+            h, sid, n = h[~known], sid[~known], n[~known]
+        if not len(h):
             continue
-        h, size, doc = (np.asarray(take_column(b, c)) for c in ("h", "size", "doc"))
-        if held:
-            h, doc, size = np.r_[held[0], h], np.r_[held[1], doc], np.r_[np.int32(held[2]), size].astype(np.int32)
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-        hub, hub_size = doc[head], size[head]
-        prev, prev_size = np.r_[doc[0], doc[:-1]], np.r_[size[0], size[:-1]]
         if held:
-            run = head == 0
-            hub[run], hub_size[run], prev[0], prev_size[0], same[0] = held[3], held[4], held[5], held[6], held[7]
-        live = same.copy()
-        live[:-1] |= same[1:]
+            h, sid, n = np.r_[held[0], h], np.r_[held[1], sid], np.r_[held[2], n]
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[1:] == h[:-1]
+        same[0] = bool(held and held[3])
+        live = (same[1:] | same[:-1]) & (n > 0)
         live[-1] = False
         if live.any():
-            yield give(h, doc, size, hub, hub_size, prev, prev_size, live)
-        held = (h[-1], doc[-1], size[-1], hub[-1], hub_size[-1], prev[-1], prev_size[-1], same[-1])
-    if held and held[7]:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[:7], schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[live]), pa.array(n[live]), pa.array(h[live])], schema=schema)
+        held = (h[-1], sid[-1], n[-1], same[-2])
+    if held and held[3] and held[2] > 0:
+        yield pa.RecordBatch.from_arrays([pa.array([held[1]]), pa.array([held[2]]), pa.array([held[0]])], schema=schema)
+
+
+_SETS_SQL = "sid long, n long, live long, frag int, data binary, bitmap binary"
+
+
+def _gathered(num: int, den: int):
+    """Sets that can be linked, from rows (sid, n, h) in order of sid: a row -1 with prefix and bitmap, and one for each fragment."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("live", pa.int64()), ("frag", pa.int32()), ("data", pa.binary()), ("bitmap", pa.binary())])
+
+    def give(sid, n, h):
+        h = h.view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        order = order[np.argsort(sid[order], kind="stable")]
+        sid, n, h = sid[order], n[order], h[order]
+        new = np.r_[True, (sid[1:] != sid[:-1]) | (h[1:] != h[:-1])]
+        sid, n, h = sid[new], n[new], h[new]
+        cut = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1], True])
+        live, sid, n = np.diff(cut), sid[cut[:-1]], n[cut[:-1]]
+        need = _need(n, num, den)
+        rows: list[tuple] = []
+        frag = (h >> np.uint64(32)) * np.uint64(FRAGMENTS) >> np.uint64(32)
+        for i in np.flatnonzero(live >= need).tolist():
+            own = h[cut[i] : cut[i + 1]]
+            bits = np.zeros(BITMAP_BITS, bool)
+            bits[(mix(own) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] = True
+            head = (int(sid[i]), int(n[i]), int(live[i]))
+            rows.append((*head, -1, own[: live[i] - need[i] + 1].tobytes(), np.packbits(bits).tobytes()))
+            ends = np.searchsorted(frag[cut[i] : cut[i + 1]], np.arange(FRAGMENTS + 1))
+            rows += [(*head, f, own[ends[f] : ends[f + 1]].tobytes(), None) for f in range(FRAGMENTS) if ends[f + 1] > ends[f]]
+        if rows:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        return None
 
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [np.asarray(take_column(b, c)) for c in ("sid", "n", "h")]
+            held.append(cols)
+            size += b.num_rows
+            if size >= 1 << 16 and cols[0][-1] != held[0][0][0]:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                if (out := give(*(x[:cut] for x in cols))) is not None:
+                    yield out
+                held = [[x[cut:] for x in cols]]
+                size = len(held[0][0])
+        if held and (out := give(*(np.concatenate(x) for x in zip(*held, strict=True)))) is not None:
+            yield out
 
-def _fragment_rows(k: int, bits: int, shared, wanted, id_bits: int, num: int, den: int):
-    """(doc, frag, part): the n-grams of a wanted text in each fragment of the global order.
+    return run
 
-    Up to WHOLE n-grams there is a row -1 with all fragments; sets that can be linked to larger ones have a row for each.
-    """
-    schema = pa.schema([("doc", pa.int64()), ("frag", pa.int32()), ("part", pa.binary())])
 
-    def run(batches):
-        cls = np.frombuffer(shared.value, np.uint8)
-        flags = np.frombuffer(wanted.value, np.uint8)
+# ---------------------------------------------------------------- lists and pairs
 
-        def filtered():
-            for b in batches:
-                use = in_filter(flags, id_bits, np.asarray(take_column(b, "doc_id").fill_null(-1)))
-                yield b.filter(pa.array(use & ~np.asarray(take_column(b, "doc_id").is_null())))
 
-        for ids, h, o in _sets(filtered(), k):
-            if not len(h):
-                continue
-            c = cls[(h >> np.uint64(64 - bits)).astype(np.int64)]
-            frag = np.where(c >= _FREQUENT, FRAGMENTS - 1, ((h >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64))
-            own, n = np.asarray(ids.cast(pa.int64())), np.diff(o)
-            key = np.repeat(np.arange(len(n)), n) * FRAGMENTS + frag
-            order = np.argsort(key, kind="stable")
-            raw = h[order]
-            cut = np.searchsorted(key[order], np.arange(len(n) * FRAGMENTS + 1))
-            split = (n * den >= WHOLE * num)[np.arange(len(n)).repeat(FRAGMENTS)]
-            at = np.flatnonzero((cut[1:] > cut[:-1]) & split)
-            one = np.flatnonzero((n > 0) & (n <= WHOLE))
-            parts = [raw[cut[i] : cut[i + 1]].tobytes() for i in at] + [raw[o[i] : o[i + 1]].tobytes() for i in one]
-            frags = np.r_[at % FRAGMENTS, np.full(len(one), -1)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own[np.r_[at // FRAGMENTS, one]]), pa.array(frags), pa.array(parts, pa.binary())], schema=schema)
+def _listed(batches):
+    """A row for each n-gram of each prefix."""
+    for b in batches:
+        data = take_column(b, "data").cast(pa.large_binary())
+        counts = np.diff(np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]) // 8
+        h = np.frombuffer(b"".join(data.to_pylist()), np.int64)
+        at = pa.array(np.repeat(np.arange(b.num_rows), counts))
+        sid, n, live, bitmap = (take_column(b, c).take(at) for c in ("sid", "n", "live", "bitmap"))
+        yield pa.RecordBatch.from_arrays([pa.array(h), sid, n, pa.array(np.asarray(n) - np.asarray(live)), bitmap], names=["h", "sid", "n", "dead", "bitmap"])
 
-    return run
 
+_LISTS_SQL = "h long, sid long, n long, dead long, bitmap binary"
+
+
+def _bit_rows(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(take_column(b, "bitmap").to_pylist()), np.uint64).reshape(b.num_rows, -1)
 
-def _overlaps(batches):
-    """Sizes of the intersections of pa and pb, for many rows by one sort."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("frag", pa.int32()), ("na", pa.int32()), ("nb", pa.int32()), ("common", pa.int64())])
-    for batch in batches:
-        sides = []
-        for name in ("pa", "pb"):
-            col = take_column(batch, name).cast(pa.large_binary())
-            offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-            sides.append((np.frombuffer(col.buffers()[2] or b"", np.uint8), offs))
-        both = sides[0][1] - sides[0][1][0] + sides[1][1] - sides[1][1][0]
-        common = np.zeros(batch.num_rows, np.int64)
-        for i, j in slices(both, 1 << 23):
-            hs, rows = [], []
-            for data, offs in sides:
-                hs.append(data[offs[i] : offs[j]].view(np.uint64))
-                rows.append(np.repeat(np.arange(j - i), np.diff(offs[i : j + 1]) // 8))
-            h, r = np.concatenate(hs), np.concatenate(rows)
-            order = np.argsort(h)
-            order = order[np.argsort(r[order].astype(np.uint16) if j - i < 65536 else r[order], kind="stable")]
-            h, r = h[order], r[order]
-            hit = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-            common[i:j] = np.bincount(r[1:][hit], minlength=j - i)
-        yield pa.RecordBatch.from_arrays([*(take_column(batch, c) for c in ("a", "b", "frag", "na", "nb")), pa.array(common)], schema=schema)
 
+def _neighbours(num: int, den: int, head: bool):
+    """For each row of a list the row of another component among the NEIGHBOURS before it that differs least, if it may be linked.
 
-def _strangers(num: int, den: int):
-    """For each row of a list the last row before it that is of another component; rows come sorted by n-gram."""
-    schema = pa.schema([("doc", pa.int64()), ("other", pa.int64())])
+    Rows come in order of (h, salt); with `head` the first row of the list is compared too.
+    """
+    schema = pa.schema([("sid", pa.int64()), ("differ", pa.int64()), ("other", pa.int64()), ("head", pa.bool_())])
+    names = ("h", "salt", "sid", "n", "dead", "comp")
 
     def run(batches):
-        held = None  # h, comp, and doc and size of the last row before the present run of one component, then of the last row
+        held: list[np.ndarray] | None = None  # the last NEIGHBOURS rows and the first row of the last list
         for b in batches:
             if not b.num_rows:
                 continue
-            h, doc, size, comp = (np.asarray(take_column(b, c)) for c in ("h", "doc", "size", "comp"))
-            new_list = np.r_[held is None or h[0] != held[0], h[1:] != h[:-1]]
-            new_run = new_list | np.r_[held is None or comp[0] != held[1], comp[1:] != comp[:-1]]
-            start = np.maximum.accumulate(np.where(new_run, np.arange(len(h)), -1))
-            before_doc, before_size = np.r_[held[4] if held else 0, doc[:-1]], np.r_[held[5] if held else 0, size[:-1]]
-            at = np.maximum(start, 0)
-            other, other_size, has = before_doc[at], before_size[at], ~new_list[at]
-            if held:
-                inside = start < 0
-                other[inside], other_size[inside], has[inside] = held[2], held[3], held[3] > 0
-            ok = has & (np.minimum(size, other_size) * den >= np.maximum(size, other_size) * num)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(other[ok])], schema=schema)
-            held = (h[-1], comp[-1], other[-1], other_size[-1] if has[-1] else 0, doc[-1], size[-1])
+            cols = [np.asarray(take_column(b, c)) for c in names] + [_bit_rows(b)]
+            before = 0
+            if held is not None:
+                before = len(held[0])
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            h, salt, sid, n, dead, comp, bits = cols
+            m = len(h)
+            start = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+            first = np.maximum.accumulate(np.where(start, np.arange(m), 0))
+            least, other = np.full(m, np.iinfo(np.int64).max), np.zeros(m, np.int64)
+
+            def differ(i, j):
+                far = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) + dead[i] + dead[j]
+                return np.where(_links(far, n[i] + n[j], num, den), far, np.iinfo(np.int64).max)
+
+            for lag in range(1, NEIGHBOURS + 1):
+                i = np.arange(max(before, lag), m)
+                i = i[(first[i] <= i - lag) & (comp[i] != comp[i - lag])]
+                far = differ(i, i - lag)
+                better = far < least[i]
+                least[i[better]], other[i[better]] = far[better], sid[i - lag][better]
+            ok = np.flatnonzero(least < np.iinfo(np.int64).max)
+            out = [(sid[ok], least[ok], other[ok], np.zeros(len(ok), bool))]
+            if head:
+                i = np.arange(before, m)
+                i = i[(first[i] < i) & (comp[i] != comp[first[i]])]
+                far = differ(i, first[i])
+                i, far = i[far < np.iinfo(np.int64).max], far[far < np.iinfo(np.int64).max]
+                out.append((sid[i], far, sid[first[i]], np.ones(len(i), bool)))
+            if any(len(x[0]) for x in out):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+            keep = np.unique(np.r_[first[-1], np.arange(max(first[-1], m - NEIGHBOURS), m)])
+            held = [x[keep] for x in cols]
 
     return run
 
 
-def _folded(batches):
-    """Lists with the bitmaps folded to SHORT_BITS."""
-    m = SHORT_BITS // 8
-    for b in batches:
-        out = [np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, m), 0).tobytes() for x in take_column(b, "bitmap").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(take_column(b, c) for c in ("h", "doc", "size", "comp")), pa.array(out, pa.binary())], names=["h", "doc", "size", "comp", "short"])
-
-
 def _cross(num: int, den: int):
-    """Pairs of one n-gram's list whose ends are in different components and whose bitmaps allow a link; rows come sorted by n-gram."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(doc, size, comp, short):
-        small, big = np.minimum, np.maximum
-        step = max(1, _PAIRS_AT_ONCE // len(doc))
-        for i in range(0, len(doc), step):
-            x = slice(i, i + step)
-            ok = (comp[x, None] != comp) & (doc[x, None] < doc) & (den * small(size[x, None], size) >= num * big(size[x, None], size))
-            a, b = np.nonzero(ok)
-            for j in range(0, len(a), 1 << 16):
-                p, q = a[j : j + (1 << 16)] + i, b[j : j + (1 << 16)]
-                differ = np.bitwise_count(short[p] ^ short[q]).sum(1, dtype=np.int64)
-                keep = differ * (den + num) <= (den - num) * (size[p].astype(np.int64) + size[q])
+    """Pairs of a list (or of two of its parts) whose ends are in different components and whose bitmaps allow a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
+    names = ("h", "lo", "hi", "part", "sid", "n", "dead", "comp")
+
+    def pairs(lo, hi, part, sid, n, dead, comp, bits):
+        whole = lo[0] == hi[0]
+        for i in range(0, len(sid), _ROWS_AT_ONCE):
+            x = slice(i, i + _ROWS_AT_ONCE)
+            both = n[x, None] + n
+            ok = (comp[x, None] != comp) & (sid[x, None] < sid) & _links(dead[x, None] + dead, both, num, den)
+            ok &= den * np.minimum(n[x, None], n) >= num * np.maximum(n[x, None], n)
+            if not whole:
+                ok &= part[x, None] != part
+            p, q = np.nonzero(ok)
+            for j in range(0, len(p), 1 << 16):
+                s, t = p[j : j + (1 << 16)] + i, q[j : j + (1 << 16)]
+                far = np.bitwise_count(bits[s] ^ bits[t]).sum(1, dtype=np.int64) + dead[s] + dead[t]
+                keep = _links(far, n[s] + n[t], num, den)
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[p[keep]]), pa.array(doc[q[keep]])], schema=schema)
+                    s, t = s[keep], t[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[s]), pa.array(sid[t]), pa.array(n[s]), pa.array(n[t])], schema=schema)
 
     def run(batches):
         held: list[np.ndarray] | None = None
+        pending: list[list[np.ndarray]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [np.asarray(take_column(b, c)) for c in ("h", "doc", "size", "comp")]
-            cols.append(np.frombuffer(b"".join(take_column(b, "short").to_pylist()), np.uint64).reshape(b.num_rows, -1))
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cut = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            cols = [np.asarray(take_column(b, c)) for c in names] + [_bit_rows(b)]
+            if held is not None and all(x[0] == y[-1] for x, y in zip(cols[:3], held, strict=False)) and all((x == x[0]).all() for x in cols[:3]):
+                pending.append(cols)  # the list goes on
+                continue
+            cols = [np.concatenate(x) for x in zip(*([held] if held is not None else []), *pending, cols, strict=True)]
+            pending = []
+            cut = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)])
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 yield from pairs(*(x[i:j] for x in cols[1:]))
             held = [x[cut[-1] :] for x in cols]
         if held is not None:
-            yield from pairs(*held[1:])
+            yield from pairs(*(np.concatenate(x) for x in zip(*[y[1:] for y in (held, *pending)], strict=True)))
 
     return run
 
 
-def _may_link(num: int, den: int):
-    """Drops pairs whose bitmaps differ in more bits than two linked sets can."""
+def _overlaps(batches):
+    """Sizes of the intersections of pa and pb, for many rows by one sort."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("common", pa.int64())])
+    for batch in batches:
+        sides = []
+        for name in ("pa", "pb"):
+            col = take_column(batch, name).cast(pa.large_binary())
+            offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+            sides.append((np.frombuffer(col.buffers()[2] or b"", np.uint8), offs))
+        both = sides[0][1] - sides[0][1][0] + sides[1][1] - sides[1][1][0]
+        common = np.zeros(batch.num_rows, np.int64)
+        for i, j in slices(both, 1 << 23):
+            hs, rows = [], []
+            for data, offs in sides:
+                hs.append(data[offs[i] : offs[j]].view(np.uint64))
+                rows.append(np.repeat(np.arange(j - i), np.diff(offs[i : j + 1]) // 8))
+            h, r = np.concatenate(hs), np.concatenate(rows)
+            order = np.argsort(h)
+            order = order[np.argsort(r[order], kind="stable")]
+            h, r = h[order], r[order]
+            hit = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
+            common[i:j] = np.bincount(r[1:][hit], minlength=j - i)
+        yield pa.RecordBatch.from_arrays([*(take_column(batch, c) for c in ("a", "b", "both")), pa.array(common)], schema=schema)
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y, nx, ny in zip(*(take_column(b, c).to_pylist() for c in ("ba", "bb", "na", "nb")), strict=True):
-                m = 8 * min(len(x), len(y))
-                fold, p, q = (1 << m) - 1, int.from_bytes(x, "little"), int.from_bytes(y, "little")
-                if len(x) > len(y):
-                    p = p & fold | p >> m
-                elif len(y) > len(x):
-                    q = q & fold | q >> m
-                keep.append((p ^ q).bit_count() * (den + num) <= (den - num) * (nx + ny))
-            cols = [take_column(b, "a"), take_column(b, "b"), take_column(b, "na").cast(pa.int32()), take_column(b, "nb").cast(pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+# ---------------------------------------------------------------- the join
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -361,90 +480,103 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         return _components(docs, k, num, den)
 
 
+def _surveyed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with the name and size of their set, and a row for each different set: its smallest id, its copies, whether it can be linked."""
+    spark = docs.sparkSession
+    bits = int(np.clip(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions")))), 6, 20))
+    survey = stage(docs.mapInArrow(lean(_survey(k, bits)), _SURVEY_SQL), "survey")
+    buckets = survey.where("bucket is not null").select("bucket", "base", "grams", "owners")
+    recur = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_recurring_owners), "ref long, live long")
+    recur = recur.groupBy("ref").agg(F.sum("live").alias("more"))
+    rows = survey.where("bucket is null")
+    named = rows.where("sid is not null")
+    counted = named.where("ref is not null").join(recur, "ref", "left").select("doc_id", "sid", "n", "first", (F.col("live") + F.coalesce("more", F.lit(0))).alias("live"))
+    others = named.where("ref is null").select("doc_id", "sid", "n", "first", "live")
+    sets = counted.union(others).groupBy("sid", "n").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), (F.max("first") - F.max("live")).alias("dead"))
+    spare = F.floor(F.col("n") * (den - num) / den)  # n - ceil(n * num / den)
+    sets = stage(sets.select("sid", "n", "head", "copies", (F.col("dead") <= spare + 1e-9).alias("open")), "sets")
+    rows = rows.select("doc_id", "sid", "n")
+    rows._staged_path = survey._staged_path  # type: ignore[attr-defined]
+    return rows, sets
+
+
 def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sc = docs.sparkSession.sparkContext
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = int(np.clip(np.log2(max(1, chars / 6.5 / 32)), MIN_SKETCH_BITS, MAX_SKETCH_BITS))
-    survey = stage(docs.mapInArrow(lean(_survey(k, bits)), "doc_id long, n long, s1 long, s2 long, bitmap binary, block int, counts binary"), "survey")
-    shared = sc.broadcast(_classes(survey, bits))
-    owners = survey.where("block is null")
-    sets = owners.where("n > 0 and doc_id is not null")
-
-    rows = docs.mapInArrow(lean(_prefixes(k, bits, shared, num, den)), "h long, size int, doc long")
-    live = stage(rows.repartition("h").sortWithinPartitions("h", "size", "doc").mapInArrow(lean(_live), "h long, doc long, size int, hub long, hub_size int, prev long, prev_size int"), "lists")
-
-    def comparable(ids: DataFrame) -> DataFrame:
-        """The n-grams, in fragments, of the texts with these ids (and a few others)."""
+    rows, sets = _surveyed(docs, k, num, den)
+    ids = sets.where("open").select(F.col("head").alias("id")).distinct()
+    if ids.count() <= MAX_FILTER_IDS:
         flags, id_bits = bit_filter(ids)
-        return docs.mapInArrow(lean(_fragment_rows(k, bits, shared, sc.broadcast(flags), id_bits, num, den)), "doc long, frag int, part binary")
-
-    def verified(pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-        """The pairs that are linked: bitmaps rule most others out, then overlaps are summed over the fragments."""
-        for x in "ab":
-            pairs = pairs.join(sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"b{x}")), x)
-        pairs = stage(pairs.mapInArrow(lean(_may_link(num, den)), "a long, b long, na int, nb int").distinct(), "pairs")
-        if parts is None:
-            parts = comparable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        if ids.count() <= MAX_BROADCAST_IDS:
-            parts = parts.join(F.broadcast(ids), parts["doc"] == ids["id"], "left_semi")
-        rows = F.when(F.greatest("na", "nb") <= WHOLE, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, range(FRAGMENTS))))
-        left = parts.select(F.col("doc").alias("a"), "frag", F.col("part").alias("pa"))
-        right = parts.select(F.col("doc").alias("b"), "frag", F.col("part").alias("pb"))
-        both = pairs.withColumn("frag", F.explode(rows)).join(left, ["a", "frag"]).join(right, ["b", "frag"])
-        both = both.select("a", "b", "frag", "na", "nb", "pa", "pb")
-        counted = both.mapInArrow(lean(_overlaps), "a long, b long, frag int, na int, nb int, common long")
-        counted = counted.groupBy("a", "b", "frag").agg(F.max("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-        summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-        links = stage(summed.where(F.col("common") * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "links")
+        grams = docs.mapInArrow(lean(_grams(k, docs.sparkSession.sparkContext.broadcast(flags), id_bits)), "h long, sid long, n long")
+    else:
+        grams = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(lean(_grams(k, None, 0)), "h long, sid long, n long")
+    grams = grams.repartition(F.when(F.col("n") < 0, F.col("sid")).otherwise(F.col("h"))).sortWithinPartitions(F.col("n") >= 0, "h")
+    live = grams.mapInArrow(lean(_recurring), "sid long, n long, h long")
+    found = stage(live.repartition("sid").sortWithinPartitions("sid").mapInArrow(lean(_gathered(num, den)), _SETS_SQL), "recurring")
+    parts = found.where("frag >= 0").select("sid", "frag", "data")
+    lists = found.where("frag = -1").mapInArrow(lean(_listed), _LISTS_SQL)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The linked pairs of (a, b, na, nb): overlaps are counted in each fragment and summed."""
+        pairs = stage(pairs.distinct(), "pairs")
+        fragments = F.array(*map(F.lit, range(FRAGMENTS)))
+        left = parts.select(F.col("sid").alias("a"), "frag", F.col("data").alias("pa"))
+        right = parts.select(F.col("sid").alias("b"), "frag", F.col("data").alias("pb"))
+        both = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("both"), F.explode(fragments).alias("frag")).join(left, ["a", "frag"]).join(right, ["b", "frag"])
+        counted = both.select("a", "b", "both", "pa", "pb").mapInArrow(lean(_overlaps), "a long, b long, both long, common long")
+        summed = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("both").alias("both"))
+        links = stage(summed.where(F.col("common") * (den + num) >= F.col("both") * num).select("a", "b"), "links")
         drop_staged(pairs)
         return links
 
-    def undecided(lists: DataFrame, found: DataFrame) -> DataFrame:
-        """The lists with texts of more than one component."""
-        labelled = lists.join(found.distinct(), lists.doc == found.id, "left").select("h", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-        mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-        return stage(labelled.join(mixed, "h", "left_semi"), "undecided")
-
-    def most_voted(votes: DataFrame) -> DataFrame:
-        best = votes.groupBy("doc", "other").count().groupBy("doc").agg(F.max(F.struct("count", "other")).alias("m")).select("doc", F.col("m.other").alias("other"))
-        return best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"))
-
-    def near(x: str) -> DataFrame:
-        ok = F.least("size", f"{x}_size") * den >= F.greatest("size", f"{x}_size") * num
-        return most_voted(live.where(ok & (F.col("doc") != F.col(x))).select("doc", F.col(x).alias("other")))
-
-    links = verified(near("hub").union(near("prev")).distinct())
-    lists = undecided(live.select("h", "doc", "size").distinct(), components(links))
-    drop_staged(live)
-    parts = stage(comparable(lists.select(F.col("doc").alias("id")).distinct()), "fragments")
-    for turn in range(ROUNDS):
-        tried = None
-        for order in range(ORDERS):
-            dealt = lists.withColumn("deal", F.xxhash64(F.lit(turn * ORDERS + order), "doc")).repartition("h").sortWithinPartitions("h", "deal", "doc").drop("deal")
-            one = most_voted(dealt.mapInArrow(lean(_strangers(num, den)), "doc long, other long"))
-            tried = one if tried is None else tried.union(one)
-        more = verified(tried.distinct(), parts)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        after = undecided(lists.select("h", "doc", "size"), components(links))
-        drop_staged(lists)
-        lists = after
-    drawn = lists.join(sets.select("doc_id", "bitmap").dropDuplicates(["doc_id"]), F.col("doc") == F.col("doc_id")).select("h", "doc", "size", "comp", "bitmap")
-    short = drawn.mapInArrow(lean(_folded), "h long, doc long, size int, comp long, short binary")
-    cross = short.repartition("h").sortWithinPartitions("h").mapInArrow(lean(_cross(num, den)), "a long, b long").distinct()
-    links = links.union(verified(cross, parts))
-    drop_staged(lists)
-    drop_staged(parts)
-
-    heads = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("head"))
-    named = stage(owners.select("doc_id", "n", "s1", "s2").join(heads, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head")), "heads")
-    drop_staged(survey)
-
-    ids = named.where("n > 0").select(F.col("doc_id").alias("id"), "head").distinct()
-    links = links.join(ids.select(F.col("id").alias("a"), F.col("head").alias("ha")), "a").join(ids.select(F.col("id").alias("b"), F.col("head").alias("hb")), "b")
-    whole = components(links.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
-    shared.unpersist()
-    return named.join(whole, named["head"] == whole["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
+    def best(rows: DataFrame) -> DataFrame:
+        """For each set the neighbour, and the head of a list, that differ least."""
+        one = rows.groupBy("sid", "head").agg(F.min(F.struct("differ", "other")).alias("m")).select("sid", F.col("m.other").alias("other"))
+        one = one.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+        sizes = found.where("frag = -1").select("sid", "n")
+        for x in "ab":
+            one = one.join(sizes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}")), x)
+        return one.select("a", "b", "na", "nb")
+
+    def undecided(lists: DataFrame, links: DataFrame) -> DataFrame:
+        """The lists with sets of more than one component, and into how many parts each is cut."""
+        comps = components(links).distinct()
+        labelled = lists.join(comps, lists.sid == comps.id, "left").select("h", "sid", "n", "dead", "bitmap", F.coalesce("component", "sid").alias("comp"))
+        mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+        return stage(labelled.join(mixed.select("h", F.ceil(F.col("rows") / SPLIT).cast("int").alias("k")), "h"), "undecided")
+
+    part = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
+    order = ["h", "salt", "sid", "n", "dead", "comp", "bitmap"]
+    long = bounded(lists.groupBy("h").count().where(F.col("count") > SPLIT).select(F.col("h").alias("long"), F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")))
+    first = lists.join(long, lists.h == long.long, "left").withColumn("k", F.coalesce("parts", F.lit(1)))
+    first = first.select("h", part.alias("salt"), "sid", "n", "dead", F.col("sid").alias("comp"), "bitmap")
+    near = first.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid").select(*order)
+    links = verified(best(near.mapInArrow(lean(_neighbours(num, den, True)), "sid long, differ long, other long, head boolean")))
+    left = undecided(lists, links)
+
+    deal = F.xxhash64(F.lit(1), "sid")
+    again = left.select("h", F.pmod(deal, F.col("k")).cast("int").alias("salt"), "sid", "n", "dead", "comp", "bitmap")
+    again = again.repartition("h", "salt").sortWithinPartitions("h", "salt", F.xxhash64(F.lit(2), "sid")).select(*order)
+    more = verified(best(again.mapInArrow(lean(_neighbours(num, den, False)), "sid long, differ long, other long, head boolean")))
+    links = links.union(more)
+    last = undecided(left.select("h", "sid", "n", "dead", "bitmap"), links)
+    drop_staged(left)
+
+    cells = last.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = cells.select("h", F.least("part", "to").alias("lo"), F.greatest("part", "to").alias("hi"), "part", "sid", "n", "dead", "comp", "bitmap")
+    cells = cells.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    links = links.union(verified(cells.mapInArrow(lean(_cross(num, den)), "a long, b long, na long, nb long")))
+    drop_staged(last)
+
+    comps = components(links).distinct()
+    known = comps.join(sets, comps.id == sets.sid).select("sid", "n", "head", "component")
+    roots = known.groupBy("component").agg(F.min("head").alias("label"))
+    linked = known.join(roots, "component").select("sid", "n", "label")
+    alone = sets.where("copies > 1").join(comps, sets.sid == comps.id, "left_anti").select("sid", "n", F.col("head").alias("label"))
+    labels = stage(linked.union(alone), "labels")
+    drop_staged(found)
+    drop_staged(sets)
+
+    salted = labels.withColumn("salt", F.explode(F.array(*map(F.lit, range(_SALTS)))))
+    own = rows.where("sid is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")).join(salted, ["sid", "n", "salt"], "left")
+    out = own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    return out.union(rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -59,23 +59,41 @@ def test_ngram_components(spark, docs, empty):
     assert ngram_components(empty).count() == 0
 
 
-def test_ngram_components_by_fragments(spark, docs, monkeypatch):
-    """Partial overlaps a fragment, summed, give what whole sets give."""
-    from strandlake.llm import ngram_join as nj
+def _components_by_pairs(texts):
+    """(size of the set, smallest id reachable) by comparing all pairs of rows (id, text); rows with a null id link with nothing."""
+    sets = []
+    for _, t in texts:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    comp = [i for i, _ in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and None not in (comp[a], comp[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in texts:
+        was = list(comp)
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if comp == was:
+            break
+    return sorted(((i, len(s), c) for (i, _), s, c in zip(texts, sets, comp, strict=True)), key=str)
 
-    want = {tuple(r) for r in nj.ngram_components(docs).collect()}
-    overlaps = nj._overlaps
 
-    def watched(batches):
-        for b in overlaps(batches):
-            rows.add(sum(f >= 0 for f in b.column("frag").to_pylist()))
-            yield b
+def test_ngram_components_near_the_threshold(spark, monkeypatch):
+    """A large group of near copies with outliers: lists cut into parts, null and repeated ids, ties, repeated rows."""
+    from strandlake.llm import ngram_join as nj
 
-    rows = spark.sparkContext.accumulator(0)
-    monkeypatch.setattr(nj, "_overlaps", watched)
-    monkeypatch.setattr(nj, "WHOLE", 16)
-    assert {tuple(r) for r in nj.ngram_components(docs).collect()} == want
-    assert rows.value > 0
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(110)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for j in rnd.sample(range(110), rnd.choice([1, 1, 1, 2, 2, 3, 4])):
+            w[j] = f"x{i}-{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (101, rows[3][1]), (None, rows[3][1]), (None, None), (102, ""), (103, "a b"), (104, "A  B"), (103, "quite another text under the id of the one before")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("sid", F.lit("x")).repartition(5)
+    want = _components_by_pairs(rows)
+    assert len({c for *_, c in want}) > 8
+    monkeypatch.setattr(nj, "SPLIT", 16)
+    assert sorted((tuple(r) for r in nj.ngram_components(frame).collect()), key=str) == want
 
 
 def test_repeats(spark, docs, empty):
