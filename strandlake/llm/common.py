@@ -164,10 +164,11 @@ def bit_filter(ids: DataFrame) -> tuple[bytes, int]:
     bits = int(np.clip(np.ceil(np.log2(16 * max(1, ids.count()))), 19, MAX_FILTER_BITS))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, bool)
+        flags = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            flags[_filter_bits(np.asarray(b.column(0)), bits)] = True
-        blocks = cut_blocks(np.packbits(flags, bitorder="little"))
+            at = _filter_bits(np.asarray(b.column(0)), bits)
+            np.bitwise_or.at(flags, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        blocks = cut_blocks(flags)
         if blocks:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["block", "flags"])
 

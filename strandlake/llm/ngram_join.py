@@ -6,7 +6,7 @@ apart, and the counts are summed per pair.
 
 Only n-grams that recur in other texts can overlap, so the fragments also say early which texts can be linked at all:
 
-1. One pass over the texts gives the size and signature of each set, and the n-grams of the first fragment (a quarter).
+1. One pass over the texts gives the size and signature of each set, and the n-grams of the first fragment (a third).
    They are dealt by hash; a text with more than n - ceil(0.8 n) n-grams that recur nowhere can be linked with nothing.
    An n-gram leaves a task once at most, however often it occurs there, so no frequent n-gram makes a hot group.
 2. The texts that are left give all their n-grams.  Those that recur among them are gathered by text; texts with too few
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import batch_rows, bit_filter, bounded, components, drop_staged, in_filter, lean, mix, shingle_sets, slices, stage, take_column, text_bytes
 
 #: Fragments of the global order (equal ranges of hashes).
-FRAGMENTS = 4
+FRAGMENTS = 3
 #: N-grams of the first fragment that a task holds before it sends them on.
 HELD_GRAMS = 1 << 20
 #: Texts that it holds until then: slices have at most as many rows, so owners fit into 16 bits.
@@ -106,15 +106,13 @@ def _survey(k: int, bucket_bits: int):
     """
 
     def run(batches):
-        part = TaskContext.get().partitionId() << 36
+        base = TaskContext.get().partitionId() << 20  # a number for each share of a task that is sent on
         seen: set[int] = set()
-        number = 0
         held: list[tuple] = []
         size = rows = 0
 
         def flush():
-            nonlocal number
-            base = number
+            nonlocal base
             ids = pa.concat_arrays([x[0] for x in held])
             sid, n, use = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
             doc = np.concatenate([x[5] + at for x, at in zip(held, np.cumsum([0, *(len(x[1]) for x in held[:-1])]), strict=True)])
@@ -126,12 +124,11 @@ def _survey(k: int, bucket_bits: int):
             live = same[1:] | same[:-1]
             count = len(sid)
             found = np.bincount(doc[live], minlength=count)
-            ref = part + base + np.arange(count)
+            ref = (base << 16) + np.arange(count)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sid, mask=~use), pa.array(n), pa.array(np.bincount(doc, minlength=count)), pa.array(found), pa.array(ref, mask=np.bincount(doc, minlength=count) == 0), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.binary()), pa.nulls(count, pa.binary())],
                 schema=_SURVEY,
             )
-            number += count
             once = ~same[:-1]
             h, owner = h[once], np.where(live, _MANY, doc.astype(np.uint16))[once]
             if len(h):
@@ -141,9 +138,10 @@ def _survey(k: int, bucket_bits: int):
                 m = len(cut) - 1
                 pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(m, pa.int64())] * 6, pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, part + base)), pa.array([grams[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in pairs], pa.binary())],
+                    [*[pa.nulls(m, pa.int64())] * 6, pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(m, base)), pa.array([grams[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in pairs], pa.binary())],
                     schema=_SURVEY,
                 )
+            base += 1
 
         for ids, h, o in _sets(batches, k):
             n, sid = np.diff(o), _names(h, o)
@@ -167,14 +165,17 @@ def _survey(k: int, bucket_bits: int):
 
 
 def _recurring_owners(batches):
-    """From the buckets, which come in order: (ref, live), how many of a text's n-grams of the first fragment recur."""
-    schema = pa.schema([("ref", pa.int64()), ("live", pa.int64())])
+    """From the buckets, which come in order: owners of n-grams that recur, packed by base, with the number of such n-grams."""
+    schema = pa.schema([("base", pa.int64()), ("owners", pa.binary()), ("counts", pa.binary())])
     waiting: list[np.ndarray] = []
 
     def give():
         refs, counts = np.unique(np.concatenate(waiting), return_counts=True)
         waiting.clear()
-        return pa.RecordBatch.from_arrays([pa.array(refs), pa.array(counts)], schema=schema)
+        cut = np.flatnonzero(np.r_[True, refs[1:] >> 16 != refs[:-1] >> 16, True]) if len(refs) else np.zeros(1, np.int64)
+        pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        owners, counts = (refs & 0xFFFF).astype(np.uint16), counts.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(refs[cut[:-1]] >> 16), pa.array([owners[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([counts[i:j].tobytes() for i, j in pairs], pa.binary())], schema=schema)
 
     def close(group):
         grams = np.concatenate([np.frombuffer(g, np.uint32) for _, g, _ in group])
@@ -186,7 +187,7 @@ def _recurring_owners(batches):
         same[1:-1] = gram[1:] == gram[:-1]
         at = at[same[1:] | same[:-1]]
         at = at[owners[at] != _MANY]
-        waiting.append(bases[at] + owners[at])
+        waiting.append(bases[at] << 16 | owners[at])
 
     group, now = [], None
     for b in batches:
@@ -204,6 +205,26 @@ def _recurring_owners(batches):
         yield give()
 
 
+def _added(batches):
+    """(ref, live) from the packed counts, which come in order of base."""
+    schema = pa.schema([("ref", pa.int64()), ("live", pa.int64())])
+    now, sums = None, np.zeros(0, np.int64)
+
+    def give():
+        at = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array((now << 16) + at), pa.array(sums[at])], schema=schema)
+
+    for b in batches:
+        for base, owners, counts in zip(*(take_column(b, c).to_pylist() for c in ("base", "owners", "counts")), strict=True):
+            if base != now:
+                if now is not None:
+                    yield give()
+                now, sums = base, np.zeros(1 << 16, np.int64)
+            sums += np.bincount(np.frombuffer(owners, np.uint16), np.frombuffer(counts, np.uint32), 1 << 16).astype(np.int64)
+    if now is not None:
+        yield give()
+
+
 # ---------------------------------------------------------------- recurring n-grams of the texts that are left
 
 
@@ -330,18 +351,25 @@ def _gathered(num: int, den: int):
 # ---------------------------------------------------------------- lists and pairs
 
 
-def _listed(batches):
-    """A row for each n-gram of each prefix."""
-    for b in batches:
-        data = take_column(b, "data").cast(pa.large_binary())
-        counts = np.diff(np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]) // 8
-        h = np.frombuffer(b"".join(data.to_pylist()), np.int64)
-        at = pa.array(np.repeat(np.arange(b.num_rows), counts))
-        sid, n, live, bitmap = (take_column(b, c).take(at) for c in ("sid", "n", "live", "bitmap"))
-        yield pa.RecordBatch.from_arrays([pa.array(h), sid, n, pa.array(np.asarray(n) - np.asarray(live)), bitmap], names=["h", "sid", "n", "dead", "bitmap"])
+def _listed(flags=None, id_bits: int = 0):
+    """A row for each n-gram of each prefix, or for those in a bit filter."""
+
+    def run(batches):
+        chosen = None if flags is None else np.frombuffer(flags.value, np.uint8)
+        for b in batches:
+            data = take_column(b, "data").cast(pa.large_binary())
+            counts = np.diff(np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]) // 8
+            h, at = np.frombuffer(b"".join(data.to_pylist()), np.int64), np.repeat(np.arange(b.num_rows), counts)
+            if chosen is not None:
+                use = in_filter(chosen, id_bits, h)
+                h, at = h[use], at[use]
+            sid, n, live, comp, bitmap = (take_column(b, c).take(pa.array(at)) for c in ("sid", "n", "live", "comp", "bitmap"))
+            yield pa.RecordBatch.from_arrays([pa.array(h), sid, n, pa.array(np.asarray(n) - np.asarray(live)), comp, bitmap], names=["h", "sid", "n", "dead", "comp", "bitmap"])
+
+    return run
 
 
-_LISTS_SQL = "h long, sid long, n long, dead long, bitmap binary"
+_LISTS_SQL = "h long, sid long, n long, dead long, comp long, bitmap binary"
 
 
 def _bit_rows(b: pa.RecordBatch) -> np.ndarray:
@@ -486,8 +514,8 @@ def _surveyed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, D
     bits = int(np.clip(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions")))), 6, 20))
     survey = stage(docs.mapInArrow(lean(_survey(k, bits)), _SURVEY_SQL), "survey")
     buckets = survey.where("bucket is not null").select("bucket", "base", "grams", "owners")
-    recur = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_recurring_owners), "ref long, live long")
-    recur = recur.groupBy("ref").agg(F.sum("live").alias("more"))
+    recur = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_recurring_owners), "base long, owners binary, counts binary")
+    recur = recur.repartition("base").sortWithinPartitions("base").mapInArrow(lean(_added), "ref long, live long").withColumnRenamed("live", "more")
     rows = survey.where("bucket is null")
     named = rows.where("sid is not null")
     counted = named.where("ref is not null").join(recur, "ref", "left").select("doc_id", "sid", "n", "first", (F.col("live") + F.coalesce("more", F.lit(0))).alias("live"))
@@ -495,25 +523,26 @@ def _surveyed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, D
     sets = counted.union(others).groupBy("sid", "n").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), (F.max("first") - F.max("live")).alias("dead"))
     spare = F.floor(F.col("n") * (den - num) / den)  # n - ceil(n * num / den)
     sets = stage(sets.select("sid", "n", "head", "copies", (F.col("dead") <= spare + 1e-9).alias("open")), "sets")
-    rows = rows.select("doc_id", "sid", "n")
-    rows._staged_path = survey._staged_path  # type: ignore[attr-defined]
+    rows = stage(rows.select("doc_id", "sid", "n"), "rows")
+    drop_staged(survey)
     return rows, sets
 
 
 def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
     rows, sets = _surveyed(docs, k, num, den)
     ids = sets.where("open").select(F.col("head").alias("id")).distinct()
     if ids.count() <= MAX_FILTER_IDS:
         flags, id_bits = bit_filter(ids)
-        grams = docs.mapInArrow(lean(_grams(k, docs.sparkSession.sparkContext.broadcast(flags), id_bits)), "h long, sid long, n long")
+        grams = docs.mapInArrow(lean(_grams(k, spark.sparkContext.broadcast(flags), id_bits)), "h long, sid long, n long")
     else:
         grams = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(lean(_grams(k, None, 0)), "h long, sid long, n long")
     grams = grams.repartition(F.when(F.col("n") < 0, F.col("sid")).otherwise(F.col("h"))).sortWithinPartitions(F.col("n") >= 0, "h")
     live = grams.mapInArrow(lean(_recurring), "sid long, n long, h long")
     found = stage(live.repartition("sid").sortWithinPartitions("sid").mapInArrow(lean(_gathered(num, den)), _SETS_SQL), "recurring")
     parts = found.where("frag >= 0").select("sid", "frag", "data")
-    lists = found.where("frag = -1").mapInArrow(lean(_listed), _LISTS_SQL)
+    heads = found.where("frag = -1").select("sid", "n", "live", "data", "bitmap")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked pairs of (a, b, na, nb): overlaps are counted in each fragment and summed."""
@@ -532,45 +561,51 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         """For each set the neighbour, and the head of a list, that differ least."""
         one = rows.groupBy("sid", "head").agg(F.min(F.struct("differ", "other")).alias("m")).select("sid", F.col("m.other").alias("other"))
         one = one.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
-        sizes = found.where("frag = -1").select("sid", "n")
+        sizes = heads.select("sid", "n")
         for x in "ab":
             one = one.join(sizes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}")), x)
         return one.select("a", "b", "na", "nb")
 
-    def undecided(lists: DataFrame, links: DataFrame) -> DataFrame:
-        """The lists with sets of more than one component, and into how many parts each is cut."""
+    def lists(sets: DataFrame, mixed_only: bool) -> DataFrame:
+        """The lists of sets with a component, or those with several components, and into how many parts each is cut."""
+        grams = sets.mapInArrow(lean(_listed()), _LISTS_SQL).groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+        if not mixed_only:
+            grams, out = grams.where(F.col("rows") > SPLIT), sets.mapInArrow(lean(_listed()), _LISTS_SQL)
+        else:
+            grams = stage(grams.select("h", "rows"), "mixed")
+            flags, bits = bit_filter(grams.select("h"))
+            out = sets.mapInArrow(lean(_listed(spark.sparkContext.broadcast(flags), bits)), _LISTS_SQL)
+        long = bounded(grams.where(F.col("rows") > SPLIT).select(F.col("h").alias("long"), F.ceil(F.col("rows") / SPLIT).cast("int").alias("parts")))
+        return out.join(long, out.h == long.long, "left").withColumn("k", F.coalesce("parts", F.lit(1))).drop("long", "parts")
+
+    def labelled(links: DataFrame) -> DataFrame:
         comps = components(links).distinct()
-        labelled = lists.join(comps, lists.sid == comps.id, "left").select("h", "sid", "n", "dead", "bitmap", F.coalesce("component", "sid").alias("comp"))
-        mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-        return stage(labelled.join(mixed.select("h", F.ceil(F.col("rows") / SPLIT).cast("int").alias("k")), "h"), "undecided")
+        return stage(heads.join(comps, heads.sid == comps.id, "left").select(*heads.columns, F.coalesce("component", "sid").alias("comp")), "labelled")
 
     part = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
     order = ["h", "salt", "sid", "n", "dead", "comp", "bitmap"]
-    long = bounded(lists.groupBy("h").count().where(F.col("count") > SPLIT).select(F.col("h").alias("long"), F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")))
-    first = lists.join(long, lists.h == long.long, "left").withColumn("k", F.coalesce("parts", F.lit(1)))
-    first = first.select("h", part.alias("salt"), "sid", "n", "dead", F.col("sid").alias("comp"), "bitmap")
-    near = first.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid").select(*order)
+    every = lists(heads.withColumn("comp", F.col("sid")), False)
+    near = every.withColumn("salt", part).repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "sid").select(*order)
     links = verified(best(near.mapInArrow(lean(_neighbours(num, den, True)), "sid long, differ long, other long, head boolean")))
-    left = undecided(lists, links)
 
+    known = labelled(links)
     deal = F.xxhash64(F.lit(1), "sid")
-    again = left.select("h", F.pmod(deal, F.col("k")).cast("int").alias("salt"), "sid", "n", "dead", "comp", "bitmap")
+    again = lists(known, True).withColumn("salt", F.pmod(deal, F.col("k")).cast("int"))
     again = again.repartition("h", "salt").sortWithinPartitions("h", "salt", F.xxhash64(F.lit(2), "sid")).select(*order)
-    more = verified(best(again.mapInArrow(lean(_neighbours(num, den, False)), "sid long, differ long, other long, head boolean")))
-    links = links.union(more)
-    last = undecided(left.select("h", "sid", "n", "dead", "bitmap"), links)
-    drop_staged(left)
+    links = links.union(verified(best(again.mapInArrow(lean(_neighbours(num, den, False)), "sid long, differ long, other long, head boolean"))))
+    drop_staged(known)
 
-    cells = last.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    known = labelled(links)
+    cells = lists(known, True).withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cells = cells.select("h", F.least("part", "to").alias("lo"), F.greatest("part", "to").alias("hi"), "part", "sid", "n", "dead", "comp", "bitmap")
     cells = cells.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     links = links.union(verified(cells.mapInArrow(lean(_cross(num, den)), "a long, b long, na long, nb long")))
-    drop_staged(last)
+    drop_staged(known)
 
     comps = components(links).distinct()
-    known = comps.join(sets, comps.id == sets.sid).select("sid", "n", "head", "component")
-    roots = known.groupBy("component").agg(F.min("head").alias("label"))
-    linked = known.join(roots, "component").select("sid", "n", "label")
+    of_set = comps.join(sets, comps.id == sets.sid).select("sid", "n", "head", "component")
+    roots = of_set.groupBy("component").agg(F.min("head").alias("label"))
+    linked = of_set.join(roots, "component").select("sid", "n", "label")
     alone = sets.where("copies > 1").join(comps, sets.sid == comps.id, "left_anti").select("sid", "n", F.col("head").alias("label"))
     labels = stage(linked.union(alone), "labels")
     drop_staged(found)
