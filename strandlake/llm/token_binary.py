@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import new_path, take_column
+from strandlake.llm.common import batch_rows, lean, new_path, take_column
 
 END_ID = 2
 #: Ids after which a block is closed; lanes of a block; ids of a lane at least.
-BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 21, 4096, 256
-#: Pieces that a worker remembers at most.
+BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 20, 4096, 256
+#: Pieces that a worker remembers at most, the half of them that was used longest ago being forgotten at a time.
 CACHE_PIECES = 400_000
+#: Rows of an Arrow batch: they hold texts.
+_BATCH_ROWS = 1000
 
 _MAGIC = b"TIDB1"
 _HEAD = struct.Struct("<5sIIIII")
@@ -50,8 +53,7 @@ class _Model:
 
     def __init__(self, vocab: int):
         self.vocab = vocab
-        self.guess1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
-        self.guess2, self.sure2 = np.zeros(_SLOTS2, np.int64), np.zeros(_SLOTS2, np.int64)
+        self.order1, self.order2 = np.zeros(vocab, np.int32), np.zeros(_SLOTS2, np.int32)  # predicted id * 8 + confidence
         self.seen = np.tile(np.array([2.0, 1.0, 4.0]), (128, 1))
         self.counts = np.zeros(vocab, np.int64)
         self.step, self.fresh = 0, []
@@ -76,16 +78,17 @@ class _Model:
 
     def look(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
         self.at1 = prev1
-        self.at2 = (prev2 * 40503 + prev1 * 9973 + (prev1 >> 3)) & (_SLOTS2 - 1)
-        self.p1, self.p2 = self.guess1[self.at1], self.guess2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.state = (self.c2 * 8 + self.c1) * 2 + (self.p1 == self.p2)
+        self.at2 = (prev2 * 8191 + prev1 * 9973 + (prev1 >> 3)) & (_SLOTS2 - 1)  # wraps alike in encoder and decoder
+        e1, e2 = self.order1[self.at1], self.order2[self.at2]
+        self.p1, self.p2 = e1 >> 3, e2 >> 3
+        self.c1, self.c2 = e1 & 7, e2 & 7
+        self.state = (self.c2 << 4) + (self.c1 << 1) + (self.p1 == self.p2)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        for guess, sure, at, p, c in ((self.guess1, self.sure1, self.at1, self.p1, self.c1), (self.guess2, self.sure2, self.at2, self.p2, self.c2)):
+        for table, at, p, c in ((self.order1, self.at1, self.p1, self.c1), (self.order2, self.at2, self.p2, self.c2)):
             hit = p == ids
-            guess[at] = np.where(hit | (c > 1), p, ids)  # of equal contexts in one step the last lane counts
-            sure[at] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
+            # of equal contexts in one step the last lane counts
+            table[at] = (np.where(hit | (c > 1), p, ids) << 3) + np.where(hit, np.minimum(c + 1, 7), c >> 1)
         self.seen += np.bincount(self.state * 3 + outcome, minlength=384).reshape(128, 3)
         if self.step < 32 or self.step % 8 == 0:
             self._share()
@@ -98,7 +101,7 @@ class _Model:
 
     def id_at(self, slot: np.ndarray) -> np.ndarray:
         if self.of_slot is None:
-            self.of_slot = np.repeat(np.arange(self.vocab), self.freq)
+            self.of_slot = np.repeat(np.arange(self.vocab, dtype=np.int32), self.freq)
         return self.of_slot[slot]
 
 
@@ -107,17 +110,24 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _short(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lanes whose range needs 16 more bits: where they are, their low and range, and whether their top bits are settled."""
+    same = (low ^ (low + rng)) < _SAME
+    m = np.flatnonzero(same | (rng < _SMALL))
+    return m, low[m], rng[m], same[m]
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """A block for an array of ids (unsigned, below 2**17)."""
     ids = np.ascontiguousarray(ids, np.uint32)
     vocab = int(ids.max()) + 1 if len(ids) else 1
     lanes, steps = _lanes(len(ids))
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     out, pos = np.zeros((lanes, steps * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
-    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for row in grid:
         model.look(prev1, prev2)
         outcome = np.where(row == model.p2, 0, np.where(row == model.p1, 1, 2))
@@ -132,16 +142,13 @@ def encode_block(ids: np.ndarray) -> bytes:
             r = rng[at] >> _U(_ID_BITS)
             low[at] += model.cum[row[at]].astype(_U) * r
             rng[at] = model.freq[row[at]].astype(_U) * r
-        while True:
-            same = (low ^ (low + rng)) < _SAME
-            m = np.flatnonzero(same | (rng < _SMALL))
-            if not len(m):
-                break
-            lo, ra = low[m], rng[m]
+        m, lo, ra, same = _short(low, rng)
+        while len(m):
             out[m, pos[m]] = (lo >> _U(48)).astype(np.uint16)
             pos[m] += 1
-            ra = np.where(same[m], ra, (~lo + _U(1)) & _LOW32)
-            low[m], rng[m] = lo << _U(16), ra << _U(16)
+            low[m], rng[m] = lo, ra = lo << _U(16), np.where(same, ra, (~lo + _U(1)) & _LOW32) << _U(16)
+            k, lo, ra, same = _short(lo, ra)
+            m = m[k]
         model.learn(row, outcome)
         prev2, prev1 = prev1, row
     end = (low + _LOW32) & ~_LOW32
@@ -171,8 +178,8 @@ def decode_block(block: bytes) -> np.ndarray:
     for _ in range(4):
         code = code << _U(16) | np.where(pos < stop, words[pos], _U(0))
         pos = pos + 1
-    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    grid = np.zeros((steps, lanes), np.int64)
+    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    grid = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         model.look(prev1, prev2)
         f2, f1 = model.f2[model.state], model.f1[model.state]
@@ -191,16 +198,14 @@ def decode_block(block: bytes) -> np.ndarray:
             row[at] = model.id_at(v)
             low[at] += model.cum[row[at]].astype(_U) * r
             rng[at] = model.freq[row[at]].astype(_U) * r
-        while True:
-            same = (low ^ (low + rng)) < _SAME
-            m = np.flatnonzero(same | (rng < _SMALL))
-            if not len(m):
-                break
-            lo, ra, p = low[m], rng[m], pos[m]
+        m, lo, ra, same = _short(low, rng)
+        while len(m):
+            p = pos[m]
             code[m] = code[m] << _U(16) | np.where(p < stop[m], words[np.minimum(p, len(words) - 1)], _U(0))
             pos[m] = p + 1
-            ra = np.where(same[m], ra, (~lo + _U(1)) & _LOW32)
-            low[m], rng[m] = lo << _U(16), ra << _U(16)
+            low[m], rng[m] = lo, ra = lo << _U(16), np.where(same, ra, (~lo + _U(1)) & _LOW32) << _U(16)
+            k, lo, ra, same = _short(lo, ra)
+            m = m[k]
         model.learn(row, outcome)
         prev2, prev1 = prev1, row
         grid[step] = row
@@ -227,12 +232,19 @@ class _Pieces(dict):
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        letters, merge = self.encoder.letters, self.encoder.merge
-        self[piece] = out = b"".join([t.id.to_bytes(4, "little") for t in merge(piece.encode().decode("latin-1").translate(letters))])
+        out = self.before.get(piece)
+        if out is None:
+            out = array("I", [t.id for t in self.encoder.merge(piece.encode().decode("latin-1").translate(self.encoder.letters))]).tobytes()
+        self[piece] = out
         return out
 
+    def forget(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 class Encoder:
     """Ids of texts, as the tokenizers library gives them; pieces between which it never merges are remembered.
@@ -267,8 +279,8 @@ class Encoder:
         whole = [self.split is None or any(a in t for a in self.added) or bool(_ODD_SPACE(t)) for t in texts]
         pieces = [[] if w else self.split(t) if _UNUSUAL(t) else _PLAIN_SPLIT(t) for w, t in zip(whole, texts, strict=True)]
         known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
+        if len(known) > CACHE_PIECES // 2:
+            known.forget()
         get = known.__getitem__
         return [np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, p)) for w, t, p in zip(whole, texts, pieces, strict=True)]
 
@@ -321,7 +333,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, docs.rdd.getNumPartitions())
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, _FILE).write.option("compression", "none").parquet(path)
+    with batch_rows(docs.sparkSession, _BATCH_ROWS):
+        ordered.mapInArrow(lean(run), _FILE).write.option("compression", "none").parquet(path)
 
 
 def _read_blocks(batches):
@@ -343,7 +356,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             n = len(lengths)
             yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(r["doc_ids"], pa.int64()), ids], names=["file", "block", "doc_id", "ids"])
 
-    return spark.read.parquet(path).mapInArrow(run, "file int, block int, doc_id long, ids array<int>")
+    return spark.read.parquet(path).mapInArrow(lean(run), "file int, block int, doc_id long, ids array<int>")
 
 
 def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -362,7 +375,7 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at = sizes.withColumn("block_at", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(of_file, F.col("file") == F.col("f"))
     at = at.select(F.col("file").alias("f"), F.col("block").alias("k"), (F.col("file_at") + F.col("block_at")).alias("at"))
-    rows = files.select("file", "block", "doc_ids", "lengths", "ids").mapInArrow(run, "file int, block int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    rows = files.select("file", "block", "doc_ids", "lengths", "ids").mapInArrow(lean(run), "file int, block int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     out = rows.join(at, (F.col("file") == F.col("f")) & (F.col("block") == F.col("k")))
     return out.select("doc_id", (F.col("at") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
