@@ -37,7 +37,7 @@ END_ID = 2
 #: Ids after which a block is closed; lanes of a block; ids of a lane at least.
 BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 20, 4096, 256
 #: Pieces that a worker remembers at most, the half of them that was used longest ago being forgotten at a time.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 #: Rows of an Arrow batch: they hold texts.
 _BATCH_ROWS = 1000
 
@@ -237,7 +237,10 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.before.get(piece)
         if out is None:
-            out = array("I", [t.id for t in self.encoder.merge(piece.encode().decode("latin-1").translate(self.encoder.letters))]).tobytes()
+            # letters and digits stand for themselves, a space before them is one letter too
+            plain = piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum())
+            word = piece.replace(" ", self.encoder.space) if plain else piece.encode().decode("latin-1").translate(self.encoder.letters)
+            out = array("I", [t.id for t in self.encoder.merge(word)]).tobytes()
         self[piece] = out
         return out
 
@@ -270,14 +273,16 @@ class Encoder:
         # byte-level tokenizers write each byte as one letter: printable bytes stand for themselves, the others follow from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.letters = {b: b if b in plain else 256 + i for i, b in [*((0, b) for b in plain), *enumerate(b for b in range(256) if b not in plain)]}
+        self.space = chr(self.letters[32])
         self.merge = self.lib.model.tokenize
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.known = _Pieces(self)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        whole = [self.split is None or any(a in t for a in self.added) or bool(_ODD_SPACE(t)) for t in texts]
-        pieces = [[] if w else self.split(t) if _UNUSUAL(t) else _PLAIN_SPLIT(t) for w, t in zip(whole, texts, strict=True)]
+        odd = [bool(_UNUSUAL(t)) for t in texts]
+        whole = [self.split is None or (u and bool(_ODD_SPACE(t))) or any(a in t for a in self.added) for t, u in zip(texts, odd, strict=True)]
+        pieces = [[] if w else self.split(t) if u else _PLAIN_SPLIT(t) for w, t, u in zip(whole, texts, odd, strict=True)]
         known = self.known
         if len(known) > CACHE_PIECES // 2:
             known.forget()
