@@ -4,24 +4,27 @@ A tree builder makes the element tree of a page (implied and missing end tags, v
 rules drop what a reader does not see, and a renderer writes all visible text: blocks on lines of their own with blank
 lines where pages have margins, lists with marks and indents, tables with aligned columns, preformatted text as it is.
 
-Scale: one pass without a shuffle, a page at a time; the depth of the tree is limited to MAX_DEPTH by placing deeper
-elements on that level (nothing is dropped), and tree walks use no recursion.
+Scale: one pass without a shuffle, a page at a time; trees may be of any depth, as tree walks use no recursion and the
+open elements of each kind are counted.
 
-Defined cases: null and empty pages give empty text; broken markup is text or is repaired; rows with null ids and
-repeated rows are kept; further columns are ignored.
+Defined cases: null and empty pages give empty text; broken markup is text or is repaired; very long and very deep pages
+are rendered whole; rows with null ids and repeated rows are kept; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strandlake.llm.common import take_column
 
-MAX_DEPTH = 400
+#: Fixed values of HTML: what colspan and rowspan may be at most.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -73,6 +76,12 @@ def build_tree(page: str) -> tuple[Node, list[str]]:
     """The root of the element tree (children are nodes and strings) and the contents of style elements."""
     root = Node("html", {})
     stack, styles, at, low = [root], [], 0, None
+    opened: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -87,9 +96,9 @@ def build_tree(page: str) -> tuple[Node, list[str]]:
             name = _NAME.match(token, 2).group().lower()
             if name == "br":
                 stack[-1].children.append(Node("br", {}))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] > 0 else ():
                 if stack[i].tag == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "html", "body"):
                     break  # an end tag inside a cell ends nothing around it
@@ -100,15 +109,15 @@ def build_tree(page: str) -> tuple[Node, list[str]]:
         if name == "html":
             root.attrs = attrs | root.attrs
             continue
-        if name in ENDS_P and any(x.tag == "p" for x in stack[-8:]):
+        if name in ENDS_P and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("table", "td", "th", "button", "caption"):
                     break
         ended, fence = CLOSES.get(name, (None, None))
-        if ended:
+        if ended and any(opened[x] > 0 for x in ended):
             cut = None
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in fence:
@@ -116,9 +125,9 @@ def build_tree(page: str) -> tuple[Node, list[str]]:
                 if stack[i].tag in ended:
                     cut = i
             if cut:
-                del stack[cut:]
+                close(cut)
         if name not in ("meta", "link", "base", "script", "style", "title", "noscript", "template", "head") and stack[-1].tag == "head":
-            stack.pop()  # the body begins
+            close(len(stack) - 1)  # the body begins
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name in RAW:
@@ -133,8 +142,8 @@ def build_tree(page: str) -> tuple[Node, list[str]]:
             node.children.append(html.unescape(body) if name in ("title", "textarea") else body)
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
         elif name not in VOID and not rest.endswith("/") or name in ("p", "div", "span", "li", "td", "th", "tr", "a", "b", "i"):
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+            stack.append(node)
+            opened[name] += 1
 
 
 def _hidden_selectors(styles: list[str]) -> frozenset[str]:
@@ -203,18 +212,46 @@ class _Flow:
         return self.lines
 
 
-def _table(rows: list[list[list[str]]], out: _Flow) -> None:
-    rows = [r for r in rows if any(any(c) for c in r)]
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "").strip()
+    n = int(value) if re.fullmatch(r"\d{1,6}", value) else 1
+    return most if not n and name == "rowspan" else min(max(n, 1), most)
+
+
+def _table(rows: list[list[tuple[list[str], int, int]]], out: _Flow) -> None:
+    """Rows of cells (lines, columns, rows) with aligned columns; a cell stands in the first row and column that it covers."""
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    covered: dict[int, int] = {}  # column: rows below that a cell from above still covers
     wide: list[int] = []
     for r in rows:
-        for k, cell in enumerate(r):
+        line, k, fresh = [], 0, {}
+        for cell, columns, down in r:
+            while covered.get(k):
+                k += 1
+            line.append((k, columns, cell))
+            if down > 1:
+                fresh |= dict.fromkeys(range(k, k + columns), down - 1)
+            k += columns
+        covered = {c: n - 1 for c, n in covered.items() if n > 1} | fresh
+        placed.append(line)
+    for one in (True, False):  # cells of one column first; wider ones then widen their last column
+        for k, columns, cell in (x for line in placed for x in line if (x[1] == 1) == one):
             size = max((len(x) for x in cell), default=0)
-            if k == len(wide):
-                wide.append(0)
-            wide[k] = max(wide[k], size)
-    for r in rows:
-        for y in range(max((len(c) for c in r), default=0)):
-            out.put("  ".join((c[y] if y < len(c) else "").ljust(wide[k]) for k, c in enumerate(r)).rstrip())
+            if size or one:
+                wide += [0] * (k + columns - len(wide))
+                have = sum(wide[k : k + columns]) + 2 * (columns - 1)
+                wide[k + columns - 1] += max(0, size - have)
+    starts = [0]
+    for w in wide:
+        starts.append(starts[-1] + w + 2)
+    for line in placed:
+        if any(any(cell) for *_, cell in line):
+            for y in range(max(len(cell) for *_, cell in line)):
+                text = ""
+                for k, _, cell in line:
+                    if y < len(cell) and cell[y]:
+                        text = text.ljust(starts[k]) + cell[y]
+                out.put(text.rstrip())
 
 
 def render(page: str | None) -> str:
@@ -224,7 +261,7 @@ def render(page: str | None) -> str:
     root, styles = build_tree(page)
     hiding = _hidden_selectors(styles)
     flows = [_Flow()]
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
     lists: list[list] = []  # kind and next number
     stack: list[tuple[Node, int]] = [(root, 0)]
     pre = 0
@@ -271,6 +308,9 @@ def render(page: str | None) -> str:
                 lists.append([t, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
                 flow.lead.append("  " if len(lists) > 1 else "")
             elif t == "li":
+                value = child.attrs.get("value", "").strip()
+                if lists and re.fullmatch(r"-?\d{1,9}", value):
+                    lists[-1][1] = int(value)
                 mark = f"{lists[-1][1]}. " if lists and lists[-1][0] == "ol" else "- "
                 if lists:
                     lists[-1][1] += 1
@@ -288,7 +328,7 @@ def render(page: str | None) -> str:
             cell = flows.pop().result()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((cell, _span(node, "colspan", MAX_COLSPAN), _span(node, "rowspan", MAX_ROWSPAN)))
             continue
         if tag in BLOCK:
             if tag == "pre" and pre:

@@ -1,55 +1,72 @@
-"""Whole-table decisions of the operators, as steps of a corpus pipeline: documents in, documents out."""
+"""Whole-table decisions of the operators, as steps of a corpus pipeline: documents in, documents out.
+
+Decisions are taken by row: rows are numbered first, under a column name that the table does not have, so null and repeated
+ids, repeated rows and clashing names change nothing.  Empty tables give empty tables; null and empty texts are kept by the
+first three steps, and the mixing takes them as often as its source's whole copies and chance give.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import stage
-
-#: Ids or row numbers that are broadcast at most (16 bytes each); beyond it they are joined by shuffle.
-MAX_BROADCAST_IDS = 500_000
+from strandlake.llm.common import bounded, drop_staged, stage
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    small = stage(small, "ids")
-    return F.broadcast(small) if small.count() <= MAX_BROADCAST_IDS else small
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A staged table of the documents with row numbers, and the name of their column."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in the one-column table ids; rows with a null id stay."""
-    ids = _bounded(ids.toDF("__id").where("__id is not null").distinct())
-    return docs.join(ids, docs["doc_id"] == ids["__id"], "left_anti")
+def _without(numbered: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not in the one-column table gone."""
+    gone = bounded(gone.toDF("gone").distinct())
+    return numbered.join(gone, numbered[row] == gone["gone"], "left_anti").drop(row)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the toxicity operator rejects."""
     from strandlake.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
-    return score_toxicity(docs, fit_toxicity(docs, labels), docs.columns, "__score").where(F.col("__score") < THRESHOLD).drop("__score")
+    name = "score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return score_toxicity(docs, fit_toxicity(docs, labels), docs.columns, name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document (the smallest id) of each component of the n-gram join; of repeated rows one stays."""
+    """docs with one row of each component of the n-gram join: that with the smallest id, null ids last, then the first."""
     from strandlake.llm.ngram_join import ngram_components
 
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = stage(docs.dropDuplicates(["doc_id", "text"]), "once")
-    found = ngram_components(docs)
-    return drop_ids(docs, found.where("component_id <> doc_id").select("doc_id"))
+    numbered, row = _numbered(docs)
+    comps = stage(ngram_components(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("at"), F.col("component_id").alias("comp")), "components")
+    grouped = comps.groupBy("comp").agg(F.count("*").alias("rows")).where("rows > 1").select("comp")
+    spread = 16  # a component may hold a third of all rows
+    wide = grouped.withColumn("salt", F.explode(F.array(*map(F.lit, range(spread)))))
+    members = comps.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(spread)).cast("int")).join(wide, ["comp", "salt"], "left_semi")
+    members = stage(members.join(numbered.select(F.col(row).alias("at"), "doc_id"), "at").select("at", "comp", "salt", "doc_id"), "members")
+    best = members.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("m")).select(F.col("m.at").alias("kept"))
+    out = _without(numbered, row, members.select("at").join(best, members["at"] == best["kept"], "left_anti"))
+    drop_staged(comps)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     from strandlake.llm.decontaminate import contaminated
 
-    return drop_ids(docs, contaminated(docs, benchmark).select("doc_id"))
+    numbered, row = _numbered(docs)
+    found = contaminated(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark)
+    return _without(numbered, row, found.select("doc_id"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs as often as the source mixing takes each."""
     from strandlake.llm.mix_sources import mix_rows
 
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    copies = mix_rows(numbered, "__row").where("copies > 0").select(F.col("row").alias("__taken"), F.col("copies").alias("__copies"))
-    out = numbered.join(_bounded(copies), F.col("__row") == F.col("__taken"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    numbered, row = _numbered(docs)
+    copies = bounded(mix_rows(numbered, row).where("copies > 0").select(F.col("row").alias("taken_row"), F.col("copies").alias("taken_copies")))
+    taken = numbered.select(F.struct(*numbered.columns).alias("doc")).join(copies, F.col(f"doc.{row}") == F.col("taken_row"))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies").cast("int")))).select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -198,6 +198,45 @@ def test_mix(spark, docs, empty):
     assert mix_sources(empty).count() == 0
 
 
+def test_mix_inclusion(spark):
+    """Documents of a source are taken with unequal chances: over many seeds as often as the plan says, never beyond the cap."""
+    from strandlake.llm import mix_sources as ms
+
+    rnd = random.Random(6)
+    sizes = [rnd.choice([1, 3, 7, 15, 40, 100]) for _ in range(600)]
+    sizes = {i: n for i, n in enumerate(sizes)}
+    rows = [(i, "w " * n, "a" if i % 3 else "b") for i, n in sizes.items()]
+    rows += [(None, None, "a"), (None, "x", None), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("octave", F.lit("x")).withColumn("key", F.lit(1)).withColumn("level", F.lit(1)).cache()
+    seeds = 8
+    taken = dict.fromkeys(sizes, 0)
+    for seed in range(seeds):
+        out = ms.mix_sources(docs, seed=seed).collect()
+        assert len(out) == len(rows) and all(r.taken <= 2 * r.size for r in out)
+        for s in {r.target for r in out}:
+            own = [r for r in out if r.target == s]
+            assert abs(sum(r.taken for r in own) - s) <= 100
+        for r in out:
+            if r.doc_id is not None:
+                taken[r.doc_id] += r.copies
+        target = {rows[r.doc_id][2]: r.target for r in out if r.doc_id is not None}
+    for s in "ab":
+        own = [i for i in sizes if rows[i][2] == s]
+        score = {n: 1 + (n + 1).bit_length() - 1 for n in set(sizes.values())}
+        lo, hi = 0.0, 100.0  # the level by bisection
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(2.0, mid * score[sizes[i]]) * sizes[i] for i in own) < target[s] else (lo, mid)
+        means = {}
+        for n in score:
+            of = [i for i in own if sizes[i] == n]
+            want = min(2.0, lo * score[n])
+            means[n] = want
+            got = sum(taken[i] for i in of) / len(of) / seeds
+            assert abs(got - want) < 0.03 + 4 * (0.25 / (len(of) * seeds)) ** 0.5, (s, n, got, want)
+        assert len({round(m, 6) for m in means.values()}) > 2
+
+
 def test_contaminated(spark, empty):
     from strandlake.llm import decontaminate as dc
 
@@ -310,6 +349,65 @@ def test_html(spark):
     assert {r.page_id: r.text for r in extract_text(rows).collect()} == {1: render(page), 2: "", 3: ""}
 
 
+def test_html_depth_spans_and_values():
+    """No depth changes what is seen; cells span columns and rows; list items have values."""
+    from strandlake.llm.html_text import render
+
+    for n in (2, 9, 500):
+        assert render("<p>a" + n * "<b>" + "x<div>y</div>z") == "ax\n\ny\nz"
+    for n in (100, 1000, 50_000):
+        assert render(n * "<div>" + "<div style='display:none'>no</div>seen") == "seen"
+    grid = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>dd<td>e<tr><td colspan=2>wide<td>f</table>"
+    assert render(grid) == "a  b   c\n   dd  e\nwide   f"
+    assert render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    assert render("<ol><li value=5>x<li>y</ol>") == "5. x\n6. y"
+
+
+def test_html_table(spark):
+    """Null ids, repeated rows, an empty table, columns with clashing names, a very long page."""
+    from strandlake.llm.html_text import extract_text
+
+    long = "<p>word</p>" * 20_000
+    frame = spark.createDataFrame([(None, "<p>a", "t"), (1, "<p>a", "t"), (1, "<p>a", "t"), (2, long, None)], "page_id long, html string, text string")
+    got = sorted(((r.page_id, r.text) for r in extract_text(frame).collect()), key=str)
+    assert got == sorted([(None, "a"), (1, "a"), (1, "a"), (2, "\n\n".join(["word"] * 20_000))], key=str)
+    assert extract_text(frame.limit(0)).count() == 0
+
+
+def test_html_against_the_standard_parser():
+    """On plain markup the words are those that the standard library's parser hands out, in order."""
+    from html.parser import HTMLParser
+
+    from strandlake.llm.html_text import render
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            self.words.append(" ")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            self.words.append(" ")
+
+        def handle_data(self, data):
+            self.words += [] if self.skip else [data]
+
+    rnd = random.Random(8)
+    for _ in range(300):
+        page = ""
+        for _ in range(rnd.randrange(1, 30)):
+            word = f"w{rnd.randrange(50)} &amp; {rnd.choice('abc')}"
+            tag = rnd.choice(["p", "div", "h2", "section", "blockquote"])
+            page += rnd.choice([f"<{tag}>{word}</{tag}>", f"{word}<br>", f"<ul><li>{word}</li><li> z </li></ul>", "<script>if (a < b) x()</script>", f"<!-- {word} -->", f"<table><tr><td>{word}</td></tr></table>"])
+        plain = Words()
+        plain.feed(page)
+        assert [w for w in render(page).split() if w != "-"] == "".join(plain.words).split()
+
+
 def test_html_quotes():
     """Quotes open strings only after the = of an attribute."""
     from strandlake.llm.html_text import render
