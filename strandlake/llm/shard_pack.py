@@ -167,10 +167,13 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     pallets = [(x[1], s) for x, s in zip(items, placed, strict=True) if x[2] is None]
     of_key = spark.createDataFrame(keys, "key string, shard int")
     of_pallet = spark.createDataFrame(pallets, "pallet long, shard int")
-    where = palleted.join(F.broadcast(of_pallet), "pallet").select("key", "shard").union(of_key)
+    # a text that is repeated very often is a large group: these are few and broadcast, the others have few rows each
+    marked = sized.join(F.broadcast(of_key), "key", "left")
+    small = marked.where("shard is null").drop("shard").join(palleted.join(F.broadcast(of_pallet), "pallet").select("key", "shard"), "key")
+    placed_rows = marked.where("shard is not null").unionByName(small)
 
     slots = max(1, sized.count() // (shards * 5_000))
-    there = sized.join(where, "key").withColumn("deal", F.pmod(F.xxhash64("doc_id", "row"), F.lit(slots)))
+    there = placed_rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "row"), F.lit(slots)))
     there = stage(there.select("row", "doc_id", "size", "text_crc32", "shard", "deal"), "placed")
     before = Window.partitionBy("shard").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     starts = there.groupBy("shard", "deal").agg(F.count("*").alias("n")).select("shard", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))

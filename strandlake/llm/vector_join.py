@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import components, stage, take_column
+from strandlake.llm.common import batch_rows, components, stage, take_column
 
 LEADING = 6
 BOX_DIMS = 16
@@ -63,6 +63,10 @@ def _cells(dim: int, turn: np.ndarray, eps: float):
     return run
 
 
+#: Blocks on a side of a tile, which one task compares.
+TILE = 8
+
+
 def _blocks(dim: int, turn: np.ndarray):
     """Cuts a sorted partition into blocks of BLOCK_VECTORS vectors."""
     from pyspark import TaskContext
@@ -119,11 +123,26 @@ def _compare(dim: int, threshold: float):
             yield ib[cols], ca[rows] @ link, lb
 
     def run(batches):
+        held: dict[int, dict] = {}  # the blocks of one tile: 2 * TILE at most
+        now = None
+
+        def close(todo):
+            for x, y in todo:
+                sides = held[x], held[y]
+                r = {"a": x, "b": y} | {k + side: z[k] for z, side in zip(sides, "ab", strict=True) for k in "icv"}
+                for ids, links, label in one(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(label)], schema=schema)
+
         for b in batches:
             for i in range(b.num_rows):
-                for r in b.slice(i, 1).to_pylist():
-                    for ids, links, label in one(r):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(label)], schema=schema)
+                row = b.slice(i, 1).to_pylist()[0]
+                if now is None or now[0] != (row["ta"], row["tb"]):
+                    if now is not None:
+                        yield from close(now[1])
+                    now, held = ((row["ta"], row["tb"]), [(x["a"], x["b"]) for x in row["todo"]]), {}
+                held[row["node"]] = {"i": row["ids"], "c": row["copies"], "v": row["vectors"]}
+        if now is not None:
+            yield from close(now[1])
 
     return run
 
@@ -172,10 +191,12 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         pairs = stage(pairs.select(F.col("na").alias("a"), F.col("nb").alias("b")), "interval-pairs")
 
     data = blocks.join(leaves.select("part", "no", "node"), ["part", "no"])
-    left = data.select(F.col("node").alias("a"), F.col("ids").alias("ia"), F.col("copies").alias("ca"), F.col("vectors").alias("va"))
-    right = data.select(F.col("node").alias("b"), F.col("ids").alias("ib"), F.col("copies").alias("cb"), F.col("vectors").alias("vb"))
-    dealt = pairs.repartition("a", "b").join(left, "a").join(right, "b")
-    found = stage(dealt.select("a", "b", "ia", "ib", "ca", "cb", "va", "vb").mapInArrow(_compare(dim, threshold), "vec long, links long, label long"), "found")
+    # tiles of TILE by TILE blocks: a block goes once to each tile in which it has a pair, not once to each pair
+    tiles = pairs.withColumn("ta", F.floor(F.col("a") / TILE)).withColumn("tb", F.floor(F.col("b") / TILE)).groupBy("ta", "tb").agg(F.collect_list(F.struct("a", "b")).alias("todo"))
+    needs = tiles.withColumn("node", F.explode(F.array_distinct(F.concat("todo.a", "todo.b"))))
+    dealt = needs.join(data.select("node", "ids", "copies", "vectors"), "node").repartition("ta", "tb").sortWithinPartitions("ta", "tb", "node")
+    with batch_rows(vectors.sparkSession, 8):  # a row holds a block
+        found = stage(dealt.select("ta", "tb", "todo", "node", "ids", "copies", "vectors").mapInArrow(_compare(dim, threshold), "vec long, links long, label long"), "found")
 
     whole = components(found.where("vec <> label").select(F.col("vec").alias("a"), F.col("label").alias("b")))
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))

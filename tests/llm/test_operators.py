@@ -308,6 +308,51 @@ def test_vectors(spark):
     assert vector_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    """Clustered vectors in many blocks and tiles against all pairs; repeated ids, null ids, further columns."""
+    from strandlake.llm import vector_join as vj
+
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(60, 12))
+    x = np.concatenate([c + rnd.normal(size=(n, 12)) * 0.12 for c, n in zip(centres, rnd.integers(1, 30, 60), strict=True)])
+    x[5], x[17] = x[6], x[18] * 3
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    frame = spark.createDataFrame([*rows, (None, rows[0][1]), (len(rows), None)], "vec_id long, embedding array<double>").withColumn("node", F.lit(1)).withColumn("copies", F.lit("x")).repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.minimum(comp, np.where(link, comp[None, :], len(x)).min(1))
+        if (new == comp).all():
+            break
+        comp = new
+    monkeypatch.setattr(vj, "BLOCK_VECTORS", 16)
+    monkeypatch.setattr(vj, "TILE", 3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vj.vector_components(frame).collect()}
+    assert got == {i: (int(link[i].sum()), int(comp[i]), bool(comp[i] == i)) for i in range(len(x))} | {None: (0, None, False), len(x): (0, len(x), True)}
+
+
+def test_best_fit_decreasing():
+    """The balanced tree gives what a linear scan for the tightest bin gives."""
+    from strandlake.llm.shard_pack import CapacityTree
+
+    rnd = random.Random(5)
+    for _ in range(30):
+        sizes, tree, plain = sorted((rnd.randrange(1, 60) for _ in range(200)), reverse=True), CapacityTree(), []
+        bins = 0
+        for n in sizes:
+            found, want = tree.take_tightest(n), min((c for c in plain if c >= n), default=None)
+            assert (found[0] if found else None) == want
+            if want is None:
+                found, bins = (100, bins), bins + 1
+            else:
+                plain.remove(want)
+            if found[0] > n:
+                tree.add((found[0] - n, found[1]))
+                plain.append(found[0] - n)
+
+
 def test_toxicity(spark, docs, empty):
     from strandlake.llm.toxicity import isotonic, toxicity
 
