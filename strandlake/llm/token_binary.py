@@ -35,7 +35,7 @@ from strandlake.llm.common import batch_rows, lean, new_path, take_column
 
 END_ID = 2
 #: Ids after which a block is closed; lanes of a block; ids of a lane at least.
-BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 20, 4096, 256
+BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 21, 8192, 256
 #: Pieces that a worker remembers at most, the half of them that was used longest ago being forgotten at a time.
 CACHE_PIECES = 600_000
 #: Rows of an Arrow batch: they hold texts.
