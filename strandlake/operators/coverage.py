@@ -34,11 +34,13 @@ def fill_domain(counts: DataFrame, domain: DataFrame, samples: DataFrame, value:
     return every.join(counts.drop("end"), ["sample", "chrom", "start"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
-def covered_bases(fragments: DataFrame, width: int) -> DataFrame:
-    """Summed overlap in bases per bin: (sample, chrom, start, bases)."""
+def covered_bases(fragments: DataFrame, width: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Summed overlap in bases per bin: (sample, chrom, start, bases); with sizes (chrom, size) only bins that end inside."""
     bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
     hits = fragments.select("sample", "chrom", "start", "end", F.explode(bins).alias("bin"))
     part = F.least("end", (F.col("bin") + 1) * width) - F.greatest("start", F.col("bin") * width)
+    if sizes is not None:
+        hits = hits.join(sizes.select("chrom", F.col("size").alias("_size")), "chrom").where((F.col("bin") + 1) * width <= F.col("_size"))
     return hits.groupBy("sample", "chrom", "bin").agg(F.sum(part).alias("bases")).select("sample", "chrom", (F.col("bin") * width).alias("start"), "bases")
 
 

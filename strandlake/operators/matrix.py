@@ -100,6 +100,25 @@ def sort_regions(m: DataFrame, using: str = "mean", descending: bool = True) ->
     return m.withColumn("position", F.row_number().over(Window.partitionBy("group").orderBy(order, "region"))).drop("_key")
 
 
+def filter_strand(m: DataFrame, strand: str) -> DataFrame:
+    return m.where(F.col("strand") == strand)
+
+
+def scaled(m: DataFrame, factor: float) -> DataFrame:
+    """All bins times a factor; missing bins stay missing."""
+    return m.withColumn("bins", F.transform("bins", lambda v: v * factor))
+
+
+def subset(m: DataFrame, groups: list | None = None, samples: list[int] | None = None, bins: int = 0) -> DataFrame:
+    """The named groups, with `group_order` as asked for, and of a row's samples (of `bins` bins each) the numbered ones in the order asked for."""
+    if groups is not None:
+        place = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("group"))
+        m = m.where(F.coalesce(place, F.lit(0)) > 0).withColumn("group_order", place)
+    if samples is not None:
+        m = m.withColumn("bins", F.concat(*[F.slice("bins", 1 + i * bins, bins) for i in samples]))
+    return m
+
+
 def skip_zeros(m: DataFrame) -> DataFrame:
     return m.where(F.coalesce(row_statistic("mean"), F.lit(0.0)) != 0)
 
@@ -127,9 +146,10 @@ def filter_values(m: DataFrame, low: float | None = None, high: float | None = N
 def profile(m: DataFrame) -> DataFrame:
     """(group, bin, mean, median, min, max, std, sum, n) over the regions of a group."""
     x = m.select("group", F.posexplode("bins").alias("bin", "v")).where("v is not null")
-    return x.groupBy("group", "bin").agg(
+    got = x.groupBy("group", "bin").agg(
         F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.sum("v").alias("sum"), F.count("v").alias("n")
     )
+    return got.withColumn("se", F.col("std") / F.sqrt("n"))
 
 
 def data_range(m: DataFrame) -> DataFrame:

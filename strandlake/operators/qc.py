@@ -16,6 +16,17 @@ def pearson(values: DataFrame, keys: list[str], value: str = "value") -> DataFra
     return x.join(y, keys).groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
 
 
+def complete_rows(values: DataFrame, keys: list[str], samples: int, value: str = "value") -> DataFrame:
+    """The bins for which every one of `samples` samples has a number."""
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    full = values.groupBy(*keys).agg(F.count_if(known).alias("_k")).where(F.col("_k") == samples).drop("_k")
+    return values.join(full, keys, "left_semi")
+
+
+def zeros_to_missing(value: Column) -> Column:
+    return F.nullif(value, F.lit(0).cast("double"))
+
+
 def average_ranks(values: DataFrame, value: str = "value") -> DataFrame:
     """Ranks within a sample, the mean rank for ties.  Ranks come from counts by value, so only distinct values are sorted."""
     by_value = values.groupBy("sample", value).agg(F.count("*").alias("_n"))
@@ -89,40 +100,38 @@ def fingerprint_metrics(values: DataFrame, value: str = "value") -> DataFrame:
     return c.groupBy("sample").agg((F.sum("area") / F.max("total")).alias("auc"), (zero / F.max("total")).alias("x_intercept"), F.max("gap").alias("elbow_gap"), F.max_by("x", F.struct("gap", -F.col("x"))).alias("elbow"))
 
 
-def ses_factors(values: DataFrame, keys: list[str], a: str, b: str, value: str = "value") -> dict[str, float]:
-    """Scale factors of two samples by signal extraction scaling.
+def ses_factors(values: DataFrame, a: str, b: str, value: str = "value") -> DataFrame:
+    """(sample, factor) of two samples with equal numbers of bins by signal extraction scaling; values are not negative.
 
-    Ranks and cumulative sums come from counts by distinct value; the samples are aligned by rank on the driver from those
-    histograms, whose size is the number of distinct counts.
+    Sorted cumulative sums are straight lines between the last bins of distinct values, so the rank at which they lie
+    farthest apart is one of those, and the sums at four fifths of it follow from the distinct values: what is ordered in
+    one task is the distinct values, not the bins.  Ranks up to which a sample is all zero are stepped over.
     """
-    del keys
-    h = values.where(F.col("sample").isin(a, b)).groupBy("sample", F.col(value).alias("v")).count().toPandas().sort_values("v")
-    curves = {}
-    for s in (a, b):
-        own = h[h["sample"] == s]
-        curves[s] = (np.cumsum(own["count"].to_numpy()), np.cumsum((own["count"] * own["v"]).to_numpy(float)), own["v"].to_numpy(float))
-    ranks = np.union1d(curves[a][0], curves[b][0])
-
-    def at(s: str, r: np.ndarray) -> np.ndarray:
-        n, total, _ = curves[s]
-        return np.interp(r, np.r_[0, n], np.r_[0.0, total])
-
-    p, q = at(a, ranks), at(b, ranks)
-    far = ranks[int(np.argmax(np.abs(p / max(p[-1], 1e-300) - q / max(q[-1], 1e-300))))]
-    cut = max(1, int(far * 0.8))
-    values_at = np.array([at(s, np.array([cut]))[0] for s in (a, b)])
-    while (values_at == 0).any() and cut < ranks[-1]:
-        cut = int(ranks[np.searchsorted(ranks, cut, "right")])
-        values_at = np.array([at(s, np.array([cut]))[0] for s in (a, b)])
-    factors = values_at.min() / np.maximum(values_at, 1e-300)
-    return {a: float(factors[0]), b: float(factors[1])}
+    h = values.where(F.col("sample").isin(a, b)).groupBy("sample", F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
+    w = Window.partitionBy("sample").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    c = h.select("sample", "v", F.sum("n").over(w).alias("r"), F.sum(F.col("n") * F.col("v")).over(w).alias("s"))
+    ahead = Window.orderBy("r").rowsBetween(0, Window.unboundedFollowing)
+    both = c.groupBy("r").agg(*[F.max(F.when(F.col("sample") == x, F.struct("r", "v", "s"))).alias(k) for x, k in ((a, "a"), (b, "b"))])
+    both = both.select("r", *[F.first(k, ignorenulls=True).over(ahead).alias(k) for k in "ab"])
+
+    def upto(k: str, rank: Column) -> Column:
+        return F.col(f"{k}.s") - (F.col(f"{k}.r") - rank) * F.col(f"{k}.v")
+
+    ends = c.groupBy().agg(*[F.max(F.when(F.col("sample") == x, F.col("s"))).alias(f"end_{k}") for x, k in ((a, "a"), (b, "b"))], F.coalesce(F.max(F.when(F.col("v") == 0, F.col("r"))), F.lit(0.0)).alias("zeros"))
+    both = both.join(ends, F.lit(True)).where("a is not null and b is not null")
+    gap = F.abs(upto("a", F.col("r")) / F.col("end_a") - upto("b", F.col("r")) / F.col("end_b"))
+    far = both.agg(F.max_by("r", F.struct(gap, -F.col("r"))).alias("far"), F.max("zeros").alias("zeros"))
+    cut = far.select((F.greatest(F.floor((F.col("far") - 1) * 0.8), F.col("zeros")) + 1).cast("double").alias("cut"))
+    at = both.join(cut, F.col("r") >= F.col("cut")).agg(F.min_by(F.struct(upto("a", F.col("cut")).alias("a"), upto("b", F.col("cut")).alias("b")), "r").alias("x")).select("x.a", "x.b")
+    least = F.least("a", "b")
+    return at.select(F.explode(F.array(F.struct(F.lit(a).alias("sample"), (least / F.col("a")).alias("factor")), F.struct(F.lit(b).alias("sample"), (least / F.col("b")).alias("factor")))).alias("z")).select("z.*")
 
 
 def least_over(values: DataFrame, how: str = "avg", value: str = "value") -> DataFrame:
     """min(statistic) / statistic per sample."""
     stat = F.avg(value) if how == "avg" else F.percentile(value, 0.5)
     got = values.groupBy("sample").agg(stat.alias("stat"))
-    return got.withColumn("factor", F.min("stat").over(Window.partitionBy()) / F.col("stat"))
+    return got.withColumn("factor", F.try_divide(F.min("stat").over(Window.partitionBy()), F.col("stat")))
 
 
 def read_count_factors(kept: DataFrame) -> DataFrame:
@@ -161,16 +170,27 @@ def principal_components(values: DataFrame, keys: list[str], top: int = 1000, va
 
 
 def poisson_tail(rate: float, p: float, upper: bool) -> int:
-    """The smallest k with P(X > k) <= p (upper) or P(X <= k) >= p."""
-    k, term = 0, math.exp(-rate)
-    total = term
-    while (1 - total > p) if upper else (total < p):
-        k += 1
-        term *= rate / k
-        total += term
-        if term == 0 and k > rate:
-            break
-    return k
+    """The smallest k with P(X > k) <= p (upper) or P(X <= k) >= p, in logarithms around the mode."""
+    if rate <= 0:
+        return 0
+    wide = int(40 * math.sqrt(rate)) + 200
+    low = max(0, int(rate) - wide)
+    k = np.arange(low, int(rate) + wide + 1)
+    mode = int(rate) - low
+    steps = math.log(rate) - np.log(np.maximum(k, 1))  # log pmf(k) - log pmf(k - 1)
+    logs = np.cumsum(np.r_[0.0, steps[1:]])
+    logs += mode_log(rate) - logs[mode]
+    mass = np.exp(logs)
+    if upper:
+        beyond = np.r_[np.cumsum(mass[::-1])[::-1][1:], 0.0]
+        return int(k[np.flatnonzero(beyond <= p)[0]])
+    found = np.flatnonzero(np.cumsum(mass) >= p)
+    return int(k[found[0]] if len(found) else k[-1])
+
+
+def mode_log(rate: float) -> float:
+    m = int(rate)
+    return m * math.log(rate) - rate - math.lgamma(m + 1)
 
 
 def gc_ratio(table: DataFrame) -> DataFrame:
@@ -186,14 +206,20 @@ def gc_fraction(seq: Column) -> Column:
     return F.when(known >= 0.95 * F.length(up), F.try_divide(gc, F.length(up)))
 
 
+#: Coverage beyond it counts as it.
+MAX_COVERAGE = 9_999_999
+
+
 def jensen_shannon(a: DataFrame, b: DataFrame) -> float:
-    """Distance of two coverage histograms (v, n), through their fingerprint curves; finished in numpy."""
+    """Distance of two coverage histograms (v, n): signal over bins, at 100,000 even steps; bins without reads left out before.
+
+    Finished in numpy from the distinct whole coverages (at most MAX_COVERAGE rows).
+    """
 
     def curve(h: DataFrame) -> np.ndarray:
-        t = h.toPandas().sort_values("v")
+        t = h.groupBy(F.least(F.floor("v"), F.lit(MAX_COVERAGE)).cast("long").alias("v")).agg(F.sum("n").alias("n")).toPandas().sort_values("v")
         n, s = np.cumsum(t["n"].to_numpy(float)), np.cumsum((t["n"] * t["v"]).to_numpy(float))
-        grid = np.linspace(0, 1, 100_001)
-        return np.diff(np.interp(grid, np.r_[0, s / s[-1]], np.r_[0, n / n[-1]]))
+        return np.diff(np.interp(np.linspace(0, 1, 100_001), np.r_[0, n / n[-1]], np.r_[0, s / s[-1]]))
 
     p, q = curve(a), curve(b)
     m = (p + q) / 2
@@ -216,11 +242,15 @@ def poisson_expected(mean: float) -> tuple[float, float, float]:
 
 
 def synthetic_jsd(h: DataFrame) -> float:
-    """Distance of a coverage histogram (v, n) to Poisson coverage of its mean; bins without reads are left out."""
+    """Distance of a coverage histogram (v, n) to Poisson coverage of its mean; bins without reads are left out.
+
+    The Poisson side has the expected numbers of bins with 1, 2, ... reads at the coverages 0, 1, ...
+    """
     r = h.agg(F.sum("n"), F.sum(F.col("v") * F.col("n"))).first()
     mean = r[1] / r[0]
-    top = max(2, poisson_tail(mean, 1 - 1e-12, False))
-    rows = [(float(k), float(r[1] * math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)))) for k in range(1, top + 1)]
+    k = np.arange(1, max(2, poisson_tail(mean, 1 - 1e-12, False)) + 1)
+    mass = np.exp(k * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k]))
+    rows = [(float(x - 1), float(r[1] * y)) for x, y in zip(k.tolist(), mass.tolist(), strict=True)]
     return jensen_shannon(h.where("v > 0"), h.sparkSession.createDataFrame(rows, "v double, n double"))
 
 

@@ -135,10 +135,17 @@ def a22_corrected_coverage(spark, d):
     return gc.corrected_coverage(_gc_reads(spark, d), 50).withColumn("value", r6("value"))
 
 
+@query(sql("aln", """, t AS (SELECT count(*) / 300150.0 * 200 AS rate, count(*) AS n FROM aln), k AS (SELECT k, n, sum(exp(k * ln(4 * rate) - 4 * rate - lgamma(k + 1))) OVER (ORDER BY k) AS hi, sum(exp(k * ln(rate / 4) - rate / 4 - lgamma(k + 1))) OVER (ORDER BY k) AS lo FROM t, range(0, 20000) r(k))
+    SELECT min(k) FILTER (1 - hi <= 1 / n) AS max_reads, min(k) FILTER (lo >= 1 / n) AS min_reads FROM k"""))
+def a20_read_limits(spark, d):
+    r = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    return spark.createDataFrame([gc.read_limits(r / 300_150 * 200, r)], "max_reads long, min_reads long")
+
+
 @query()
 def a20_a21_gc_limits(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet").agg((F.count("*") / F.lit(300_150.0) * 200).alias("rate")).first().rate
-    high, low = qc.poisson_tail(4 * t, 1e-6, True), qc.poisson_tail(t / 4, 1e-6, False)
+    high, low = gc.read_limits(t, 1_000_000)
     return gc.duplicate_limits(_gc_table(spark, d)).withColumn("max_reads", F.lit(high)).withColumn("min_reads", F.lit(low))
 
 

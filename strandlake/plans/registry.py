@@ -158,9 +158,9 @@ def a3_strided_bins(spark, d):
     return cv.count_in_domain(ad.fragments(spark, d), iv.bin_domain(segments, 30, 200)).select("sample", "chrom", "start", "n")
 
 
-@query(sql("aln", """SELECT sample, chrom, bin * 500 AS start, sum(least("end", (bin + 1) * 500) - greatest(pos, bin * 500)) AS bases FROM (SELECT *, unnest(range(pos // 500, ("end" - 1) // 500 + 1)) AS bin FROM aln) GROUP BY ALL"""))
+@query(sql("aln", """SELECT sample, chrom, bin * 500 AS start, sum(least("end", (bin + 1) * 500) - greatest(pos, bin * 500)) AS bases FROM (SELECT *, unnest(range(pos // 500, ("end" - 1) // 500 + 1)) AS bin FROM aln) WHERE (bin + 1) * 500 <= 100050 GROUP BY ALL"""))
 def a4_covered_bases(spark, d):
-    return cv.covered_bases(ad.fragments(spark, d), 500)
+    return cv.covered_bases(ad.fragments(spark, d), 500, ad.sizes(spark))
 
 
 @query(sql("aln", """SELECT sample, sum(CASE WHEN flag & 4 = 0 THEN 1 ELSE 0 END) AS kept, round(1e6 / kept, 6) AS cpm, round(1.0 / ((kept / 1e6) * 0.05), 6) AS rpkm, round(300150 / (kept * 100.0), 6) AS rpgc FROM aln GROUP BY sample"""))
@@ -331,9 +331,11 @@ def a15_coverage_histogram(spark, d):
     return qc.coverage_histogram(coverage_values(spark, d)).select("sample", "coverage", "n", r6("share").alias("share"))
 
 
-@query(sql("covfull", """, s AS (SELECT sample, avg(n) AS mean, quantile_cont(n, 0.5) AS med FROM covfull GROUP BY sample) SELECT sample, round(min(mean) OVER () / mean, 6) AS by_mean FROM s"""))
+@query(sql("covfull", """, s AS (SELECT sample, avg(n) AS mean, quantile_cont(n, 0.5) AS med FROM covfull GROUP BY sample) SELECT sample, round(min(mean) OVER () / mean, 6) AS by_mean, round(min(med) OVER () / CASE WHEN med > 0 THEN med END, 6) AS by_median FROM s"""))
 def q2_mean_factors(spark, d):
-    return qc.least_over(coverage_values(spark, d)).select("sample", r6("factor").alias("by_mean"))
+    x = coverage_values(spark, d)
+    by_median = qc.least_over(x, "median").select("sample", r6("factor").alias("by_median"))
+    return qc.least_over(x).select("sample", r6("factor").alias("by_mean")).join(by_median, "sample")
 
 
 @query(sql("covfull", """, g AS (SELECT chrom, start, avg(CASE WHEN n > 0 THEN ln(n) END) AS g FROM covfull GROUP BY ALL HAVING min(n) > 0) SELECT sample, round(1 / exp(quantile_cont(ln(n) - g, 0.5)), 6) AS factor FROM covfull JOIN g USING (chrom, start) GROUP BY sample"""))
@@ -370,16 +372,48 @@ def q10_fingerprint_metrics(spark, d):
     return x.select("sample", r6("auc").alias("auc"), r6("x_intercept").alias("x_intercept"), r6("elbow_gap").alias("elbow_gap"))
 
 
-@query()
+@query(sql("covfull", """, r AS (SELECT sample, row_number() OVER w AS k, sum(n) OVER w AS c FROM covfull WINDOW w AS (PARTITION BY sample ORDER BY n ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT k, max(c) FILTER (sample = 'F') AS p, max(c) FILTER (sample = 'O') AS q FROM r GROUP BY k), d AS (SELECT *, abs(p / max(p) OVER () - q / max(q) OVER ()) AS d FROM p),
+    m AS (SELECT min(k) AS k FROM d WHERE d = (SELECT max(d) FROM d)), x AS (SELECT p.p, p.q FROM p, m WHERE p.k > floor((m.k - 1) * 0.8) AND p.p > 0 AND p.q > 0 ORDER BY p.k LIMIT 1)
+    SELECT 'F' AS sample, round(least(p, q) / p, 6) AS factor FROM x UNION ALL SELECT 'O', round(least(p, q) / q, 6) FROM x"""))
 def q1_signal_extraction_factors(spark, d):
-    f = qc.ses_factors(coverage_values(spark, d), ["chrom", "start"], "F", "O")
-    return spark.createDataFrame(sorted(f.items()), "sample string, factor double")
+    return qc.ses_factors(coverage_values(spark, d), "F", "O").select("sample", r6("factor").alias("factor"))
 
 
-@query()
+_CURVES = """, s AS (SELECT DISTINCT sample FROM h), c AS (SELECT sample, sum(n) OVER w / sum(n) OVER (PARTITION BY sample) AS x, sum(n * v) OVER w / sum(n * v) OVER (PARTITION BY sample) AS y FROM h WINDOW w AS (PARTITION BY sample ORDER BY v)),
+    o AS (SELECT * FROM c UNION ALL SELECT sample, 0, 0 FROM s), k AS (SELECT *, lead(x) OVER (PARTITION BY sample ORDER BY x) AS x1, lead(y) OVER (PARTITION BY sample ORDER BY x) AS y1 FROM o),
+    g AS (SELECT s.sample, i, i / 100000.0::DOUBLE AS x FROM s, range(0, 100001) t(i)), v AS (SELECT g.sample, g.i, k.y + coalesce((g.x - k.x) / (k.x1 - k.x) * (k.y1 - k.y), 0) AS y FROM g ASOF JOIN k ON g.sample = k.sample AND g.x >= k.x),
+    f AS (SELECT sample, i, y - lag(y) OVER (PARTITION BY sample ORDER BY i) AS f FROM v), w AS (SELECT i, max(f) FILTER (sample = 'F') AS p, max(f) FILTER (sample <> 'F') AS q FROM f WHERE f IS NOT NULL GROUP BY i)"""
+_JSD = "round(sqrt(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 6)"
+
+
+@query(sql("covfull", ", h AS (SELECT sample, CAST(n AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS n FROM covfull WHERE n > 0 GROUP BY sample, covfull.n)" + _CURVES + f" SELECT 'F' AS a, 'O' AS b, {_JSD} AS jsd FROM w"))
 def q12_jensen_shannon(spark, d):
-    h = qc.fingerprint(coverage_values(spark, d)).select("sample", "v", "n")
-    return spark.createDataFrame([("F", "O", qc.jensen_shannon(h.where("sample = 'F'"), h.where("sample = 'O'")))], "a string, b string, jsd double")
+    h = qc.fingerprint(coverage_values(spark, d)).where("v > 0").select("sample", "v", "n")
+    return spark.createDataFrame([("F", "O", qc.jensen_shannon(h.where("sample = 'F'"), h.where("sample = 'O'")))], "a string, b string, jsd double").select("a", "b", r6("jsd").alias("jsd"))
+
+
+@query(sql("covfull", """, m AS (SELECT avg(n) AS mean, CAST(sum(n) AS DOUBLE) AS cover FROM covfull WHERE sample = 'F'),
+    h AS (SELECT 'F' AS sample, CAST(n AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS n FROM covfull WHERE n > 0 AND sample = 'F' GROUP BY covfull.n UNION ALL
+          SELECT 'P', CAST(k - 1 AS DOUBLE), cover * exp(k * ln(mean) - mean - lgamma(k + 1)) FROM m, range(1, 400) t(k))""" + _CURVES + f" SELECT 'F' AS sample, {_JSD} AS jsd FROM w"))
+def q13_synthetic_jsd(spark, d):
+    h = qc.fingerprint(coverage_values(spark, d)).where("sample = 'F'").select("v", "n")
+    return spark.createDataFrame([("F", qc.synthetic_jsd(h))], "sample string, jsd double").select("sample", r6("jsd").alias("jsd"))
+
+
+@query(sql("covfull", "SELECT sample, chrom, start, n AS value FROM covfull WHERE (chrom, start) IN (SELECT (chrom, start) FROM covfull WHERE n <> 0 GROUP BY ALL HAVING count(*) = 2)"))
+def a5_f15_complete_rows(spark, d):
+    """Zeros count as missing, then bins with a missing sample go."""
+    x = coverage_values(spark, d).withColumn("value", qc.zeros_to_missing(F.col("value")))
+    return qc.complete_rows(x, ["chrom", "start"], 2).select("sample", "chrom", "start", F.col("value").cast("long").alias("value"))
+
+
+@query(sql("aln", """, q AS (SELECT read_id // 8 AS tmpl, sample, pos, read_id, mapq >= 3 AS ok FROM aln) SELECT sample, count(*) AS reads, count(*) FILTER (keep) AS kept, count(*) FILTER (keep <> ok) AS changed FROM (SELECT *, first_value(ok) OVER (PARTITION BY sample, tmpl ORDER BY pos, read_id) AS keep FROM q) GROUP BY sample"""))
+def j12_w8_mate_decisions(spark, d):
+    """The reads of a template share the decision on its first read by position."""
+    w = Window.partitionBy("sample", "template").orderBy("pos", "read_id")
+    x = ad.alignments(spark, d).select("sample", F.floor(F.col("read_id") / 8).alias("template"), "pos", "read_id", (F.col("mapq") >= 3).alias("ok")).withColumn("keep", F.first("ok").over(w))
+    return x.groupBy("sample").agg(F.count("*").alias("reads"), F.count_if("keep").alias("kept"), F.count_if(F.col("keep") != F.col("ok")).alias("changed"))
 
 
 # ---------------------------------------------------------------- sequence
@@ -426,10 +460,10 @@ def m1_m5_m6_scaled_regions(spark, d):
     return a.join(b, ["region", "bin"])
 
 
-@query(sql("cells", """SELECT "group", CAST(bin AS INT) AS bin, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS min, round(max(v), 6) AS max, round(stddev_pop(v), 6) AS std, round(sum(v), 4) AS sum, count(v) AS n FROM cells WHERE v IS NOT NULL GROUP BY ALL"""))
+@query(sql("cells", """SELECT "group", CAST(bin AS INT) AS bin, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS min, round(max(v), 6) AS max, round(stddev_pop(v), 6) AS std, round(sum(v), 4) AS sum, count(v) AS n, round(stddev_pop(v) / sqrt(count(v)), 6) AS se FROM cells WHERE v IS NOT NULL GROUP BY ALL"""))
 def m10_profile(spark, d):
     x = mx.profile(ad.vectors(spark, d))
-    return x.select("group", "bin", *[r6(c).alias(c) for c in ("mean", "median", "min", "max", "std")], F.round("sum", 4).alias("sum"), "n")
+    return x.select("group", "bin", *[r6(c).alias(c) for c in ("mean", "median", "min", "max", "std", "se")], F.round("sum", 4).alias("sum"), "n")
 
 
 @query(sql("cells", "SELECT round(min(v), 6) AS min, round(max(v), 6) AS max, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90 FROM cells WHERE v IS NOT NULL"))
@@ -466,6 +500,19 @@ def u1_u2_j8_bind(spark, d):
     return mx.rbind(sized, m.where("group = 3").select("group", "region", F.size("bins").alias("bins")))
 
 
+@query(sql("cells", """SELECT CASE WHEN "group" = 3 THEN 1 ELSE 2 END AS group_order, "group", region, CAST(bin AS INT) AS bin, round(v * 2.5, 6) AS value FROM cells WHERE "group" IN (1, 3) AND v IS NOT NULL AND bin < 16"""))
+def u2_m9_subset_scaled(spark, d):
+    """Groups 3 and 1, in this order; of four samples of 16 bins the first; all bins times 2.5."""
+    m = mx.scaled(mx.subset(ad.vectors(spark, d), [3, 1], [0], 16), 2.5)
+    x = m.select(F.col("group_order").cast("int").alias("group_order"), "group", "region", F.posexplode("bins").alias("bin", "v")).where("v is not null")
+    return x.select("group_order", "group", "region", "bin", r6("v").alias("value"))
+
+
+@query(sql("regions", """SELECT "group", count(*) AS n, sum(start) AS s FROM regions WHERE strand = '-' GROUP BY ALL"""))
+def f19_filter_strand(spark, d):
+    return mx.filter_strand(ad.regions(spark, d), "-").groupBy("group").agg(F.count("*").alias("n"), F.sum("start").alias("s"))
+
+
 @query()
 def m13_k_means(spark, d):
     return mx.k_means(ad.vectors(spark, d), 3).groupBy("cluster").agg(F.count("*").alias("n"))
