@@ -80,13 +80,25 @@ def bin_domain(segments: DataFrame, width: int, step: int | None = None) -> Data
     return out.select("chrom", "segment", "start", F.least(F.col("start") + width, F.col("_e")).alias("end"))
 
 
-def run_lengths(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Adjacent intervals with equal values become one; null ends a run and is not written."""
+#: Bases of a range within which runs are found in one task; runs at the borders of ranges are joined afterwards.
+RUN_RANGE = 1_000_000
+
+
+def _runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start")
     same = F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.lag("end").over(w) == F.col("start"))
     df = df.withColumn("_run", F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = df.where(F.col(value).isNotNull()).groupBy(*keys, "_run", value).agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return out.select(*keys, "start", "end", value)
+    return df.groupBy(*keys, "_run", value).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def run_lengths(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Adjacent intervals with equal values become one; null ends a run and is not written."""
+    parts = _runs(df.select(*keys, "start", "end", value).withColumn("_range", F.floor(F.col("start") / RUN_RANGE)), [*keys, "_range"], value)
+    own = Window.partitionBy(*keys, "_range")
+    parts = parts.withColumn("_edge", (F.col("start") == F.min("start").over(own)) | (F.col("end") == F.max("end").over(own)))
+    inner = parts.where("NOT _edge").select(*keys, "start", "end", value)
+    edges = _runs(parts.where("_edge").select(*keys, "start", "end", value), keys, value)  # two rows a range
+    return inner.unionByName(edges).where(F.col(value).isNotNull()).select(*keys, "start", "end", value)
 
 
 def smooth(df: DataFrame, keys: Sequence[str], length: int, width: int, value: str = "value") -> DataFrame:

@@ -81,9 +81,12 @@ def duplicate_key() -> list[Column]:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """The first read of each duplicate key in order of read_id; to be used after the other filters."""
-    w = Window.partitionBy(*duplicate_key()).orderBy("read_id")
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first read of each duplicate key in order of read_id; to be used after the other filters.
+
+    An aggregate, not a window: pile-ups are reduced before the shuffle.
+    """
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(duplicate_key())]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), "read_id").alias("_r")).select("_r.*")
 
 
 def proper_pair(max_len: int) -> Column:

@@ -46,17 +46,21 @@ def zones_scaled(regions: DataFrame, body: int, before: int, after: int, width:
 STATISTICS = ("mean", "sum", "min", "max", "std", "median")
 
 
-def bin_values(zones: DataFrame, signal: DataFrame, stat: str = "mean", zero_missing: bool = False) -> DataFrame:
-    """One value for each zone bin over its bases that have signal (or all, if missing bases count as 0).
+def bin_statistics(zones: DataFrame, signal: DataFrame, stats: tuple[str, ...], zero_missing: bool = False) -> DataFrame:
+    """(group, region, bin and a column for each statistic) over the bases of a bin that have signal (or all, if missing ones count as 0).
 
-    Signal intervals are clipped to bins and weighted by overlap; bases are never expanded.
+    Signal intervals are clipped to bins and weighted by overlap; bases are never expanded.  All statistics come from one pass;
+    the values of a bin are gathered only for the median.
     """
     hits = overlap_join(zones, signal.select("chrom", "start", "end", "value"))
     part = F.least("end", "r_end") - F.greatest("start", "r_start")
     w, v = part.cast("double"), F.col("value")
     width = F.col("end") - F.col("start")
     keys = ["group", "region", "bin", "start", "end"]
-    got = hits.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * v).alias("wv"), F.sum(w * v * v).alias("wvv"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, 0.5, part.cast("long")).alias("mid"))
+    sums = [F.sum(w).alias("w"), F.sum(w * v).alias("wv"), F.sum(w * v * v).alias("wvv"), F.min(v).alias("lo"), F.max(v).alias("hi")]
+    if "median" in stats:
+        sums.append(F.percentile(v, 0.5, part.cast("long")).alias("mid"))
+    got = hits.groupBy(*keys).agg(*sums)
     n = width if zero_missing else F.col("w")
     mean = F.col("wv") / n
     gap = F.lit(zero_missing) & (F.col("w") < width)
@@ -67,9 +71,14 @@ def bin_values(zones: DataFrame, signal: DataFrame, stat: str = "mean", zero_mis
         "max": F.when(gap, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")),
         "std": F.sqrt(F.greatest(F.col("wvv") / n - mean * mean, F.lit(0.0))),
         "median": F.col("mid"),
-    }[stat]
-    out = zones.join(got, keys, "left").select("group", "region", "bin", value.alias("value"))
-    return out.fillna({"value": 0.0}) if zero_missing else out
+    }
+    out = zones.join(got, keys, "left").select("group", "region", "bin", *[value[x].alias(x) for x in stats])
+    return out.fillna(0.0, subset=list(stats)) if zero_missing else out
+
+
+def bin_values(zones: DataFrame, signal: DataFrame, stat: str = "mean", zero_missing: bool = False) -> DataFrame:
+    """One statistic of each zone bin as `value`."""
+    return bin_statistics(zones, signal, (stat,), zero_missing).withColumnRenamed(stat, "value")
 
 
 def to_rows(values: DataFrame) -> DataFrame:

@@ -9,11 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _pairs_of_samples(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(a, b, x, y) for a <= b: a bin's samples are gathered in one row (one shuffle, samples are few), pairs come from it."""
+    rows = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", F.col(value).cast("double").alias("v")))).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda p, i: F.transform(F.slice("s", i + 1, F.size("s")), lambda q: F.struct(p["sample"].alias("a"), q["sample"].alias("b"), p["v"].alias("x"), q["v"].alias("y")))))
+    return rows.select(F.explode(pairs).alias("p")).select("p.*")
+
+
 def pearson(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(a, b, r) for all pairs of samples.  The bins are joined on their keys; samples are few."""
-    x = values.select(*keys, F.col("sample").alias("a"), F.col(value).cast("double").alias("x"))
-    y = values.select(*keys, F.col("sample").alias("b"), F.col(value).cast("double").alias("y"))
-    return x.join(y, keys).groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    """(a, b, r) for all pairs of samples."""
+    got = _pairs_of_samples(values, keys, value).groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return got.select(F.explode(both).alias("p"), "r").select("p.a", "p.b", "r")
 
 
 def complete_rows(values: DataFrame, keys: list[str], samples: int, value: str = "value") -> DataFrame:
@@ -32,7 +39,10 @@ def average_ranks(values: DataFrame, value: str = "value") -> DataFrame:
     by_value = values.groupBy("sample", value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy("sample").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_value.withColumn("rank", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
-    return values.join(ranks.drop("_n"), ["sample", value])
+    salt, spread = "_salt", 16  # one value, mostly 0, may hold most bins
+    wide = ranks.drop("_n").withColumn(salt, F.explode(F.array(*map(F.lit, range(spread)))))
+    others = [c for c in values.columns if c not in ("sample", value)]
+    return values.withColumn(salt, F.pmod(F.xxhash64(*others), F.lit(spread)).cast("int")).join(wide, ["sample", value, salt]).drop(salt)
 
 
 def spearman(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -48,7 +58,7 @@ def mad_outliers(values: DataFrame, keys: list[str], limit: float = 200.0, value
     """Keys that are outliers in every sample: |x - median| / (1.4826 * median(|x|)) above the limit."""
     of = values.groupBy("sample").agg(F.percentile(value, 0.5).alias("_m"), F.percentile(F.abs(value), 0.5).alias("_d"))
     far = F.when(F.col("_d") > 0, F.abs(F.col(value) - F.col("_m")) / (1.4826 * F.col("_d")) > limit).otherwise(False)
-    return values.join(F.broadcast(of), "sample").groupBy(*keys).agg(F.every(far).alias("out")).where("out").drop("out")
+    return values.join(of, "sample").groupBy(*keys).agg(F.every(far).alias("out")).where("out").drop("out")
 
 
 def size_factors(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -143,7 +153,7 @@ def length_stats(lengths: DataFrame, value: str = "length") -> DataFrame:
     """n, min, max, mean, population deviation, median, quartiles and MAD by sample."""
     q = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     base = lengths.groupBy("sample").agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q"))
-    mad = lengths.join(F.broadcast(base.select("sample", F.col("q")[2].alias("_m"))), "sample").groupBy("sample").agg(F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("mad"))
+    mad = lengths.join((base.select("sample", F.col("q")[2].alias("_m"))), "sample").groupBy("sample").agg(F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("mad"))
     out = base.join(mad, "sample")
     return out.select("sample", "n", "min", "max", "mean", "std", *[F.col("q")[i].alias(k) for i, k in enumerate(("q10", "q25", "median", "q75", "q90"))], "mad")
 
@@ -157,13 +167,12 @@ def principal_components(values: DataFrame, keys: list[str], top: int = 1000, va
         var = values.groupBy(*keys).agg(F.var_samp(value).alias("_v")).orderBy(F.desc("_v"), *keys).limit(top).drop("_v")
         values = values.join(var, keys, "left_semi")
     of = values.groupBy("sample").agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    z = values.join(F.broadcast(of), "sample").select(*keys, "sample", F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0).alias("z"))
-    pairs = z.select(*keys, F.col("sample").alias("a"), F.col("z").alias("x")).join(z.select(*keys, F.col("sample").alias("b"), F.col("z").alias("y")), keys)
-    gram = pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
+    z = values.join(of, "sample").select(*keys, "sample", F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0).alias("z"))
+    gram = _pairs_of_samples(z, keys, "z").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
     names = sorted({r.a for r in gram})
     g = np.zeros((len(names), len(names)))
     for r in gram:
-        g[names.index(r.a), names.index(r.b)] = r.g
+        g[names.index(r.a), names.index(r.b)] = g[names.index(r.b), names.index(r.a)] = r.g
     w, v = np.linalg.eigh(g)
     order = np.argsort(w)[::-1]
     return names, v[:, order].T, np.maximum(w[order], 0)

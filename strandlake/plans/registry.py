@@ -452,12 +452,22 @@ _SCALED = """, k AS (SELECT *, "end" - start AS len FROM regions WHERE "end" - s
 
 
 @query(sql("regions signal", _SCALED + """, p AS (SELECT y.region, y.bin, y.s, y.e, value AS v, least(y.e, g."end") - greatest(y.s, g.start) AS w FROM y LEFT JOIN signal g ON g.chrom = y.chrom AND g.start < y.e AND g."end" > y.s)
-    SELECT region, CAST(bin AS INT) AS bin, round(coalesce(sum(v * w), 0) / (e - s), 6) AS mean0, round(max(v), 6) AS high FROM p GROUP BY region, bin, s, e"""))
+    SELECT region, CAST(bin AS INT) AS bin, round(sum(v * w) / sum(w), 6) AS mean, round(max(v), 6) AS high, round(min(v), 6) AS low, round(sum(v * w), 4) AS sum, round(sqrt(greatest(sum(w * v * v) / sum(w) - (sum(v * w) / sum(w)) ** 2, 0)), 4) AS std FROM p GROUP BY region, bin, s, e"""))
 def m1_m5_m6_scaled_regions(spark, d):
+    """Five statistics of the bins of scaled regions in one pass."""
     z = mx.zones_scaled(ad.regions(spark, d), 200, 40, 80, 20)
-    a = mx.bin_values(z, ad.signal(spark, d), zero_missing=True).select("region", "bin", r6("value").alias("mean0"))
-    b = mx.bin_values(z, ad.signal(spark, d), "max").select("region", "bin", r6("value").alias("high"))
-    return a.join(b, ["region", "bin"])
+    x = mx.bin_statistics(z, ad.signal(spark, d), ("mean", "max", "min", "sum", "std"))
+    return x.select("region", "bin", r6("mean").alias("mean"), r6("max").alias("high"), r6("min").alias("low"), F.round("sum", 4).alias("sum"), F.round("std", 4).alias("std"))
+
+
+@query(sql("regions signal", """, z AS (SELECT region, chrom, k AS bin, CASE WHEN strand = '+' THEN start - 200 + k * 50 ELSE "end" + 200 - (k + 1) * 50 END AS s FROM regions, range(0, 12) r(k)),
+    p AS (SELECT z.region, z.bin, value AS v, least(z.s + 50, g."end") - greatest(z.s, g.start) AS w FROM z LEFT JOIN signal g ON g.chrom = z.chrom AND g.start < z.s + 50 AND g."end" > z.s)
+    SELECT region, CAST(bin AS INT) AS bin, round(coalesce(sum(v * w), 0) / 50, 6) AS mean, round(coalesce(CASE WHEN sum(w) < 50 THEN least(min(v), 0) ELSE min(v) END, 0), 6) AS low, round(coalesce(max(v), 0), 6) AS high FROM p GROUP BY ALL"""))
+def m7_missing_as_zero(spark, d):
+    """Bins around the start of each region, bases without signal counting as 0."""
+    z = mx.zones_reference_point(ad.regions(spark, d), 200, 400, 50)
+    x = mx.bin_statistics(z, ad.signal(spark, d), ("mean", "min", "max"), True)
+    return x.select("region", "bin", r6("mean").alias("mean"), r6("min").alias("low"), r6("max").alias("high"))
 
 
 @query(sql("cells", """SELECT "group", CAST(bin AS INT) AS bin, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS min, round(max(v), 6) AS max, round(stddev_pop(v), 6) AS std, round(sum(v), 4) AS sum, count(v) AS n, round(stddev_pop(v) / sqrt(count(v)), 6) AS se FROM cells WHERE v IS NOT NULL GROUP BY ALL"""))
