@@ -13,8 +13,8 @@ are ranked by Pareto's variable
 and taken in that order until the source's remaining words are used up (the sample's size is fixed in words); at the end
 one document, the one whose size is closest to what is still missing, closes the gap if that brings the total nearer.
 
-Scale: the text is read once and only (row, doc_id, source, size) is kept.  No source is sorted as a whole: q is dealt
-into CUT_BINS ordered bins, bins are summed with partial aggregation, and only the bin in which the target is reached is
+Scale: the text is read once and only (row, doc_id, source, size) is kept.  No source is sorted as a whole: ln q is
+dealt into CUT_BINS ordered bins of 0.2 % of a source at most, bins are summed with partial aggregation, and only the bin in which the target is reached is
 ordered row by row, so a source that holds most rows needs no large task.  Levels are solved on a table with a row for each
 source and power of two of the length.  The tables by source are broadcast only up to MAX_BROADCAST_SOURCES rows, else
 joined.  Sources are numbered in one task (a short row each).
@@ -33,6 +33,8 @@ from strandlake.llm.common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 CUT_BINS = 1 << 14
+#: ln q lies between -_REACH and _REACH, as u has 52 bits and p below 1e-12 counts as 0.
+_REACH = 66.0
 MAX_BROADCAST_SOURCES = 20_000
 
 
@@ -88,7 +90,8 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float,
     t = t.withColumn("level", F.max(F.when(F.col("level") * F.col("score") <= cap, F.struct("score", -F.col("octave"), "level"))).over(every)["level"])
     mean = F.when(F.col("target") > 0, F.least(F.lit(cap), F.coalesce(F.col("level") * F.col("score"), F.lit(cap)))).otherwise(F.lit(0.0))
     t = t.withColumn("mean", mean).withColumn("whole", F.floor(F.col("mean") + 1e-12))
-    t = t.withColumn("p", F.greatest(F.col("mean") - F.col("whole"), F.lit(0.0)))
+    spare = F.col("mean") - F.col("whole")
+    t = t.withColumn("p", F.when(spare > 1e-12, spare).otherwise(F.lit(0.0)))
     missing = F.greatest(F.col("target") - F.sum(F.col("whole") * F.col("in_octave")).over(every), F.lit(0.0))
     return t.select(F.col("source").alias("s"), F.col("octave").alias("o"), F.col("words").alias("source_size"), "target", F.col("whole").cast("long").alias("whole"), "p", missing.alias("missing"))
 
@@ -97,12 +100,13 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float,
     plan = stage(_plan(sized, weights, share, cap, score), "plan")
     sources = plan.count()
 
-    # both odds as shares: v = q / (1 + q) lies in (0, 1) and orders like q
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11).cast("double") + 0.5) / float(1 << 53)
-    up, down = u * (1 - F.col("p")), (1 - u) * F.col("p")
+    # v = ln q orders like q; for any p it is a shifted logistic variable, so no bin of v has many rows
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 12).cast("double") + 0.5) / float(1 << 52)  # below 1
+    p = F.col("p")
     ranked = sized.join(_bounded(plan, sources), sized.source.eqNullSafe(F.col("s")) & (sized.octave == F.col("o"))).drop("s", "o")
-    ranked = ranked.withColumn("v", F.when(F.col("p") > 0, up / (up + down)).otherwise(F.lit(2.0)))
-    ranked = ranked.withColumn("bin", F.when(F.col("p") > 0, F.least(F.floor(F.col("v") * CUT_BINS), F.lit(CUT_BINS - 1))).otherwise(F.lit(CUT_BINS)).cast("int"))
+    ranked = ranked.withColumn("v", F.when(p > 0, F.ln(u) - F.ln(1 - u) - F.ln(p) + F.ln(1 - p)).otherwise(F.lit(2.0 * _REACH)))
+    bin_ = F.floor((F.col("v") + _REACH) / (2 * _REACH) * CUT_BINS)
+    ranked = ranked.withColumn("bin", F.when(p > 0, F.greatest(F.lit(0), F.least(bin_, F.lit(CUT_BINS - 1)))).otherwise(F.lit(CUT_BINS)).cast("int"))
     ranked = stage(ranked.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "missing", "v", "bin"), "ranked")
 
     bins = ranked.where(F.col("bin") < CUT_BINS).groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("missing").alias("missing"))
