@@ -52,10 +52,12 @@ def write_bedgraph(df: DataFrame, path: str) -> None:
     df.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), value).alias("value")).write.text(path)
 
 
-def read_gtf(spark: SparkSession, path: str, transcript: str = "transcript", exon: str = "exon", designator: str = "transcript_id") -> DataFrame:
-    """Transcripts with their exons as arrays of (start, end), 0-based half-open."""
+def read_gtf(spark: SparkSession, path: str, transcript: str = "transcript", exon: str = "exon", designator: str = "transcript_id", group_attribute: str = "", group: str = "genes") -> DataFrame:
+    """Transcripts with their exons as arrays of (start, end), 0-based half-open, in the group that an attribute names, else in `group`."""
     t = spark.read.text(path).where(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("f"))
-    t = t.select(F.col("f")[0].alias("chrom"), F.col("f")[2].alias("kind"), (F.col("f")[3].cast("long") - 1).alias("start"), F.col("f")[4].cast("long").alias("end"), F.col("f")[6].alias("strand"), F.regexp_extract(F.col("f")[8], designator + r'\s+"([^"]*)"', 1).alias("region"))
+    named = F.regexp_extract(F.col("f")[8], group_attribute + r'\s+"([^"]*)"', 1) if group_attribute else F.lit("")
+    label = F.when(named != "", named).otherwise(F.lit(group))
+    t = t.select(F.col("f")[0].alias("chrom"), F.col("f")[2].alias("kind"), (F.col("f")[3].cast("long") - 1).alias("start"), F.col("f")[4].cast("long").alias("end"), F.col("f")[6].alias("strand"), F.regexp_extract(F.col("f")[8], designator + r'\s+"([^"]*)"', 1).alias("region"), label.alias("group"))
     exons = t.where(F.col("kind") == exon).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
     return t.where(F.col("kind") == transcript).drop("kind").join(exons, "region", "left")
 
@@ -117,3 +119,50 @@ def write_profile(profile: DataFrame, path: str, statistic: str = "mean") -> Non
 def split_by_group(regions: DataFrame, path: str) -> None:
     """A folder of tab-separated files for each group."""
     regions.write.partitionBy("group").csv(path, sep="\t")
+
+
+def _four_digits(rows: DataFrame) -> DataFrame:
+    """(_part, group, region, value): the bins as numbers of four significant digits, nan where missing."""
+
+    def lines(frames):
+        for f in frames:
+            f["value"] = ["\t".join("%.4g" % (float("nan") if x is None else x) for x in b) for b in f["bins"]]
+            yield f[["group", "region", "value"]]
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    return rows.select("group", "region", "bins").mapInPandas(lines, f"`group` {kind('group')}, region {kind('region')}, value string")
+
+
+def write_matrix_values(m: DataFrame, header: dict, sample_bins: dict[str, int], path: str) -> None:
+    """The values of a matrix as text: groups with their sizes, the zones, groups and a label for each bin, then a line a region.
+
+    One file, so one task writes it; rows are ordered by group and region by Spark's external sorter.
+    """
+    sizes = [f"{r.group}:{r.n}" for r in m.groupBy("group").agg(F.count("*").alias("n")).orderBy("group").toLocalIterator()]
+    zones = "\t".join(f"{k}:{header.get(k, 0)}" for k in ("downstream", "upstream", "body", "bin size", "unscaled 5 prime", "unscaled 3 prime"))
+    labels = [s for s, n in sample_bins.items() for _ in range(n)]
+    first = ["#" + "\t".join(sizes), "#" + zones, "\t".join(sizes + labels)]
+    head = m.sparkSession.createDataFrame([(i, line) for i, line in enumerate(first)], "_part int, value string")
+    rows = _four_digits(m).withColumn("_part", F.lit(len(first))).unionByName(head, allowMissingColumns=True)
+    rows.repartition(1).sortWithinPartitions("_part", "group", "region").select("value").write.text(path)
+
+
+def write_bedpe(reads: DataFrame, path: str, shift: int = 0) -> None:
+    """chrom, start and end of the fragments of leftmost mates (tlen above 0), in genomic order."""
+    t = reads.where("tlen > 0").select("chrom", (F.col("pos") + shift).cast("long").alias("start"), (F.col("pos") + shift + F.col("tlen")).cast("long").alias("end"))
+    t.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "end").write.csv(path, sep="\t", header=False)
+
+
+def write_sam(reads: DataFrame, sizes: DataFrame, path: str) -> None:
+    """Alignments as SAM text sorted by position, over as many files as partitions; the first file starts with the header.
+
+    Bases are written where there is a column `seq`, qualities never.  Readers take the files in order of their names.
+    """
+    text = lambda c: F.col(c).cast("string")
+    seq = F.coalesce(F.when(F.col("seq") != "", F.col("seq")), F.lit("*")) if "seq" in reads.columns else F.lit("*")
+    mate = F.when((F.col("mate_chrom") == F.col("chrom")) & (F.col("chrom") != "*"), "=").otherwise(F.col("mate_chrom"))
+    line = F.concat_ws("\t", "qname", text("flag"), "chrom", (F.col("pos") + 1).cast("string"), text("mapq"), F.coalesce("cigar", F.lit("*")), mate, (F.col("mate_pos") + 1).cast("string"), text("tlen"), seq, F.lit("*"))
+    head = sizes.select(F.lit(0).alias("_part"), F.lit("").alias("_chrom"), F.lit(0).cast("long").alias("_pos"), F.format_string("@SQ\tSN:%s\tLN:%d", F.col("chrom"), F.col("size").cast("long")).alias("value"))
+    rows = reads.select(F.when(F.col("chrom") == "*", 2).otherwise(1).alias("_part"), F.col("chrom").alias("_chrom"), F.col("pos").cast("long").alias("_pos"), line.alias("value"))
+    order = ["_part", "_chrom", "_pos", "value"]
+    head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
