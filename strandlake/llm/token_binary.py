@@ -31,13 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import batch_rows, lean, new_path, take_column
+from strandlake.llm.common import batch_rows, lean, new_path, slices, take_column, text_bytes
 
 END_ID = 2
 #: Ids after which a block is closed; lanes of a block; ids of a lane at least.
 BLOCK_IDS, MAX_LANES, LANE_IDS = 1 << 21, 8192, 256
-#: Pieces that a worker remembers at most, the half of them that was used longest ago being forgotten at a time.
-CACHE_PIECES = 600_000
+#: Pieces that a worker remembers; beyond it those that were not met again are forgotten.
+CACHE_PIECES = 700_000
+#: Pieces that are looked up at once.
+_CHUNK = 1 << 18
+#: Bytes of text that are cut and looked up at once (a longer single text is taken alone).
+_SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch: they hold texts.
 _BATCH_ROWS = 1000
 
@@ -45,6 +49,8 @@ _MAGIC = b"TIDB1"
 _HEAD = struct.Struct("<5sIIIII")
 _MIX_BITS, _ID_BITS, _SLOTS2 = 12, 18, 1 << 18
 _U = np.uint64
+#: Confidence after a wrong and a right prediction, by the one before.
+_CONFIDENCE = np.array([0, 0, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
 _SMALL, _SAME, _LOW32 = _U(1 << 32), _U(1 << 48), _U((1 << 32) - 1)
 
 
@@ -53,7 +59,7 @@ class _Model:
 
     def __init__(self, vocab: int):
         self.vocab = vocab
-        self.order1, self.order2 = np.zeros(vocab, np.int32), np.zeros(_SLOTS2, np.int32)  # predicted id * 8 + confidence
+        self.order1, self.order2 = np.zeros(vocab, np.int64), np.zeros(_SLOTS2, np.int64)  # predicted id * 8 + confidence
         self.seen = np.tile(np.array([2.0, 1.0, 4.0]), (128, 1))
         self.counts = np.zeros(vocab, np.int64)
         self.step, self.fresh = 0, []
@@ -63,7 +69,9 @@ class _Model:
     def _share(self) -> None:
         total = (1 << _MIX_BITS) - 3
         f = (self.seen[:, :2] / self.seen.sum(1, keepdims=True) * total).astype(np.int64) + 1
-        self.f2, self.f1 = f[:, 0].copy(), f[:, 1].copy()
+        size = np.column_stack([f, (1 << _MIX_BITS) - f.sum(1)])
+        self.f2, self.f12 = f[:, 0].copy(), f.sum(1)
+        self.size, self.first = size.astype(_U).ravel(), (np.cumsum(size, 1) - size).astype(_U).ravel()  # by state * 3 + outcome
 
     def _spread(self) -> None:
         total, have = 1 << _ID_BITS, int(self.counts.sum())
@@ -78,18 +86,18 @@ class _Model:
 
     def look(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
         self.at1 = prev1
-        self.at2 = (prev2 * 8191 + prev1 * 9973 + (prev1 >> 3)) & (_SLOTS2 - 1)  # wraps alike in encoder and decoder
-        e1, e2 = self.order1[self.at1], self.order2[self.at2]
+        self.at2 = (prev2 * 8191 + prev1 * 9973 + (prev1 >> 3)) & (_SLOTS2 - 1)
+        e1, e2 = self.order1.take(prev1), self.order2.take(self.at2)
         self.p1, self.p2 = e1 >> 3, e2 >> 3
         self.c1, self.c2 = e1 & 7, e2 & 7
         self.state = (self.c2 << 4) + (self.c1 << 1) + (self.p1 == self.p2)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+        """outcome: state * 3, and 0 if order 2 was right, 1 if order 1 was, 2 if neither."""
         for table, at, p, c in ((self.order1, self.at1, self.p1, self.c1), (self.order2, self.at2, self.p2, self.c2)):
-            hit = p == ids
             # of equal contexts in one step the last lane counts
-            table[at] = (np.where(hit | (c > 1), p, ids) << 3) + np.where(hit, np.minimum(c + 1, 7), c >> 1)
-        self.seen += np.bincount(self.state * 3 + outcome, minlength=384).reshape(128, 3)
+            table[at] = (np.where(c > 1, p, ids) << 3) + _CONFIDENCE.take((p == ids) * 8 + c)
+        self.seen += np.bincount(outcome, minlength=384).reshape(128, 3)
         if self.step < 32 or self.step % 8 == 0:
             self._share()
         self.fresh.append(ids)
@@ -101,8 +109,8 @@ class _Model:
 
     def id_at(self, slot: np.ndarray) -> np.ndarray:
         if self.of_slot is None:
-            self.of_slot = np.repeat(np.arange(self.vocab, dtype=np.int32), self.freq)
-        return self.of_slot[slot]
+            self.of_slot = np.repeat(np.arange(self.vocab), self.freq)
+        return self.of_slot.take(slot)
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -127,21 +135,20 @@ def encode_block(ids: np.ndarray) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     out, pos = np.zeros((lanes, steps * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
-    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for row in grid:
+        row = row.astype(np.int64)
         model.look(prev1, prev2)
-        outcome = np.where(row == model.p2, 0, np.where(row == model.p1, 1, 2))
-        f2, f1 = model.f2[model.state], model.f1[model.state]
+        neither = (row != model.p2) & (row != model.p1)
+        outcome = model.state * 3 + (row != model.p2) + neither
         r = rng >> _U(_MIX_BITS)
-        first = np.where(outcome == 0, 0, np.where(outcome == 1, f2, f2 + f1))
-        size = np.where(outcome == 0, f2, np.where(outcome == 1, f1, (1 << _MIX_BITS) - f2 - f1))
-        low += first.astype(_U) * r
-        rng = size.astype(_U) * r
-        at = np.flatnonzero(outcome == 2)
+        low += model.first.take(outcome) * r
+        rng = model.size.take(outcome) * r
+        at = np.flatnonzero(neither)
         if len(at):
-            r = rng[at] >> _U(_ID_BITS)
-            low[at] += model.cum[row[at]].astype(_U) * r
-            rng[at] = model.freq[row[at]].astype(_U) * r
+            r, ids_ = rng.take(at) >> _U(_ID_BITS), row.take(at)
+            low[at] += model.cum.take(ids_).view(_U) * r
+            rng[at] = model.freq.take(ids_).view(_U) * r
         m, lo, ra, same = _short(low, rng)
         while len(m):
             out[m, pos[m]] = (lo >> _U(48)).astype(np.uint16)
@@ -178,26 +185,24 @@ def decode_block(block: bytes) -> np.ndarray:
     for _ in range(4):
         code = code << _U(16) | np.where(pos < stop, words[pos], _U(0))
         pos = pos + 1
-    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     grid = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         model.look(prev1, prev2)
-        f2, f1 = model.f2[model.state], model.f1[model.state]
         r = rng >> _U(_MIX_BITS)
-        v = ((code - low) // r).astype(np.int64)
-        outcome = np.where(v < f2, 0, np.where(v < f2 + f1, 1, 2))
-        first = np.where(outcome == 0, 0, np.where(outcome == 1, f2, f2 + f1))
-        size = np.where(outcome == 0, f2, np.where(outcome == 1, f1, (1 << _MIX_BITS) - f2 - f1))
-        low += first.astype(_U) * r
-        rng = size.astype(_U) * r
-        row = np.where(outcome == 0, model.p2, model.p1)
-        at = np.flatnonzero(outcome == 2)
+        v = ((code - low) // r).view(np.int64)
+        wrong, neither = v >= model.f2.take(model.state), v >= model.f12.take(model.state)
+        outcome = model.state * 3 + wrong + neither
+        low += model.first.take(outcome) * r
+        rng = model.size.take(outcome) * r
+        row = np.where(wrong, model.p1, model.p2)
+        at = np.flatnonzero(neither)
         if len(at):
-            r = rng[at] >> _U(_ID_BITS)
-            v = np.minimum((code[at] - low[at]) // r, _U((1 << _ID_BITS) - 1)).astype(np.int64)
-            row[at] = model.id_at(v)
-            low[at] += model.cum[row[at]].astype(_U) * r
-            rng[at] = model.freq[row[at]].astype(_U) * r
+            r = rng.take(at) >> _U(_ID_BITS)
+            v = np.minimum((code.take(at) - low.take(at)) // r, _U((1 << _ID_BITS) - 1)).view(np.int64)
+            row[at] = ids_ = model.id_at(v)
+            low[at] += model.cum.take(ids_).view(_U) * r
+            rng[at] = model.freq.take(ids_).view(_U) * r
         m, lo, ra, same = _short(low, rng)
         while len(m):
             p = pos[m]
@@ -220,33 +225,168 @@ def decode_block(block: bytes) -> np.ndarray:
 
 #: Controls that libraries disagree on as white space: such texts go through the tokenizers library whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]").search
-#: The public pattern for texts of ASCII and Latin letters only, for the quicker standard module.
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-_UNUSUAL = re.compile(f"[^\\t-\\r -~{_LATIN}]").search
-_PLAIN_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+").findall
-
-
-class _Pieces(dict):
-    """Ids of pieces as bytes; a piece that is not known yet goes through the library."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-        self.before: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.before.get(piece)
-        if out is None:
-            # letters and digits stand for themselves, a space before them is one letter too
-            plain = piece.isascii() and piece[1:].isalnum() and (piece[0] == " " or piece[0].isalnum())
-            word = piece.replace(" ", self.encoder.space) if plain else piece.encode().decode("latin-1").translate(self.encoder.letters)
-            out = array("I", [t.id for t in self.encoder.merge(word)]).tobytes()
-        self[piece] = out
-        return out
+#: Classes of bytes in texts of ASCII and Latin letters (U+00C0 to U+017F) only; bytes from 0x80 on belong to letters there.
+_WHITE, _LETTER, _DIGIT, _OTHER, _UNUSUAL = range(5)
+_CLASS = np.full(256, _UNUSUAL, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _WHITE
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTER
+
+
+def _unusual(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each text has letters or signs beyond those that _cuts knows."""
+    bad = _CLASS[data] == _UNUSUAL
+    bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs of multiplication and division
+    out = np.zeros(len(offs) - 1, bool)
+    out[np.searchsorted(offs, np.flatnonzero(bad), "right") - 1] = True
+    return out
+
+
+def _cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether a piece of the public pattern begins at each byte, for texts that are not unusual."""
+    n, kind = len(data), _CLASS[data]
+    first = np.zeros(n + 3, bool)
+    first[offs] = True
+    run = first[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    # the last of several white spaces stands alone before something else, or, if it is a space, goes with it
+    last = np.zeros(n, bool)
+    last[:-1] = (kind[:-1] == _WHITE) & run[1:] & ~first[1:n]
+    start = run | last
+    start[1:] &= ~(last[:-1] & (data[:-1] == 0x20))
+    # 's 't 'm 'd 're 've 'll where no other piece has taken the apostrophe
+    at = np.flatnonzero((data == 0x27) & start)
+    if len(at):
+        more = np.concatenate([data, np.zeros(2, np.uint8)])
+        b, c = more[at + 1], more[at + 2]
+        inside = ~first[at + 1]
+        one = inside & np.isin(b, np.frombuffer(b"stmd", np.uint8))
+        two = inside & ~first[at + 2] & (((b == ord("r")) | (b == ord("v"))) & (c == ord("e")) | (b == ord("l")) & (c == ord("l")))
+        start[at[one | two] + 1] = False
+        ends = np.concatenate([at[one] + 2, at[two] + 3])
+        start[ends[ends < n]] = True
+    return start
+
+
+class _Pieces:
+    """Ids of pieces by their bytes: a table of open addressing in arrays, and a dict for pieces of over 15 bytes.
+
+    A key is a piece's bytes, filled up with zeros, and its length, so equal keys are equal pieces.
+    """
 
-    def forget(self) -> None:
-        self.before = dict(self)
-        self.clear()
+    _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+    def __init__(self, merge):
+        self.merge = merge  # ids and lengths of pieces that are not known yet
+        self.bits = (2 * (CACHE_PIECES + _CHUNK) - 1).bit_length()
+        self._empty()
+
+    def _empty(self) -> None:
+        slots = 1 << self.bits
+        self.low, self.high = np.zeros(slots, _U), np.zeros(slots, _U)
+        self.at, self.count, self.again = np.zeros(slots, np.int32), np.zeros(slots, np.uint8), np.zeros(slots, bool)
+        self.pool, self.used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def _put(self, ids: np.ndarray) -> int:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ high * _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93)
+        h = (h ^ h >> _U(32)) * _U(0xBF58476D1CE4E5B9)
+        return (h >> _U(64 - self.bits)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of keys, and where there is none."""
+        slot = self._slot(low, high)
+        have = self.high[slot]
+        todo = np.flatnonzero((have != high) | (self.low[slot] != low))
+        missing = []
+        while len(todo):
+            free = self.high[slot[todo]] == 0
+            missing.append(todo[free])
+            todo = todo[~free]
+            slot[todo] = slot[todo] + 1 & (1 << self.bits) - 1
+            s = slot[todo]
+            todo = todo[(self.high[s] != high[todo]) | (self.low[s] != low[todo])]
+        return slot, np.concatenate(missing) if missing else np.zeros(0, np.int64)
+
+    def _add(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Slots of different keys that were not there."""
+        slot, todo = self._slot(low, high), np.arange(len(low))
+        while len(todo):
+            free = todo[self.high[slot[todo]] == 0]
+            self.at[slot[free]] = free  # of several the last one gets the slot
+            won = free[self.at[slot[free]] == free]
+            s = slot[won]
+            self.low[s], self.high[s], self.at[s], self.count[s], self.again[s] = low[won], high[won], at[won], count[won], False
+            done = np.zeros(len(low), bool)
+            done[won] = True
+            todo = todo[~done[todo]]
+            slot[todo] = slot[todo] + 1 & (1 << self.bits) - 1
+        self.size += len(low)
+        return slot
+
+    def _forget(self) -> None:
+        """Only pieces that were met again since the last time stay, half of CACHE_PIECES at most."""
+        keep = np.flatnonzero(self.again)[: CACHE_PIECES // 2]
+        low, high, at, count, pool = self.low[keep], self.high[keep], self.at[keep], self.count[keep].astype(np.int64), self.pool
+        self._empty()
+        ends = np.cumsum(count)
+        where = np.repeat(at - ends + count, count) + np.arange(count.sum())
+        self._put(pool[where])
+        self._add(low, high, (ends - count).astype(np.int32), count)
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces one after the other, and how many each has."""
+        parts = [self._chunk(data, starts[i : i + _CHUNK], ends[i : i + _CHUNK]) for i in range(0, len(starts), _CHUNK)]
+        if len(parts) == 1:
+            return parts[0]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _chunk(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.size + len(self.long) > CACHE_PIECES:
+            self._forget()
+        length = ends - starts
+        words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+        at, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        far = length > 15
+        short = np.flatnonzero(~far)
+        a, n = starts[short], length[short]
+        low = words[a] & self._MASK[np.minimum(n, 8)]
+        high = words[np.minimum(a + 8, len(data))] & self._MASK[np.clip(n - 8, 0, 7)] | n.astype(_U) << _U(56)
+        slot, missing = self._find(low, high)
+        if len(missing) < len(slot):
+            old = np.ones(len(slot), bool)
+            old[missing] = False
+            self.again[slot[old]] = True
+        if len(missing):
+            order = missing[np.lexsort((low[missing], high[missing]))]
+            x, y = low[order], high[order]
+            new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            one = order[new]
+            flat, sizes = self.merge(data, a[one], n[one])
+            base = self._put(flat)
+            slots = self._add(low[one], high[one], (base + np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32))
+            slot[order] = slots[np.cumsum(new) - 1]
+        at[short], count[short] = self.at[slot], self.count[slot]
+        far = np.flatnonzero(far)
+        pieces = [data[i:j].tobytes() for i, j in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+        fresh = {p: i for p, i in zip(pieces, far.tolist(), strict=True) if p not in self.long}
+        if fresh:
+            one = np.array(list(fresh.values()))
+            flat, sizes = self.merge(data, starts[one], length[one])
+            first = self._put(flat) + np.cumsum(sizes) - sizes
+            self.long.update(zip(fresh, zip(first.tolist(), sizes.tolist(), strict=True), strict=True))
+        for i, p in zip(far.tolist(), pieces, strict=True):
+            at[i], count[i] = self.long[p]
+        stop = np.cumsum(count)
+        return self.pool[np.repeat(at - stop + count, count) + np.arange(stop[-1])], count
 
 
 class Encoder:
@@ -272,66 +412,106 @@ class Encoder:
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         # byte-level tokenizers write each byte as one letter: printable bytes stand for themselves, the others follow from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.letters = {b: b if b in plain else 256 + i for i, b in [*((0, b) for b in plain), *enumerate(b for b in range(256) if b not in plain)]}
-        self.space = chr(self.letters[32])
-        self.merge = self.lib.model.tokenize
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.known = _Pieces(self)
+        self.letters = np.arange(256, dtype="<u4")
+        rest = [b for b in range(256) if b not in plain]
+        self.letters[rest] = 256 + np.arange(len(rest))
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
+        self.known = _Pieces(self._merged)
+
+    def _merged(self, data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the library makes of pieces: all ids one after the other, and how many each has."""
+        ends = np.cumsum(length)
+        letters = self.letters[data[np.repeat(starts - ends + length, length) + np.arange(ends[-1])]].tobytes().decode("utf-32-le")
+        merge, flat, sizes = self.lib.model.tokenize, array("I"), []
+        for i, j in zip((ends - length).tolist(), ends.tolist(), strict=True):
+            found = [t.id for t in merge(letters[i:j])]
+            flat.extend(found)
+            sizes.append(len(found))
+        return np.frombuffer(flat, np.uint32), np.array(sizes, np.int64)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each has."""
+        n = len(offs) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        blob = data.tobytes()
+        odd = _unusual(data, offs) if self.split else np.ones(n, bool)
+        seen = [a for a in self.added if a in blob]
+        start = _cuts(data, offs)
+        whole: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(odd | bool(seen)).tolist():
+            raw = blob[offs[i] : offs[i + 1]]
+            if not odd[i] and not any(a in raw for a in seen):
+                continue
+            text = raw.decode()
+            start[offs[i] : offs[i + 1]] = False
+            if self.split is None or _ODD_SPACE(text) or any(a in raw for a in seen):
+                whole[i] = np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                size = np.array([len(p.encode()) for p in self.split(text)], np.int64)
+                start[offs[i] + np.cumsum(size) - size] = True
+        starts = np.flatnonzero(start)
+        gone = np.zeros(n, bool)
+        gone[list(whole)] = True
+        ends = np.append(starts[1:], len(data))
+        if whole:
+            of = np.searchsorted(offs, starts, "right") - 1
+            ends = np.minimum(ends, offs[of + 1])
+        ids, count = self.known.ids(data, starts, ends)
+        stop = np.r_[0, np.cumsum(count)][np.searchsorted(starts, offs)]
+        if not whole:
+            return ids, np.diff(stop)
+        parts = [whole[i] if i in whole else ids[stop[i] : stop[i + 1]] for i in range(n)]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        odd = [bool(_UNUSUAL(t)) for t in texts]
-        whole = [self.split is None or (u and bool(_ODD_SPACE(t))) or any(a in t for a in self.added) for t, u in zip(texts, odd, strict=True)]
-        pieces = [[] if w else self.split(t) if u else _PLAIN_SPLIT(t) for w, t, u in zip(whole, texts, odd, strict=True)]
-        known = self.known
-        if len(known) > CACHE_PIECES // 2:
-            known.forget()
-        get = known.__getitem__
-        return [np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, p)) for w, t, p in zip(whole, texts, pieces, strict=True)]
+        ids, count = self.encode(*text_bytes(pa.array(texts, pa.large_string())))
+        ends = np.cumsum(count)
+        return [ids[i:j].astype("<u4").tobytes() for i, j in zip((ends - count).tolist(), ends.tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _groups(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    i = size = 0
-    for j, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield i, j
-            i, size = j, 0
-        size += len(t)
-    if i < len(texts):
-        yield i, len(texts)
-
-
 _FILE = "file int, block int, n_ids long, doc_ids array<long>, lengths array<int>, ids binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode the texts of docs (doc_id, text), append end_id to each, and write block files in ascending doc_id order."""
     schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
-    tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         encoder, file = _ENCODERS[tokenizer], TaskContext.get().partitionId()
-        block, docs_, raw, size = 0, [], [], 0
+        block, docs_, lengths, raw, size = 0, [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((file, block, len(ids), docs_, [len(r) // 4 for r in raw], encode_block(ids)), schema.types, strict=True)], schema=schema)
+            ids = np.concatenate(raw)
+            documents = [pa.ListArray.from_arrays([0, len(x)], x) for x in (pa.concat_arrays(docs_), pa.array(np.concatenate(lengths), pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)]), *documents, pa.array([encode_block(ids)], pa.binary())], schema=schema)
 
         for b in batches:
-            ids, texts = take_column(b, "doc_id").to_pylist(), [t or "" for t in take_column(b, "text").to_pylist()]
-            for i, j in _groups(texts):
-                for d, r in zip(ids[i:j], encoder.ids(texts[i:j]), strict=True):
-                    docs_.append(d)
-                    raw.append(r + tail)
-                    size += len(r) // 4 + 1
+            names = take_column(b, "doc_id")
+            data, offs = text_bytes(take_column(b, "text"))
+            for i, j in slices(offs, _SLICE_BYTES):
+                ids, count = encoder.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                ids = np.insert(ids, np.cumsum(count), end_id)
+                count = count + 1
+                stop = np.cumsum(count)
+                at = 0
+                while at < j - i:
+                    begin = int(stop[at] - count[at])
+                    to = min(j - i, int(np.searchsorted(stop, begin + BLOCK_IDS - size)) + 1)  # the text that fills the block is its last
+                    docs_.append(names.slice(i + at, to - at))
+                    lengths.append(count[at:to])
+                    raw.append(ids[begin : stop[to - 1]])
+                    size += int(stop[to - 1]) - begin
+                    at = to
                     if size >= BLOCK_IDS:
                         yield close()
-                        block, docs_, raw, size = block + 1, [], [], 0
+                        block, docs_, lengths, raw, size = block + 1, [], [], [], 0
         if raw:
             yield close()
 

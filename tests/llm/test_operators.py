@@ -476,3 +476,45 @@ def test_pipeline(spark):
         assert name == "token_binary" or out.columns == docs.columns
         docs = out
     assert seen[0] >= seen[1] >= seen[2] > 0 and seen[3] == seen[4]
+
+
+def test_pieces_cut_in_arrays_and_what_is_remembered(monkeypatch):
+    import re
+    import time
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from strandlake.llm import token_binary as tb
+    from strandlake.llm.common import text_bytes
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(5)
+    parts = ["a", "it", "'s", "'t", "'re", "'ve", "'ll", "'d", "'m", "'", "''", "'r", "S", "ll", "É", "ſ", "ÿ", "×", "÷", "7", "42", " ", "  ", "\n", "\t", "\r\n", ".", "!?", "\x00", "\x1c", "\x85", " ", "日本", "é", "м", "<|endoftext|>", "abcdefghijklmno", " abcdefghijklmnopqr", "🙂"]
+    texts = ["".join(parts[i] for i in rng.integers(0, 18 if k % 2 else len(parts), rng.integers(0, 30))) for k in range(3000)]
+    # few remembered pieces: they are forgotten again and again
+    monkeypatch.setattr(tb, "CACHE_PIECES", 500)
+    monkeypatch.setattr(tb, "_CHUNK", 64, raising=False)
+    e = tb.Encoder(path)
+    got = [x for i in range(0, len(texts), 100) for x in e.ids(texts[i : i + 100])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+    # known pieces are looked up in arrays: less CPU than a split by the pattern and a look into a dict for each piece
+    monkeypatch.undo()
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 12))) for _ in range(200_000)]
+    texts = [" ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), 500)) for _ in range(2000)]
+    e, split = tb.Encoder(path), re.compile(r" ?[a-z]+").findall
+    known = {p: b"1234" for t in texts for p in split(t)}
+    e.ids(texts)
+
+    def least(f):
+        out = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            out.append(time.process_time() - began)
+        return min(out)
+
+    data, offs = text_bytes(pa.array(texts))
+    plain = least(lambda: [b"".join(map(known.__getitem__, split(t))) for t in texts])
+    assert least(lambda: e.encode(data, offs) if hasattr(e, "encode") else e.ids(texts)) < 1.15 * plain
