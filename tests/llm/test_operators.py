@@ -518,3 +518,50 @@ def test_pieces_cut_in_arrays_and_what_is_remembered(monkeypatch):
     data, offs = text_bytes(pa.array(texts))
     plain = least(lambda: [b"".join(map(known.__getitem__, split(t))) for t in texts])
     assert least(lambda: e.encode(data, offs) if hasattr(e, "encode") else e.ids(texts)) < 1.15 * plain
+
+
+def test_components_by_forests_and_by_rounds(spark, monkeypatch):
+    from strandlake.llm import common
+
+    rng = np.random.default_rng(7)
+    chain = [(i, i + 1) for i in range(300)]
+    pairs = [*chain, *((500, i) for i in range(501, 560)), *((int(a), int(b)) for a, b in rng.integers(1000, 1400, (250, 2))), (None, 3), (7, None), (900, 900)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {(x, find(x)) for x in list(root)}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5).cache()
+    edges.count()
+
+    def jobs(f):
+        spark.sparkContext.setJobGroup(name := f"group {rng.integers(1 << 40)}", "")
+        out = f()
+        spark.sparkContext._jsc.clearJobGroup()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    got, few = jobs(lambda: [tuple(r) for r in common.components(edges).collect()])
+    assert set(got) == want and len(got) == len(want)
+    assert few <= 12
+    monkeypatch.setattr(common, "MAX_FOREST_ROWS", 0)
+    assert {tuple(r) for r in common.components(edges).collect()} == want
+    assert common.components(edges.where("a < 0")).count() == 0
+    # an array of flags comes in a few jobs, however many partitions its shuffle has
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        (flags, bits), few = jobs(lambda: common.bit_filter(spark.range(0, 30_000, 3)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hit = common.in_filter(np.frombuffer(flags, np.uint8), bits, np.arange(30_000))
+    assert hit[::3].all() and hit.sum() < 12_000
+    assert few <= 12
