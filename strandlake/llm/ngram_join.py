@@ -59,6 +59,8 @@ _ROWS_AT_ONCE = 256
 MAX_FILTER_IDS = 50_000_000
 #: Rows of an Arrow batch: they hold texts or sets, so a batch is a few MB.
 _BATCH_ROWS = 2000
+#: Bytes of text whose sets are made at once (a longer single text is taken alone).
+_SLICE_BYTES = 1 << 18
 #: Parts in which the labels of repeated sets are spread when they are given back to the rows.
 _SALTS = 16
 _MANY = np.uint16(65535)
@@ -69,7 +71,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
     for batch in batches:
         ids = take_column(batch, "doc_id")
         data, offs = text_bytes(take_column(batch, "text"))
-        for i, j in slices(offs, rows=HELD_ROWS):
+        for i, j in slices(offs, _SLICE_BYTES, HELD_ROWS):
             h, o = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
             yield ids.slice(i, j - i), h, o
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import batch_rows, lean, new_path, slices, take_column, text_bytes
+from strandlake.llm.common import batch_rows, give_back, lean, new_path, slices, take_column, text_bytes
 
 END_ID = 2
 #: Ids after which a block is closed; lanes of a block; ids of a lane at least.
@@ -41,7 +41,7 @@ CACHE_PIECES = 700_000
 #: Pieces that are looked up at once.
 _CHUNK = 1 << 18
 #: Bytes of text that are cut and looked up at once (a longer single text is taken alone).
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch: they hold texts.
 _BATCH_ROWS = 1000
 
@@ -125,6 +125,11 @@ def _short(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, ...]:
     return m, low[m], rng[m], same[m]
 
 
+def _little(ids: np.ndarray) -> memoryview:
+    """The bytes of ids as little-endian unsigned 32-bit integers, without a copy where they are stored so."""
+    return memoryview(np.ascontiguousarray(ids.astype("<u4", copy=False)).view(np.uint8))
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """A block for an array of ids (unsigned, below 2**17)."""
     ids = np.ascontiguousarray(ids, np.uint32)
@@ -134,10 +139,12 @@ def encode_block(ids: np.ndarray) -> bytes:
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out, pos = np.zeros((lanes, steps * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
+    out, pos = np.zeros((lanes, steps + 32), np.uint16), np.zeros(lanes, np.int64)
     model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for row in grid:
         row = row.astype(np.int64)
+        if int(pos.max()) > out.shape[1] - 16:  # far more than a step and the end write
+            out = np.concatenate([out, np.zeros((lanes, steps // 2 + 32), np.uint16)], 1)
         model.look(prev1, prev2)
         neither = (row != model.p2) & (row != model.p1)
         outcome = model.state * 3 + (row != model.p2) + neither
@@ -162,9 +169,10 @@ def encode_block(ids: np.ndarray) -> bytes:
     for shift in (48, 32):
         out[np.arange(lanes), pos] = (end >> _U(shift)).astype(np.uint16)
         pos += 1
+    del grid
     words = out[np.arange(out.shape[1])[None, :] < pos[:, None]]
-    payload = pos.astype("<u4").tobytes() + words.astype("<u2").tobytes()
-    return _HEAD.pack(_MAGIC, len(ids), lanes, vocab, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(payload)) + payload
+    payload = pos.astype("<u4").tobytes() + words.astype("<u2", copy=False).tobytes()
+    return _HEAD.pack(_MAGIC, len(ids), lanes, vocab, zlib.crc32(_little(ids)), zlib.crc32(payload)) + payload
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -176,14 +184,14 @@ def decode_block(block: bytes) -> np.ndarray:
     if magic != _MAGIC or zlib.crc32(payload) != payload_crc:
         raise ValueError("block is damaged")
     lengths = np.frombuffer(payload[: 4 * lanes], "<u4").astype(np.int64)
-    words = np.zeros(int(lengths.sum()) + 8, _U)
+    words = np.zeros(int(lengths.sum()) + 8, np.uint16)
     words[:-8] = np.frombuffer(payload[4 * lanes :], "<u2")
     pos = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     stop = pos + lengths
     steps = -(-n // lanes)
     low, rng, code = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.zeros(lanes, _U)
     for _ in range(4):
-        code = code << _U(16) | np.where(pos < stop, words[pos], _U(0))
+        code = code << _U(16) | np.where(pos < stop, words[pos].astype(_U), _U(0))
         pos = pos + 1
     model, prev1, prev2 = _Model(vocab), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     grid = np.zeros((steps, lanes), np.int32)
@@ -206,7 +214,7 @@ def decode_block(block: bytes) -> np.ndarray:
         m, lo, ra, same = _short(low, rng)
         while len(m):
             p = pos[m]
-            code[m] = code[m] << _U(16) | np.where(p < stop[m], words[np.minimum(p, len(words) - 1)], _U(0))
+            code[m] = code[m] << _U(16) | np.where(p < stop[m], words[np.minimum(p, len(words) - 1)].astype(_U), _U(0))
             pos[m] = p + 1
             low[m], rng[m] = lo, ra = lo << _U(16), np.where(same, ra, (~lo + _U(1)) & _LOW32) << _U(16)
             k, lo, ra, same = _short(lo, ra)
@@ -214,8 +222,8 @@ def decode_block(block: bytes) -> np.ndarray:
         model.learn(row, outcome)
         prev2, prev1 = prev1, row
         grid[step] = row
-    ids = grid.T.reshape(-1)[:n].astype(np.uint32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
+    ids = grid.T.reshape(-1)[:n].view(np.uint32)
+    if zlib.crc32(_little(ids)) != ids_crc:
         raise ValueError("ids of the block disagree with their checksum")
     return ids
 
@@ -270,9 +278,10 @@ def _cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class _Pieces:
-    """Ids of pieces by their bytes: a table of open addressing in arrays, and a dict for pieces of over 15 bytes.
+    """Ids of pieces by their bytes: entries in arrays with an index of open addressing, and a dict for pieces of over 15 bytes.
 
-    A key is a piece's bytes, filled up with zeros, and its length, so equal keys are equal pieces.
+    A key is a piece's bytes, filled up with zeros, and its length, so equal keys are equal pieces.  Entries are numbered
+    from 1 on, so memory follows the pieces that are known; in the index 0 is a free slot.
     """
 
     _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
@@ -283,9 +292,9 @@ class _Pieces:
         self._empty()
 
     def _empty(self) -> None:
-        slots = 1 << self.bits
-        self.low, self.high = np.zeros(slots, _U), np.zeros(slots, _U)
-        self.at, self.count, self.again = np.zeros(slots, np.int32), np.zeros(slots, np.uint8), np.zeros(slots, bool)
+        self.index, most = np.zeros(1 << self.bits, np.int32), CACHE_PIECES + _CHUNK + 1
+        self.low, self.high = np.zeros(most, _U), np.zeros(most, _U)
+        self.at, self.count, self.again = np.zeros(most, np.int32), np.zeros(most, np.uint8), np.zeros(most, bool)
         self.pool, self.used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
         self.long: dict[bytes, tuple[int, int]] = {}
 
@@ -301,36 +310,30 @@ class _Pieces:
         h = (h ^ h >> _U(32)) * _U(0xBF58476D1CE4E5B9)
         return (h >> _U(64 - self.bits)).astype(np.int64)
 
-    def _find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of keys, and where there is none."""
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entries of keys, 0 where there is none."""
         slot = self._slot(low, high)
-        have = self.high[slot]
-        todo = np.flatnonzero((have != high) | (self.low[slot] != low))
-        missing = []
+        entry = self.index[slot]
+        todo = np.flatnonzero((self.high[entry] != high) | (self.low[entry] != low))
         while len(todo):
-            free = self.high[slot[todo]] == 0
-            missing.append(todo[free])
-            todo = todo[~free]
+            todo = todo[entry[todo] != 0]
             slot[todo] = slot[todo] + 1 & (1 << self.bits) - 1
-            s = slot[todo]
-            todo = todo[(self.high[s] != high[todo]) | (self.low[s] != low[todo])]
-        return slot, np.concatenate(missing) if missing else np.zeros(0, np.int64)
+            entry[todo] = e = self.index[slot[todo]]
+            todo = todo[(self.high[e] != high[todo]) | (self.low[e] != low[todo])]
+        return entry
 
     def _add(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Slots of different keys that were not there."""
+        """Entries of different keys that were not there."""
         slot, todo = self._slot(low, high), np.arange(len(low))
+        entry = np.arange(self.size + 1, self.size + 1 + len(low), dtype=np.int32)
+        self.low[entry], self.high[entry], self.at[entry], self.count[entry] = low, high, at, count
         while len(todo):
-            free = todo[self.high[slot[todo]] == 0]
-            self.at[slot[free]] = free  # of several the last one gets the slot
-            won = free[self.at[slot[free]] == free]
-            s = slot[won]
-            self.low[s], self.high[s], self.at[s], self.count[s], self.again[s] = low[won], high[won], at[won], count[won], False
-            done = np.zeros(len(low), bool)
-            done[won] = True
-            todo = todo[~done[todo]]
+            free = todo[self.index[slot[todo]] == 0]
+            self.index[slot[free]] = entry[free]  # of several the last one gets the slot
+            todo = todo[self.index[slot[todo]] != entry[todo]]
             slot[todo] = slot[todo] + 1 & (1 << self.bits) - 1
         self.size += len(low)
-        return slot
+        return entry
 
     def _forget(self) -> None:
         """Only pieces that were met again since the last time stay, half of CACHE_PIECES at most."""
@@ -360,11 +363,10 @@ class _Pieces:
         a, n = starts[short], length[short]
         low = words[a] & self._MASK[np.minimum(n, 8)]
         high = words[np.minimum(a + 8, len(data))] & self._MASK[np.clip(n - 8, 0, 7)] | n.astype(_U) << _U(56)
-        slot, missing = self._find(low, high)
-        if len(missing) < len(slot):
-            old = np.ones(len(slot), bool)
-            old[missing] = False
-            self.again[slot[old]] = True
+        entry = self._find(low, high)
+        missing = np.flatnonzero(entry == 0)
+        self.again[entry] = True
+        self.again[0] = False
         if len(missing):
             order = missing[np.lexsort((low[missing], high[missing]))]
             x, y = low[order], high[order]
@@ -372,9 +374,9 @@ class _Pieces:
             one = order[new]
             flat, sizes = self.merge(data, a[one], n[one])
             base = self._put(flat)
-            slots = self._add(low[one], high[one], (base + np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32))
-            slot[order] = slots[np.cumsum(new) - 1]
-        at[short], count[short] = self.at[slot], self.count[slot]
+            entries = self._add(low[one], high[one], (base + np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32))
+            entry[order] = entries[np.cumsum(new) - 1]
+        at[short], count[short] = self.at[entry], self.count[entry]
         far = np.flatnonzero(far)
         pieces = [data[i:j].tobytes() for i, j in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
         fresh = {p: i for p, i in zip(pieces, far.tolist(), strict=True) if p not in self.long}
@@ -484,11 +486,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches):
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
+            give_back()  # what reading the tokenizer's file took
         encoder, file = _ENCODERS[tokenizer], TaskContext.get().partitionId()
         block, docs_, lengths, raw, size = 0, [], [], [], 0
 
         def close():
             ids = np.concatenate(raw)
+            raw.clear()
             documents = [pa.ListArray.from_arrays([0, len(x)], x) for x in (pa.concat_arrays(docs_), pa.array(np.concatenate(lengths), pa.int32()))]
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)]), *documents, pa.array([encode_block(ids)], pa.binary())], schema=schema)
 
@@ -528,7 +532,7 @@ def _read_blocks(batches):
             ids = decode_block(r["ids"])
             lengths = np.array(r["lengths"], np.int64)
             ends = np.cumsum(lengths)
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = _little(ids)
             yield r, lengths, ends, raw
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import LOWER, slices, span_hashes, stage, take_column, text_bytes, trim_spans, word_spans
+from strandlake.llm.common import LOWER, lean, slices, span_hashes, stage, take_column, text_bytes, trim_spans, word_spans
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_TRAIN = 20_000
@@ -58,6 +58,8 @@ LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 STEM_ROWS, STEM_SHARE, STEM_LIFT = 3, 0.02, 25.0
 STEM_BYTES = (4, 5)
 FOLDS = 3
+#: Bytes of text whose features are counted at once (a longer single text is taken alone).
+_SLICE_BYTES = 1 << 18
 
 FEATURES = ("learned", "learned_share", "listed", "listed_share", "hidden", "near", "second", "capitals", "upper_words", "punct", "marks", "digits", "symbols", "odd_words", "other", "length")
 
@@ -285,7 +287,7 @@ def _featured(batches: Iterator[pa.RecordBatch], stems: list[np.ndarray]) -> Ite
     listed, second = _hash_words(LEXICON), _hash_words(SECOND_PERSON)
     for batch in batches:
         data, offs = text_bytes(take_column(batch, "text"))
-        for i, j in slices(offs):
+        for i, j in slices(offs, _SLICE_BYTES):
             yield batch.slice(i, j - i), text_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], listed, second, stems)
 
 
@@ -332,7 +334,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     rows = stage(rows, "labelled")
     kinds = [F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(2 * FOLDS)]
     toxic = sum(F.col(f"k{k}") for k in range(1, 2 * FOLDS, 2))
-    marks = rows.mapInArrow(_stem_rows, "stem long, kind int").groupBy("stem").agg(*kinds)
+    marks = rows.mapInArrow(lean(_stem_rows), "stem long, kind int").groupBy("stem").agg(*kinds)
     n_toxic = rows.where("toxic = 1").count()
     # bounded: a stem that stays is in STEM_SHARE of the toxic rows of the sample at least, less one fold
     least = max(STEM_ROWS, STEM_SHARE * n_toxic * 0.5)
@@ -343,7 +345,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     stems = [_learned(np.delete(counts, f, 1).sum(1).T, np.delete(size, f, 0).sum(0), names) for f in range(FOLDS)]
     stems.append(_learned(counts.sum(1).T, size.sum(0), names))
 
-    got = rows.mapInArrow(_training_rows(stems), "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(lean(_training_rows(stems)), "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     model = Boosted()
     model.stems = stems[-1]
     if not len(got):
@@ -367,7 +369,7 @@ def score_toxicity(docs: DataFrame, model: Boosted, keep: list[str], score: str
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(x[0]))], names=[*keep, score])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:

@@ -520,6 +520,39 @@ def test_pieces_cut_in_arrays_and_what_is_remembered(monkeypatch):
     assert least(lambda: e.encode(data, offs) if hasattr(e, "encode") else e.ids(texts)) < 1.15 * plain
 
 
+def test_memory_of_a_token_worker():
+    """An executor's workers share what its JVM leaves: a block is coded in few copies, tables are small or go with the task."""
+    import tracemalloc
+
+    from strandlake.llm import common
+    from strandlake.llm import token_binary as tb
+
+    pieces = tb._Pieces(None)
+    assert sum(x.nbytes for x in vars(pieces).values() if isinstance(x, np.ndarray)) < 32e6
+    ids = (np.random.default_rng(7).zipf(1.3, 1 << 20) % 50_257).astype(np.uint32)
+    for f, x, most in ((tb.encode_block, ids, 4.5), (tb.decode_block, tb.encode_block(ids), 4.5)):
+        tracemalloc.start()
+        f(x)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * ids.nbytes, (f.__name__, peak / ids.nbytes)
+    # ids that no order predicts take more than a word each: the room for words grows
+    ids = np.random.default_rng(8).integers(0, 1 << 17, 100_000).astype(np.uint32)
+    block = tb.encode_block(ids)
+    assert len(block) > 2.05 * len(ids) and (tb.decode_block(block) == ids).all()
+
+    def run(batches):
+        assert not common._POW
+        common.powers(common._P, 1 << 18)
+        yield sum(x.nbytes for x in common._POW.values())
+
+    common.powers(common._P, 1 << 18)
+    held = list(common.lean(run)([]))
+    assert not common._POW and held[0] <= 4 << 20
+    assert [int(x) for x in common.powers(common._P, 70_001)[[0, 1, 2, 70_000]]] == [pow(common._P, k, 1 << 64) for k in (0, 1, 2, 70_000)]
+    common._POW.clear()
+
+
 def test_components_by_forests_and_by_rounds(spark, monkeypatch):
     from strandlake.llm import common
 
