@@ -476,6 +476,17 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer's file.
+
+    Found through the module: what a task's function names itself comes with it as a copy, anew for each task.
+    """
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+        give_back()  # what reading the file took
+    return _ENCODERS[path]
+
+
 _FILE = "file int, block int, n_ids long, doc_ids array<long>, lengths array<int>, ids binary"
 
 
@@ -484,10 +495,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
 
     def run(batches):
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = Encoder(tokenizer)
-            give_back()  # what reading the tokenizer's file took
-        encoder, file = _ENCODERS[tokenizer], TaskContext.get().partitionId()
+        encoder, file = encoder_of(tokenizer), TaskContext.get().partitionId()
         block, docs_, lengths, raw, size = 0, [], [], [], 0
 
         def close():

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -553,6 +554,31 @@ def test_memory_of_a_token_worker():
     common._POW.clear()
 
 
+def test_a_worker_reads_the_tokenizer_once(tmp_path):
+    """Tasks of a worker share its encoder: with one worker, one of many tasks reads the file."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import public_tokenizers
+
+    path, root = tmp_path / "byte_bpe.json", Path(__file__).resolve().parents[2]
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), path)
+    code = f"""if True:
+        from pyspark.sql import SparkSession, functions as F
+        from strandlake.llm import token_binary as tb
+        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+        rows = lambda a, b: spark.range(a, b, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+        tb.write_token_files(rows(0, 400), {str(tmp_path / "a")!r}, {str(path)!r})
+        open({str(path)!r}, "w").close()  # no task can read it again
+        tb.write_token_files(rows(400, 800), {str(tmp_path / "b")!r}, {str(path)!r})
+        assert tb.digest_token_files(spark, {str(tmp_path / "b")!r}).count() == 400
+    """
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=150)
+    assert not done.returncode, done.stderr[-2000:]
+
+
 def test_components_by_forests_and_by_rounds(spark, monkeypatch):
     from strandlake.llm import common
 
