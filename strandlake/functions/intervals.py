@@ -38,6 +38,49 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bucket:
     return marked.join(pairs.select(*mine), "_row", "left").drop("_row")
 
 
+#: Bases of a range within which one task adds up starts and ends; sums of whole ranges are added afterwards.
+COUNT_RANGE = 65_536
+
+
+def count_overlaps(spans: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """targets' rows with n, how many spans of each value of the keys meet them on [start, end); only rows above 0.
+
+    No pairs are made: spans that start before a target's end, less those that end at or before its start.  Spans are reduced
+    to counts by position before they are dealt out, so the work grows with spans and targets, not with their product.
+    """
+    keys = list(keys)
+    ends = F.array(F.struct(F.col("start").cast("long").alias("at"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col("end").cast("long").alias("at"), F.lit(0).alias("s"), F.lit(1).alias("e")))
+    marks = spans.where("end > start AND chrom IS NOT NULL").select(*keys, "chrom", F.explode(ends).alias("m")).groupBy(*keys, "chrom", "m.at").agg(F.sum("m.s").alias("s"), F.sum("m.e").alias("e"))
+    targets = targets.where("end > start AND chrom IS NOT NULL")
+    asked = targets.select("chrom", F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("at")).distinct()
+    if keys:
+        asked = asked.crossJoin(F.broadcast(marks.select(*keys).distinct()))
+    asked = asked.select(*keys, "chrom", "at", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"), F.lit(True).alias("asked"))
+    part = F.floor(F.col("at") / COUNT_RANGE).alias("_part")
+    both = marks.withColumn("asked", F.lit(False)).unionByName(asked).groupBy(*keys, "chrom", "at").agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max("asked").alias("asked")).withColumn("_part", part)
+    within = Window.partitionBy(*keys, "chrom", "_part").orderBy("at")
+    before, upto = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, 0)
+    sums = both.withColumn("_started", F.coalesce(F.sum("s").over(before), F.lit(0))).withColumn("_ended", F.sum("e").over(upto)).where("asked")
+    earlier = Window.partitionBy(*keys, "chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = both.groupBy(*keys, "chrom", "_part").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    parts = parts.select(*keys, "chrom", "_part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("_e0"))
+    named = [F.col(k).alias(f"_k_{k}") for k in keys]
+    parts = parts.select(*named, F.col("chrom").alias("_c"), F.col("_part").alias("_p"), "_s0", "_e0")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    on = (F.col("chrom") == F.col("_c")) & (F.col("_part") == F.col("_p"))
+    for x in same:
+        on &= x
+    sums = sums.join(parts, on).select(*keys, "chrom", "at", (F.col("_started") + F.col("_s0")).alias("_started"), (F.col("_ended") + F.col("_e0")).alias("_ended"))
+    low = sums.select(*keys, F.col("chrom").alias("_c"), F.col("at").alias("_at"), "_ended")
+    high = sums.select(*named, F.col("chrom").alias("_c"), F.col("at").alias("_at"), "_started")
+    out = targets.join(low, (F.col("chrom") == F.col("_c")) & (F.col("start") == F.col("_at"))).drop("_c", "_at")
+    on = (F.col("chrom") == F.col("_c")) & (F.col("end") == F.col("_at"))
+    for x in same:
+        on &= x
+    out = out.join(high, on).withColumn("n", F.col("_started") - F.col("_ended")).where("n > 0")
+    return out.select(*keys, *targets.columns, "n")
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str] = ("chrom",), gap: int = 0) -> DataFrame:
     """Unions of intervals that overlap or are at most `gap` apart."""
     w = Window.partitionBy(*keys).orderBy("start", "end")

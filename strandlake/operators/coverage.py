@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.intervals import merge_intervals, overlap_join
+from strandlake.functions.intervals import count_overlaps, merge_intervals, overlap_join
 
 
 def count_in_bins(fragments: DataFrame, width: int) -> DataFrame:
@@ -22,10 +22,10 @@ def count_in_bins(fragments: DataFrame, width: int) -> DataFrame:
     return hits.groupBy("sample", "chrom", "bin").agg(F.count("*").alias("n")).select("sample", "chrom", (F.col("bin") * width).alias("start"), "n")
 
 
-def count_in_domain(fragments: DataFrame, domain: DataFrame, bucket: int = 2000) -> DataFrame:
-    """Reads per (sample, bin) of any domain of bins, by an overlap join."""
-    hits = overlap_join(fragments.select("sample", "chrom", "start", "end"), domain.select("chrom", "start", "end"), bucket=bucket)
-    return hits.groupBy("sample", "chrom", F.col("r_start").alias("start"), F.col("r_end").alias("end")).agg(F.count("*").alias("n"))
+def count_in_domain(fragments: DataFrame, domain: DataFrame) -> DataFrame:
+    """Reads per (sample, bin) of any domain of bins."""
+    hits = count_overlaps(fragments.select("sample", "chrom", "start", "end"), domain.select("chrom", "start", "end"), ["sample"])
+    return hits.groupBy("sample", "chrom", "start", "end").agg(F.sum("n").alias("n"))
 
 
 def fill_domain(counts: DataFrame, domain: DataFrame, samples: DataFrame, value: str = "n") -> DataFrame:
@@ -88,8 +88,8 @@ def region_counts(fragments: DataFrame, regions: DataFrame, exons: str | None =
     """Reads per region; with exons each exon counts on its own and the counts are summed."""
     if exons:
         regions = regions.select("region", "chrom", F.explode(exons).alias("x")).select("region", "chrom", "x.start", "x.end")
-    hits = overlap_join(fragments.select("sample", "chrom", "start", "end"), regions.select("region", "chrom", "start", "end"))
-    return hits.groupBy("sample", "region").agg(F.count("*").alias("n"))
+    hits = count_overlaps(fragments.select("sample", "chrom", "start", "end"), regions.select("region", "chrom", "start", "end"), ["sample"])
+    return hits.groupBy("sample", "region").agg(F.sum("n").alias("n"))
 
 
 def region_means(signal: DataFrame, regions: DataFrame) -> DataFrame:
