@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandlake.functions.intervals import count_overlaps, merge_intervals, overlap_join
 
@@ -92,19 +95,74 @@ def region_counts(fragments: DataFrame, regions: DataFrame, exons: str | None =
     return hits.groupBy("sample", "region").agg(F.sum("n").alias("n"))
 
 
+#: Bases that one task holds as arrays when a signal is summed up.
+SIGNAL_TILE = 4096
+
+
+def signal_statistics(bins: DataFrame, signal: DataFrame) -> DataFrame:
+    """(chrom, start, end, w, wv, wvv, lo, hi) of each distinct bin that meets a signal: bases under signal intervals, the sums of
+    value and squared value by base, the least and the greatest value; the last four are null where all values are.
+
+    Bins and signal are dealt out by tiles of SIGNAL_TILE bases, each bin once however many regions have it, and summed up in arrays
+    by base; so the work grows with bins and signal, not with their pairs.
+    """
+
+    keys = ["chrom", "start", "end"]
+
+    def dealt(t: DataFrame) -> DataFrame:
+        t = t.where("end > start AND chrom IS NOT NULL")
+        return t.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("start") / SIGNAL_TILE), F.floor((F.col("end") - 1) / SIGNAL_TILE))))
+
+    def summed(bins: pa.Table, signal: pa.Table) -> pa.Table:
+        """The pieces of bins within one tile, from arrays by base that are doubled in length step by step (sums are never subtracted)."""
+        n = SIGNAL_TILE
+        names = ("w", "known", "wv", "wvv", "lo", "hi")
+        if not len(bins) or not len(signal):
+            return pa.table([pa.array([], t) for t in kinds], names=[*keys, *names])
+        at = bins["_tile"][0].as_py() * n
+        low, high = (np.clip(signal[c].to_numpy() - at, 0, n) for c in ("start", "end"))
+        length = high - low
+        base = np.repeat(low - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+        v, known = (np.repeat(signal[c].to_numpy(), length) for c in ("value", "known"))
+        least, most = np.full(n, np.nan), np.full(n, -np.inf)
+        np.fmin.at(least, base[known], v[known])
+        np.maximum.at(most, base[known], v[known])
+        tables = [np.bincount(base, x, n) for x in (None, known, v, v * v)] + [least, most]
+        joins = [np.add] * 4 + [np.fmin, np.maximum]  # Spark has NaN above all numbers
+        pos, end = (np.clip(bins[c].to_numpy() - at, 0, n) for c in ("start", "end"))
+        size = end - pos
+        got = [np.full(len(bins), x, float) for x in (0, 0, 0, 0, np.nan, -np.inf)]
+        for k in range(n.bit_length()):
+            rows = np.flatnonzero(size >> k & 1)
+            for j, (t, f) in enumerate(zip(tables, joins, strict=True)):
+                got[j][rows] = f(got[j][rows], t[pos[rows]])
+            pos[rows] += 1 << k
+            tables = [f(t[: -(1 << k)], t[1 << k :]) for t, f in zip(tables, joins, strict=True)]
+        sums = [pa.array(x.astype(np.int64) if c in ("w", "known") else x) for c, x in zip(names, got, strict=True)]
+        return pa.table([*[bins[c] for c in keys], *sums], names=[*keys, *names]).filter(pa.array(got[0] > 0))
+
+    chrom = bins.schema["chrom"].dataType
+    kinds = [to_arrow_type(chrom), *[pa.int64()] * 4, *[pa.float64()] * 4]
+    b = dealt(bins.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct())
+    v = F.col("value").cast("double")
+    s = dealt(signal.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce(v, F.lit(0.0)).alias("value"), v.isNotNull().alias("known")))
+    schema = f"chrom {chrom.simpleString()}, start long, end long, w long, known long, wv double, wvv double, lo double, hi double"
+    parts = b.groupBy("chrom", "_tile").cogroup(s.groupBy("chrom", "_tile")).applyInArrow(summed, schema)
+    some = F.col("known") > 0
+    parts = parts.select(*keys, "w", *[F.when(some, F.col(c)).alias(c) for c in ("wv", "wvv", "lo", "hi")])
+    return parts.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.sum("wvv").alias("wvv"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def region_means(signal: DataFrame, regions: DataFrame) -> DataFrame:
     """Mean of a signal over the covered bases of each region, and their number."""
-    hits = overlap_join(regions.select("region", "chrom", "start", "end"), signal.select("chrom", "start", "end", "value"))
-    part = F.least("end", "r_end") - F.greatest("start", "r_start")
-    got = hits.groupBy("region").agg((F.sum(F.col("value") * part) / F.sum(part)).alias("mean"), F.sum(part).alias("covered"))
+    hits = regions.select("region", "chrom", "start", "end").join(signal_statistics(regions, signal), ["chrom", "start", "end"])
+    got = hits.groupBy("region").agg((F.sum("wv") / F.sum("w")).alias("mean"), F.sum("w").alias("covered"))
     return regions.select("region").join(got, "region", "left")
 
 
 def tile_means(signal: DataFrame, domain: DataFrame, zero_missing: bool) -> DataFrame:
     """Mean per tile; a tile with a missing base is missing unless missing bases count as 0."""
-    hits = overlap_join(domain.select("chrom", "start", "end"), signal.select("chrom", "start", "end", "value"))
-    part = F.least("end", "r_end") - F.greatest("start", "r_start")
-    got = hits.groupBy("chrom", "start", "end").agg(F.sum(F.col("value") * part).alias("s"), F.sum(part).alias("covered"))
+    got = signal_statistics(domain, signal).select("chrom", "start", "end", F.col("wv").alias("s"), F.col("w").alias("covered"))
     out = domain.select("chrom", "start", "end").join(got, ["chrom", "start", "end"], "left")
     width = F.col("end") - F.col("start")
     value = F.coalesce("s", F.lit(0.0)) / width if zero_missing else F.when(F.col("covered") == width, F.col("s") / width)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.intervals import overlap_join
+from strandlake.operators.coverage import signal_statistics
 
 
 def zones_reference_point(regions: DataFrame, before: int, after: int, width: int, point: str = "TSS") -> DataFrame:
@@ -49,18 +50,16 @@ STATISTICS = ("mean", "sum", "min", "max", "std", "median")
 def bin_statistics(zones: DataFrame, signal: DataFrame, stats: tuple[str, ...], zero_missing: bool = False) -> DataFrame:
     """(group, region, bin and a column for each statistic) over the bases of a bin that have signal (or all, if missing ones count as 0).
 
-    Signal intervals are clipped to bins and weighted by overlap; bases are never expanded.  All statistics come from one pass;
+    Each distinct bin is summed up once, however many regions have it; all statistics come from one pass;
     the values of a bin are gathered only for the median.
     """
-    hits = overlap_join(zones, signal.select("chrom", "start", "end", "value"))
-    part = F.least("end", "r_end") - F.greatest("start", "r_start")
-    w, v = part.cast("double"), F.col("value")
-    width = F.col("end") - F.col("start")
-    keys = ["group", "region", "bin", "start", "end"]
-    sums = [F.sum(w).alias("w"), F.sum(w * v).alias("wv"), F.sum(w * v * v).alias("wvv"), F.min(v).alias("lo"), F.max(v).alias("hi")]
+    keys = ["chrom", "start", "end"]
+    got = signal_statistics(zones, signal)
     if "median" in stats:
-        sums.append(F.percentile(v, 0.5, part.cast("long")).alias("mid"))
-    got = hits.groupBy(*keys).agg(*sums)
+        hits = overlap_join(zones.select(*keys).distinct(), signal.select(*keys, "value"), bucket=200)
+        part = F.least("end", "r_end") - F.greatest("start", "r_start")
+        got = got.join(hits.groupBy(*keys).agg(F.percentile("value", 0.5, part.cast("long")).alias("mid")), keys, "left")
+    width = F.col("end") - F.col("start")
     n = width if zero_missing else F.col("w")
     mean = F.col("wv") / n
     gap = F.lit(zero_missing) & (F.col("w") < width)

@@ -1,10 +1,14 @@
 """Steps whose work must not grow with the product of their inputs, against plain loops."""
 
+import math
 import random
 import time
 
+import pytest
+
 from strandlake.functions import intervals as iv
 from strandlake.operators import coverage as cv
+from strandlake.operators import matrix as mx
 
 SPANS = "sample string, chrom string, start long, end long"
 
@@ -37,3 +41,35 @@ def test_region_counts_of_many_pairs(spark):
     began = time.time()
     r = cv.region_counts(reads, regs).selectExpr("count(*) AS k", "min(n) AS lo", "max(n) AS hi").first()
     assert tuple(r) == (n, n, n) and time.time() - began < 60
+
+
+@pytest.mark.parametrize("zero", [False, True])
+def test_bin_statistics(spark, zero):
+    """Bins over tile borders, copies of bins, overlapping, missing and not-a-number values."""
+    r, t = random.Random(5), cv.SIGNAL_TILE
+    zones = [(f"g{i % 2}", i // 3, "A" if i % 5 else "B", i % 3, a, a + r.choice([0, 1, 7, 50, 3 * t])) for i, a in enumerate(r.choice([t - 9, 0, -20, 2 * t - 1, r.randrange(3 * t)]) for _ in range(120))]
+    sig = [("A", a, a + r.choice([1, 20, 400]), r.choice([None, 0.1, -2.5, 7.0, 1e3])) for a in (r.choice([t - 3, r.randrange(-30, 4 * t)]) for _ in range(250))] + [("B", 0, 3, math.nan)] * (not zero)
+    stats = ("mean", "sum", "min", "max", "std", "median")
+    x = mx.bin_statistics(spark.createDataFrame(zones, "group string, region int, chrom string, bin int, start long, end long"), spark.createDataFrame(sig, "chrom string, start long, end long, value double"), stats, zero)
+    got = {(g, k, b): v for g, k, b, *v in x.collect()}
+    assert len(got) == len(zones)
+    for g, k, c, b, a, z in zones:
+        met = [(min(z, e) - max(a, s), v) for sc, s, e, v in sig if sc == c and s < z and e > a and z > a]
+        w, known = sum(n for n, _ in met), [(n, v) for n, v in met if v is not None]
+        n, mean, total, lo, hi, *_ = (z - a if zero else w), *got[g, k, b]
+        if not known:
+            assert (total, lo, hi) == ((0.0, 0.0, 0.0) if zero else (None, None, None))
+            continue
+        gap = zero and w < z - a
+        up = lambda v: (math.isnan(v), v)
+        want = [sum(n * v for n, v in known), min([v for _, v in known] + [0.0] * gap, key=up), max([v for _, v in known] + [0.0] * gap, key=up)]
+        assert [mean, total, lo, hi] == pytest.approx([want[0] / n, *want], nan_ok=True)
+
+
+def test_statistics_of_many_pairs(spark):
+    """A million equal bins on a dense signal: each distinct bin is summed up once."""
+    zones = spark.range(1_000_000).selectExpr("'g' AS group", "id AS region", "'A' AS chrom", "0 AS bin", "id % 1000 AS start", "id % 1000 + 1000 AS end")
+    sig = spark.range(2000).selectExpr("'A' AS chrom", "id AS start", "id + 1 AS end", "1.0D AS value")
+    began = time.time()
+    r = mx.bin_statistics(zones, sig, ("sum", "max")).selectExpr("count(*) AS k", "min(sum) AS lo", "max(sum) AS hi").first()
+    assert tuple(r) == (1_000_000, 1000.0, 1000.0) and time.time() - began < 60
