@@ -42,9 +42,10 @@ def covered_bases(fragments: DataFrame, width: int, sizes: DataFrame | None = No
     bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
     hits = fragments.select("sample", "chrom", "start", "end", F.explode(bins).alias("bin"))
     part = F.least("end", (F.col("bin") + 1) * width) - F.greatest("start", F.col("bin") * width)
-    if sizes is not None:
-        hits = hits.join(sizes.select("chrom", F.col("size").alias("_size")), "chrom").where((F.col("bin") + 1) * width <= F.col("_size"))
-    return hits.groupBy("sample", "chrom", "bin").agg(F.sum(part).alias("bases")).select("sample", "chrom", (F.col("bin") * width).alias("start"), "bases")
+    out = hits.groupBy("sample", "chrom", "bin").agg(F.sum(part).alias("bases"))
+    if sizes is not None:  # after the sums, and broadcast: a join by chromosome would put all reads of one into one task
+        out = out.join(F.broadcast(sizes.select("chrom", F.col("size").alias("_size"))), "chrom").where((F.col("bin") + 1) * width <= F.col("_size"))
+    return out.select("sample", "chrom", (F.col("bin") * width).alias("start"), "bases")
 
 
 def scale_factor(method: str, kept: Column, width: int = 50, genome: int = 0, fragment: int = 0) -> Column:

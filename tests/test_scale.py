@@ -73,3 +73,12 @@ def test_statistics_of_many_pairs(spark):
     began = time.time()
     r = mx.bin_statistics(zones, sig, ("sum", "max")).selectExpr("count(*) AS k", "min(sum) AS lo", "max(sum) AS hi").first()
     assert tuple(r) == (1_000_000, 1000.0, 1000.0) and time.time() - began < 60
+
+
+def test_covered_bases_join_no_reads_by_chromosome(spark):
+    """Reads of a chromosome never meet in one task: sizes are joined to sums, by broadcast."""
+    reads = spark.createDataFrame([("F", "A", 5, 25), ("F", "A", 28, 33), ("F", "B", 0, 5)], SPANS)
+    x = cv.covered_bases(reads, 10, spark.createDataFrame([("A", 30)], "chrom string, size long"))
+    assert sorted(map(tuple, x.collect())) == [("F", "A", 0, 5), ("F", "A", 10, 10), ("F", "A", 20, 7)]
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
