@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -173,8 +173,9 @@ def tile_means(signal: DataFrame, domain: DataFrame, zero_missing: bool) -> Data
 def enrichment(fragments: DataFrame, features: DataFrame) -> DataFrame:
     """(sample, feature, hits, total, percent): a read counts once for a feature type however many features it meets."""
     total = fragments.groupBy("sample").agg(F.count("*").alias("total"))
-    features = merge_intervals(features, ("chrom", "feature"))  # unions meet the same reads, with far fewer pairs
-    marked = fragments.withColumn("_id", F.monotonically_increasing_id())
-    hits = overlap_join(marked.select("sample", "_id", "chrom", "start", "end"), features.select("chrom", "start", "end", "feature"))
-    counted = hits.select("sample", "feature", "_id").distinct().groupBy("sample", "feature").agg(F.count("*").alias("hits"))
-    return counted.join(total, "sample").withColumn("percent", 100.0 * F.col("hits") / F.col("total"))
+    islands = merge_intervals(features.where("end > start"), ("chrom", "feature"))  # unions meet the same reads, with far fewer pairs
+    islands = islands.withColumn("_before", F.lag("end").over(Window.partitionBy("chrom", "feature").orderBy("start")))
+    hits = overlap_join(fragments.select("sample", "chrom", "start", "end"), islands.select("chrom", "start", "end", "feature", "_before"))
+    first = F.col("_before").isNull() | (F.col("_before") <= F.col("start"))  # of the islands that a read meets, so no ids and no distinct
+    counted = hits.where(first).groupBy("sample", "feature").agg(F.count("*").alias("hits"))
+    return counted.join(F.broadcast(total), "sample").withColumn("percent", 100.0 * F.col("hits") / F.col("total"))

@@ -8,6 +8,7 @@ import pytest
 
 from strandlake.functions import intervals as iv
 from strandlake.operators import coverage as cv
+from strandlake.operators import gc
 from strandlake.operators import matrix as mx
 
 SPANS = "sample string, chrom string, start long, end long"
@@ -82,3 +83,27 @@ def test_covered_bases_join_no_reads_by_chromosome(spark):
     assert sorted(map(tuple, x.collect())) == [("F", "A", 0, 5), ("F", "A", 10, 10), ("F", "A", 20, 7)]
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_reads_per_window_of_many_pairs(spark):
+    """4 * 10 ** 8 pairs on one short chromosome."""
+    n = 1_000_000
+    reads = spark.range(n).selectExpr("1L AS chrom", "id % 10 AS pos", "id % 10 + 9000 AS end")
+    windows = spark.range(400).selectExpr("1L AS chrom", "id * 25 AS start", "50L AS gc")
+    plan = gc.reads_per_window(windows, reads, 100)
+    assert {(r.reads, r.gc) for r in plan.where("start < 8900").collect()} == {(n, 0.5)}
+    assert plan.where("start >= 9025").selectExpr("max(reads)").first()[0] == 0
+    assert "_lb" not in plan._jdf.queryExecution().optimizedPlan().toString()  # no pairs by bucket
+
+
+def test_enrichment_needs_no_distinct_reads(spark):
+    """A read that meets several islands of a feature counts once, equal reads count each; no shuffle of pairs by read."""
+    reads = [x for x in _spans(300, 7, 3000) if x[0]] * 2
+    feats = [(c, a, z, f) for (_, c, a, z), f in zip(_spans(60, 8, 3000, 30), "xyz" * 20, strict=True)]
+    x = cv.enrichment(spark.createDataFrame(reads, SPANS), spark.createDataFrame(feats, "chrom string, start long, end long, feature string"))
+    want = {}
+    for s, c, a, z in reads:
+        for f in {f for fc, fa, fz, f in feats if c and c == fc and a < z and fa < fz and a < fz and z > fa}:
+            want[s, f] = want.get((s, f), 0) + 1
+    assert want and {(r["sample"], r.feature): r.hits for r in x.collect()} == want
+    assert "_id" not in x._jdf.queryExecution().optimizedPlan().toString()
