@@ -1,14 +1,15 @@
-"""Grouping of matrix rows and of samples.  Ward linkage and silhouettes need all distances, so their input is bounded and checked."""
+"""Grouping of matrix rows and of samples.  Ward linkage needs all distances at once, so its input is bounded and checked; silhouettes need them too, but tile by tile."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that Ward linkage takes (a distance matrix of 128 MB) and that silhouettes compare with (broadcast).
+#: Rows that Ward linkage takes (a distance matrix of 128 MB), and rows (about) of a part of which a task compares two for silhouettes.
 MAX_LINKED = 4000
-MAX_SILHOUETTE = 50_000
+SILHOUETTE_ROWS = 8192
 
 
 def _bounded(m: DataFrame, most: int) -> tuple[list, np.ndarray]:
@@ -66,35 +67,53 @@ def hierarchical(m: DataFrame, k: int) -> DataFrame:
 
 
 def silhouettes(m: DataFrame) -> DataFrame:
-    """(region, cluster, silhouette) from columns region, cluster, bins; a row alone in its cluster gets 0.
+    """(region, cluster, silhouette) from columns region, cluster, bins; a row alone in its cluster gets 0.  A region names one row.
 
-    Rows are scored on the executors against a broadcast table of at most MAX_SILHOUETTE rows.
+    Rows are dealt into parts, and each pair of parts is one group that adds up the distances of its rows by cluster.  All
+    distances are taken, so time grows with the square of the rows; a task holds two parts, however many there are.
     """
-    ids, x = _bounded(m, MAX_SILHOUETTE)
-    named = {r.region: r.cluster for r in m.select("region", "cluster").toLocalIterator()}
-    cluster = np.array([named[i] for i in ids], int)
-    shared = m.sparkSession.sparkContext.broadcast((np.array(ids), x, cluster))
-
-    def score(frames):
-        ids, x, cluster = shared.value
-        kinds = np.unique(cluster)
-        member = (cluster[:, None] == kinds).astype(float)
-        count = member.sum(0)
-        for f in frames:
-            at = np.searchsorted(ids, f["region"].to_numpy())
-            out = []
-            for i in at:
-                sums = np.sqrt(((x - x[i]) ** 2).sum(1)) @ member
-                own = int(np.searchsorted(kinds, cluster[i]))
-                if count[own] < 2 or len(kinds) < 2:
-                    out.append(0.0)
-                    continue
-                inside = sums[own] / (count[own] - 1)
-                outside = np.delete(sums / count, own).min()
-                out.append(float((outside - inside) / max(inside, outside)) if max(inside, outside) else 0.0)
-            yield f.assign(silhouette=out)[["region", "cluster", "silhouette"]]
-
-    return m.select(F.col("region").cast("long"), F.col("cluster").cast("int")).mapInPandas(score, "region long, cluster int, silhouette double")
+    counts = {r.cluster: r["count"] for r in m.groupBy(F.col("cluster").cast("int").alias("cluster")).count().collect()}
+    kinds, n = sorted(counts), sum(counts.values())
+    parts = max(1, -(-n // SILHOUETTE_ROWS))
+
+    def compared(t: pa.Table) -> pa.Table:
+        mine = t["_part"].to_numpy() == t["_i"].to_numpy()
+        x = np.array(t["_x"].to_pylist(), float).reshape(len(t), -1)
+        x -= x.mean(0)
+        member = (t["cluster"].to_numpy()[:, None] == np.array(kinds)).astype(float)
+        left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
+        same = not len(right) and t["_i"][0].as_py() == t["_j"][0].as_py()
+        right = left if same else right
+        y, length = x[right], (x * x).sum(1)
+        sums = np.zeros(member.shape)
+        step = max(1, 2**21 // max(1, len(right)))
+        for k in range(0, len(left), step):
+            rows = left[k : k + step]
+            far = length[rows][:, None] + length[right]
+            d = far - 2 * (x[rows] @ y.T)
+            near = np.argwhere(d <= 1e-7 * far)  # too close for the difference of large numbers
+            for q in range(0, len(near), 65_536):
+                a, b = near[q : q + 65_536].T
+                d[a, b] = ((x[rows[a]] - y[b]) ** 2).sum(1)
+            d = np.sqrt(d)
+            sums[rows] += d @ member[right]
+            if not same:
+                sums[right] += d.T @ member[rows]
+        return pa.table([t["region"], t["cluster"], *map(pa.array, sums.T)], names=["region", "cluster", *[f"s{i}" for i in range(len(kinds))]])
+
+    rows = m.select(F.col("region").cast("long").alias("region"), F.col("cluster").cast("int").alias("cluster"), F.transform("bins", lambda v: F.coalesce(v, F.lit(0.0))).alias("_x"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("region"), F.lit(parts)).cast("int"))
+    low, high = (f(F.col("_part"), F.col("_o")) for f in (F.least, F.greatest))
+    dealt = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("region", "cluster", "_x", "_part", low.alias("_i"), high.alias("_j"))
+    names = [f"s{i}" for i in range(len(kinds))]
+    got = dealt.groupBy("_i", "_j").applyInArrow(compared, "region long, cluster int" + "".join(f", {c} double" for c in names))
+    if len(kinds) < 2:
+        return rows.select("region", "cluster", F.lit(0.0).alias("silhouette"))
+    got = got.groupBy("region", "cluster").agg(*[F.sum(c).alias(c) for c in names])
+    own = F.coalesce(*[F.when(F.col("cluster") == k, F.col(c) / (counts[k] - 1)) for k, c in zip(kinds, names, strict=True) if counts[k] > 1], F.lit(None).cast("double"))
+    other = F.array_min(F.array(*[F.when(F.col("cluster") != k, F.col(c) / counts[k]) for k, c in zip(kinds, names, strict=True)]))
+    most = F.greatest(own, other)
+    return got.select("region", "cluster", F.when(own.isNotNull() & (most > 0), (other - own) / most).otherwise(0.0).alias("silhouette"))
 
 
 def bin_density(m: DataFrame, levels: int) -> DataFrame:

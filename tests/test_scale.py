@@ -4,9 +4,11 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 
 from strandlake.functions import intervals as iv
+from strandlake.operators import cluster as cl
 from strandlake.operators import coverage as cv
 from strandlake.operators import gc
 from strandlake.operators import matrix as mx
@@ -107,3 +109,19 @@ def test_enrichment_needs_no_distinct_reads(spark):
             want[s, f] = want.get((s, f), 0) + 1
     assert want and {(r["sample"], r.feature): r.hits for r in x.collect()} == want
     assert "_id" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_silhouettes_of_several_parts(spark, monkeypatch):
+    """No limit of rows: parts are compared pair by pair, against all distances at once."""
+    monkeypatch.setattr(cl, "SILHOUETTE_ROWS", 16)
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(90, 4)), 2) + 1000
+    x[50:60] = x[40]
+    labels = [1 + i % 3 for i in range(89)] + [9]
+    m = spark.createDataFrame([(i, c, v.tolist()) for i, (c, v) in enumerate(zip(labels, x, strict=True))], "region long, cluster int, bins array<double>")
+    d, k = np.sqrt(((x[:, None] - x) ** 2).sum(2)), np.array(labels)
+    want = {}
+    for i, c in enumerate(labels):
+        a, b = d[i, k == c].sum() / max(1, (k == c).sum() - 1), min(d[i, k == o].mean() for o in {1, 2, 3, 9} - {c})
+        want[i] = (b - a) / max(a, b) if (k == c).sum() > 1 else 0.0
+    assert {s.region: s.silhouette for s in cl.silhouettes(m).collect()} == pytest.approx(want, abs=1e-9)
