@@ -410,8 +410,8 @@ def a5_f15_complete_rows(spark, d):
 
 @query(sql("aln", """, q AS (SELECT read_id // 8 AS tmpl, sample, pos, read_id, mapq >= 3 AS ok FROM aln) SELECT sample, count(*) AS reads, count(*) FILTER (keep) AS kept, count(*) FILTER (keep <> ok) AS changed FROM (SELECT *, first_value(ok) OVER (PARTITION BY sample, tmpl ORDER BY pos, read_id) AS keep FROM q) GROUP BY sample"""))
 def j12_w8_mate_decisions(spark, d):
-    """The reads of a template share the decision on its first read by position."""
-    w = Window.partitionBy("sample", "template").orderBy("pos", "read_id")
+    """The reads of a template share the decision on its first read by position; of reads equal in position and id a low quality one decides, so reruns agree."""
+    w = Window.partitionBy("sample", "template").orderBy("pos", "read_id", "ok")
     x = ad.alignments(spark, d).select("sample", F.floor(F.col("read_id") / 8).alias("template"), "pos", "read_id", (F.col("mapq") >= 3).alias("ok")).withColumn("keep", F.first("ok").over(w))
     return x.groupBy("sample").agg(F.count("*").alias("reads"), F.count_if("keep").alias("kept"), F.count_if(F.col("keep") != F.col("ok")).alias("changed"))
 

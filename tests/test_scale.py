@@ -12,6 +12,7 @@ from strandlake.operators import cluster as cl
 from strandlake.operators import coverage as cv
 from strandlake.operators import gc
 from strandlake.operators import matrix as mx
+from strandlake.plans import adapters, registry
 
 SPANS = "sample string, chrom string, start long, end long"
 
@@ -125,3 +126,9 @@ def test_silhouettes_of_several_parts(spark, monkeypatch):
         a, b = d[i, k == c].sum() / max(1, (k == c).sum() - 1), min(d[i, k == o].mean() for o in {1, 2, 3, 9} - {c})
         want[i] = (b - a) / max(a, b) if (k == c).sum() > 1 else 0.0
     assert {s.region: s.silhouette for s in cl.silhouettes(m).collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_mate_decisions_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    for rows in (ties := [("F", 8, 5, 0), ("F", 8, 5, 9), ("F", 9, 7, 9)], ties[::-1]):
+        monkeypatch.setattr(adapters, "alignments", lambda *_, x=rows: spark.createDataFrame(x, "sample string, read_id long, pos long, mapq int").coalesce(1))
+        assert [tuple(r) for r in registry.queries()["j12_w8_mate_decisions"](spark, "").collect()] == [("F", 3, 0, 2)]
